@@ -22,6 +22,7 @@ from pyspark.sql import functions as F  # noqa: E402
 from pyspark.sql import types as T  # noqa: E402
 
 from starlens.fixed_values import ENGLISH_STOP_WORDS  # noqa: E402
+from starlens.session import ensure_parallelism  # noqa: E402
 from starlens.functions import text as tx  # noqa: E402
 from starlens.functions.dates import tenure_years, engagement_ratio, reviews_per_year  # noqa: E402
 from starlens.functions.hours import DAY_NAMES, parse_hours, total_hours  # noqa: E402
@@ -34,8 +35,13 @@ from starlens.operators import words as wd  # noqa: E402
 SF0001 = "/root/testdata/sf0.001"
 
 
+# tables whose rows carry long texts: CPU-heavy per row, spread over all cores
+_TEXT_TABLES = {"documents", "pages", "conversations", "benchmark"}
+
+
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    df = spark.read.parquet(f"{d}/{name}.parquet")
+    return ensure_parallelism(df) if name in _TEXT_TABLES else df
 
 
 def _norm(df: DataFrame, digits: int | None = None) -> DataFrame:
@@ -543,6 +549,387 @@ ORACLE: dict[str, str] = {
 }
 
 
+# ================================================================== batch 2: text, features, vectors
+
+from starlens.fixed_values import SPLIT_WEIGHTS  # noqa: E402
+from starlens.operators import embed as eb  # noqa: E402
+from starlens.operators import features as fe  # noqa: E402
+from starlens.operators import sentiment as se  # noqa: E402
+from starlens.operators import tfidf as tf  # noqa: E402
+from starlens.operators.scale import PopulationScaler  # noqa: E402
+from starlens.operators.split import hash_split  # noqa: E402
+from starlens.plans.evaluate import pivot_metrics, regression_metrics  # noqa: E402
+from starlens.sources.io import union_chunks  # noqa: E402
+
+
+def q_text_features(spark, d):
+    docs = _t(spark, d, "documents").select("doc_id", "text")
+    return _norm(fe.text_features(docs, "text").drop("text"), 9)
+
+
+def _elite(spark, d):
+    years = (_t(spark, d, "orders").groupBy("o_custkey")
+             .agg(F.array_join(F.array_sort(F.collect_set(F.year("o_orderdate").cast("string"))), ",").alias("elite")))
+    cu = _t(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"))
+    return cu.join(years, "o_custkey", "left")
+
+
+def q_elite_count(spark, d):
+    return _norm(_elite(spark, d).select("o_custkey", "elite", tx.elite_count(F.col("elite")).alias("elite_count")))
+
+
+def _hours_strings(spark, d):
+    """Opening-hours strings per events user: for each weekday with activity,
+    ``'Day': 'h:m-h:m'`` from the first to the last event of that weekday."""
+    ev = _t(spark, d, "events")
+    per_day = ev.groupBy("user_id", F.weekday("ts").alias("wd")).agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    names = F.array(*[F.lit(x) for x in DAY_NAMES])
+    entry = F.concat(F.lit("'"), F.element_at(names, F.col("wd") + 1), F.lit("': '"),
+                     F.hour("a").cast("string"), F.lit(":"), F.minute("a").cast("string"), F.lit("-"),
+                     F.hour("b").cast("string"), F.lit(":"), F.minute("b").cast("string"), F.lit("'"))
+    return per_day.groupBy("user_id").agg(
+        F.concat(F.lit("{"), F.concat_ws(", ", F.collect_list(entry)), F.lit("}")).alias("hours"))
+
+
+def q_hours_total(spark, d):
+    h = _hours_strings(spark, d)
+    return _norm(h.select("user_id", total_hours(parse_hours(F.col("hours"))).alias("total_hours")))
+
+
+def q_hours_by_day(spark, d):
+    m = parse_hours(F.col("hours"))
+    return _hours_strings(spark, d).select("user_id", *[m.getItem(x).alias(x) for x in DAY_NAMES])
+
+
+def q_tenure_years(spark, d):
+    rv = _reviews(spark, d)
+    return _norm(rv.select("l_orderkey", "l_linenumber",
+                           tenure_years(F.col("l_shipdate"), F.col("o_orderdate")).alias("tenure_years")), 9)
+
+
+def q_date_parts(spark, d):
+    li = _t(spark, d, "lineitem")
+    s = F.col("l_shipdate")
+    return _norm(li.select("l_orderkey", "l_linenumber", F.year(s).alias("year"), F.month(s).alias("month"),
+                           F.weekday(s).alias("weekday"), F.hour(s).alias("hour")))
+
+
+def q_ratios(spark, d):
+    od = _t(spark, d, "orders")
+    per = od.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n_orders"),
+                                      tenure_years(F.max("o_orderdate"), F.min("o_orderdate")).alias("span_years"))
+    cu = _t(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_acctbal")
+    j = cu.join(per, "o_custkey", "left").withColumn("n_orders", F.coalesce(F.col("n_orders"), F.lit(0)))
+    return _norm(j.select("o_custkey", "n_orders", "span_years",
+                          engagement_ratio("c_acctbal", "n_orders").alias("engagement_ratio"),
+                          reviews_per_year("n_orders", "span_years").alias("reviews_per_year")), 9)
+
+
+def q_onehot_segment(spark, d):
+    cu = _t(spark, d, "customer").select("c_custkey", "c_mktsegment")
+    model = fe.DropFirstOneHot("c_mktsegment", "seg_").fit(cu)
+    return _norm(model.transform(cu))
+
+
+def q_impute_mean(spark, d):
+    j = _docs_labels(spark, d).select("doc_id", "quality", "toxic")
+    return _norm(fe.MeanImputer(["quality", "toxic"]).fit(j).transform(
+        j.select("doc_id", F.col("quality").cast("double"), F.col("toxic").cast("double"))), 9)
+
+
+def q_fill_const(spark, d):
+    j = _docs_labels(spark, d).select("doc_id", "quality", "toxic")
+    return _norm(fe.fill_constant(j, {"quality": 0, "toxic": 0}))
+
+
+def q_is_category_flag(spark, d):
+    part = _t(spark, d, "part").select("p_partkey", "p_type")
+    return _norm(fe.flag_contains(part, "p_type", "Econ", "is_flag", ignore_case=True).drop("p_type"))
+
+
+def q_drop_null_subset(spark, d):
+    return _norm(fe.drop_null_rows(_docs_labels(spark, d).select("doc_id", "quality", "toxic"), ["quality"]))
+
+
+def q_tfidf_table(spark, d):
+    docs = _t(spark, d, "documents")
+    return _norm(tf.tfidf_table(docs, "doc_id", "text", ngram_range=(1, 2), min_df=5, max_df=0.9,
+                                max_terms=2000, token_min_len=1), 9)
+
+
+def q_ngram_top(spark, d):
+    freqs = tf.term_frequencies(_t(spark, d, "documents"), "doc_id", "text", ngram_range=(1, 3), token_min_len=2)
+    corpus = freqs.groupBy("term").agg(F.sum("tf").alias("cnt"))
+    return ck.top_k(corpus, "cnt", 20, ["term"])
+
+
+def _lexicon(spark, d):
+    return se.lexicon_from_labels(_t(spark, d, "documents"), _t(spark, d, "labels"), "doc_id", "text",
+                                  "quality", "toxic", min_docs=5)
+
+
+def q_sentiment_lexicon(spark, d):
+    return _norm(se.sentiment(_t(spark, d, "documents"), "doc_id", "text", _lexicon(spark, d)), 9)
+
+
+def _ranked_vectors(spark, d):
+    """Word vectors: the i-th most frequent whitespace token gets embedding vec_id i."""
+    docs = _t(spark, d, "documents")
+    emb = _t(spark, d, "embeddings")
+    n_vec = emb.count()
+    top = ck.top_k(wd.word_counts(docs, "text", lower=False), "cnt", n_vec, ["word"])
+    from pyspark.sql import Window
+    # the ranked frame is at most n_vec rows (bounded by the vector table)
+    ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("cnt"), "word")) - 1)
+    return eb.vectors_from_ranked_words(ranked, emb, "rank", "vec_id", "embedding")
+
+
+def q_doc_mean_vector(spark, d):
+    mv = eb.mean_vectors(_t(spark, d, "documents"), "doc_id", "text", _ranked_vectors(spark, d), 64)
+    v = F.col("vector")
+    return _norm(mv.select("doc_id", "n_in_vocab", F.get(v, 0).alias("v_first"),
+                           F.aggregate(v, F.lit(0.0), lambda a, x: a + x).alias("v_sum"),
+                           F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)).alias("v_norm")), 5)
+
+
+def q_union_chunks(spark, d):
+    ev = _t(spark, d, "events")
+    cut = F.lit("2024-01-16").cast("timestamp_ntz")
+    parts = [ev.filter(F.col("ts") < cut), ev.filter(F.col("ts") >= cut)]
+    u = union_chunks(parts)
+    return _norm(u.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total_value")), 6)
+
+
+def _doc_features(spark, d):
+    docs = _docs_labels(spark, d).select("doc_id", "text", "n_chars", "quality", "toxic")
+    return fe.feature_frame(docs, "text", label_col="__none", key_col="doc_id",
+                            base_features=["n_chars", "quality", "toxic"])
+
+
+def q_feature_frame(spark, d):
+    frame, _ = _doc_features(spark, d)
+    return _norm(frame.drop("text"), 9)
+
+
+STD_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def q_standardize(spark, d):
+    li = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *STD_COLS)
+    return _norm(PopulationScaler(STD_COLS).fit(li).transform(li), 6)
+
+
+def q_hash_split_counts(spark, d):
+    s = hash_split(_t(spark, d, "orders"), "o_orderkey", SPLIT_WEIGHTS, 42)
+    return s.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_metrics_table(spark, d):
+    li = _t(spark, d, "lineitem")
+    a = regression_metrics(li.withColumn("p", F.col("l_extendedprice") / F.lit(1500.0)), "l_quantity", "p", "price_rule")
+    b = regression_metrics(li.withColumn("p", F.lit(25.5)), "l_quantity", "p", "constant")
+    return _norm(pivot_metrics(a.unionByName(b)), 6)
+
+
+QUERIES.update({
+    "text_features": q_text_features,
+    "elite_count": q_elite_count,
+    "hours_total": q_hours_total,
+    "hours_by_day": q_hours_by_day,
+    "tenure_years": q_tenure_years,
+    "date_parts": q_date_parts,
+    "ratios": q_ratios,
+    "onehot_segment": q_onehot_segment,
+    "impute_mean": q_impute_mean,
+    "fill_const": q_fill_const,
+    "is_category_flag": q_is_category_flag,
+    "drop_null_subset": q_drop_null_subset,
+    "tfidf_table": q_tfidf_table,
+    "ngram_top": q_ngram_top,
+    "sentiment_lexicon": q_sentiment_lexicon,
+    "doc_mean_vector": q_doc_mean_vector,
+    "union_chunks": q_union_chunks,
+    "feature_frame": q_feature_frame,
+    "standardize": q_standardize,
+    "hash_split_counts": q_hash_split_counts,
+    "metrics_table": q_metrics_table,
+})
+
+_TOK_SQL = "list_filter(string_split_regex(text, '\\s+'), lambda t: t <> '')"
+_RX_TOK = "regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{N}}_]{{{k},}}')"
+_WORD_RX = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')"
+
+
+def _text_feat_sql(src: str, extra: str = "") -> str:
+    return f"""SELECT doc_id{extra},
+  len({_TOK_SQL})::BIGINT AS word_count, length(text)::BIGINT AS char_count,
+  round(length(text) / (len({_TOK_SQL}) + 1), 9) AS avg_word_length,
+  len(regexp_extract_all(text, '[.!?]+'))::BIGINT AS sentence_count,
+  len(regexp_extract_all(text, '!'))::BIGINT AS exclamation_count,
+  len(regexp_extract_all(text, '\\?'))::BIGINT AS question_count,
+  round(length(regexp_replace(text, '[^\\p{{Lu}}]', '', 'g')) / nullif(length(text), 0), 9) AS uppercase_ratio
+FROM {src}"""
+
+
+def _ngrams_sql(k: int, n_lo: int, n_hi: int) -> str:
+    parts = []
+    for n in range(n_lo, n_hi + 1):
+        if n == 1:
+            parts.append("SELECT doc_id, unnest(toks) AS term FROM d")
+        else:
+            zs = ", ".join(f"toks[{i + 1}:len(toks) - {n - 1 - i}]" for i in range(n))
+            joined = " || ' ' || ".join(f"p[{i + 1}]" for i in range(n))
+            parts.append(f"SELECT doc_id, unnest(list_transform(list_zip({zs}), lambda p: {joined})) AS term "
+                         f"FROM d WHERE len(toks) >= {n}")
+    body = "\nUNION ALL\n".join(parts)
+    return f"""d AS (SELECT doc_id, {_RX_TOK.format(k=k)} AS toks FROM documents),
+terms AS ({body}),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY doc_id, term)"""
+
+
+def _tfidf_sql() -> str:
+    return f"""
+WITH {_ngrams_sql(1, 1, 2)},
+n AS (SELECT count(doc_id)::DOUBLE AS n FROM documents),
+st AS (SELECT term, count(*) AS df, sum(tf) AS ctf FROM tf GROUP BY term),
+v AS (SELECT term, df, ln((1.0 + n.n) / (1.0 + df)) + 1.0 AS idf FROM st, n
+      WHERE df >= 5 AND df <= 0.9 * n.n ORDER BY ctf DESC, term LIMIT 2000),
+w AS (SELECT tf.doc_id, tf.term, tf.tf, v.df, v.idf, tf.tf * v.idf AS w FROM tf JOIN v USING (term))
+SELECT doc_id, term, tf::BIGINT AS tf, df::BIGINT AS df, round(idf, 9) AS idf,
+       round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 9) AS weight FROM w"""
+
+
+def _ngram_top_sql() -> str:
+    return f"""
+WITH {_ngrams_sql(2, 1, 3)}
+SELECT term, sum(tf)::BIGINT AS cnt FROM tf GROUP BY term ORDER BY cnt DESC, term LIMIT 20"""
+
+
+def _sentiment_sql() -> str:
+    from starlens.fixed_values import NEGATIONS
+    negs = _sql_list(NEGATIONS)
+    return f"""
+WITH lw AS (SELECT DISTINCT d.doc_id, l.quality, l.toxic, unnest({_WORD_RX.replace('text', 'd.text')}) AS word
+            FROM documents d JOIN labels l USING (doc_id)),
+lex AS (SELECT word, 2.0 * avg(quality::DOUBLE) - 1.0 AS pol, avg(toxic::DOUBLE) AS subj FROM lw
+        GROUP BY word HAVING count(*) >= 5),
+tk AS (SELECT doc_id, {_WORD_RX} AS toks FROM documents),
+pr AS (SELECT doc_id, unnest(list_zip(toks, list_prepend(NULL, toks[1:len(toks) - 1]))) AS p FROM tk),
+sc AS (SELECT pr.doc_id, lex.pol * (CASE WHEN p[2] IN ({negs}) THEN -0.5 ELSE 1.0 END) AS pv, lex.subj
+       FROM pr JOIN lex ON lex.word = p[1]),
+agg AS (SELECT doc_id, avg(greatest(-1.0, least(1.0, pv))) AS pol, avg(subj) AS subj FROM sc GROUP BY doc_id)
+SELECT d.doc_id, round(coalesce(agg.pol, 0.0), 9) AS sentiment_polarity,
+       round(coalesce(agg.subj, 0.0), 9) AS sentiment_subjectivity
+FROM documents d LEFT JOIN agg USING (doc_id)"""
+
+
+def _mean_vec_sql() -> str:
+    return f"""
+WITH w AS (SELECT unnest({_TOK_SQL}) AS word FROM documents),
+c AS (SELECT word, count(*) AS cnt FROM w GROUP BY word),
+r AS (SELECT word, row_number() OVER (ORDER BY cnt DESC, word) - 1 AS vec_id FROM c),
+v AS (SELECT r.word, e.embedding FROM r JOIN embeddings e USING (vec_id)),
+t AS (SELECT doc_id, unnest({_TOK_SQL}) AS word FROM documents),
+h AS (SELECT t.doc_id, v.embedding FROM t JOIN v USING (word)),
+cnt AS (SELECT doc_id, count(*) AS n FROM h GROUP BY doc_id),
+dim AS (SELECT doc_id, i, avg(embedding[i]::DOUBLE) AS m FROM h, range(1, 65) r(i) GROUP BY doc_id, i),
+agg AS (SELECT doc_id, max(m) FILTER (WHERE i = 1) AS v_first, sum(m) AS v_sum, sqrt(sum(m * m)) AS v_norm
+        FROM dim GROUP BY doc_id)
+SELECT d.doc_id, coalesce(cnt.n, 0)::BIGINT AS n_in_vocab, round(coalesce(agg.v_first, 0.0), 5) AS v_first,
+       round(coalesce(agg.v_sum, 0.0), 5) AS v_sum, round(coalesce(agg.v_norm, 0.0), 5) AS v_norm
+FROM documents d LEFT JOIN cnt USING (doc_id) LEFT JOIN agg USING (doc_id)"""
+
+
+def _hours_sql(total: bool) -> str:
+    base = """
+WITH pd AS (SELECT user_id, isodow(ts) - 1 AS wd, min(ts) AS a, max(ts) AS b FROM events GROUP BY user_id, wd)"""
+    if total:
+        return base + "\nSELECT user_id, sum(hour(b) - hour(a))::BIGINT AS total_hours FROM pd GROUP BY user_id"
+    cols = ", ".join(
+        f"max(CASE WHEN wd = {i} THEN hour(a)::VARCHAR || ':' || minute(a)::VARCHAR || '-' || "
+        f"hour(b)::VARCHAR || ':' || minute(b)::VARCHAR END) AS {day}" for i, day in enumerate(DAY_NAMES))
+    return base + f"\nSELECT user_id, {cols} FROM pd GROUP BY user_id"
+
+
+def _feature_frame_sql() -> str:
+    feats = ["n_chars", "quality", "toxic", "word_count", "char_count", "avg_word_length", "sentence_count",
+             "exclamation_count", "question_count", "uppercase_ratio"]
+    raw = f"""SELECT doc_id, n_chars::DOUBLE AS n_chars, quality::DOUBLE AS quality, toxic::DOUBLE AS toxic,
+  len({_TOK_SQL})::DOUBLE AS word_count, length(text)::DOUBLE AS char_count,
+  length(text) / (len({_TOK_SQL}) + 1) AS avg_word_length,
+  len(regexp_extract_all(text, '[.!?]+'))::DOUBLE AS sentence_count,
+  len(regexp_extract_all(text, '!'))::DOUBLE AS exclamation_count,
+  len(regexp_extract_all(text, '\\?'))::DOUBLE AS question_count,
+  length(regexp_replace(text, '[^\\p{{Lu}}]', '', 'g')) / nullif(length(text), 0) AS uppercase_ratio
+FROM {_DL}"""
+    outs = ", ".join(f"round(coalesce(r.{f}, m.{f}), 9) AS {f}" for f in feats)
+    means = ", ".join(f"avg({f}) AS {f}" for f in feats)
+    return f"WITH r AS ({raw}), m AS (SELECT {means} FROM r)\nSELECT r.doc_id, {outs} FROM r, m"
+
+
+ORACLE.update({
+    "text_features": _text_feat_sql("documents"),
+    "elite_count": """
+        WITH y AS (SELECT o_custkey, array_to_string(list_sort(list_distinct(list(year(o_orderdate)::VARCHAR))), ',') AS elite
+                   FROM orders GROUP BY o_custkey)
+        SELECT c.c_custkey AS o_custkey, y.elite, coalesce(len(string_split(y.elite, ',')), 0)::BIGINT AS elite_count
+        FROM customer c LEFT JOIN y ON c.c_custkey = y.o_custkey""",
+    "hours_total": _hours_sql(True),
+    "hours_by_day": _hours_sql(False),
+    "tenure_years": """SELECT l.l_orderkey, l.l_linenumber::BIGINT AS l_linenumber,
+        round(floor((epoch_us(l.l_shipdate) - epoch_us(o.o_orderdate)) / 86400000000) / 365.0, 9) AS tenure_years
+        FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey""",
+    "date_parts": """SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, year(l_shipdate)::BIGINT AS year,
+        month(l_shipdate)::BIGINT AS month, (isodow(l_shipdate) - 1)::BIGINT AS weekday, hour(l_shipdate)::BIGINT AS hour
+        FROM lineitem""",
+    "ratios": """
+        WITH p AS (SELECT o_custkey, count(*) AS n,
+                          floor((epoch_us(max(o_orderdate)) - epoch_us(min(o_orderdate))) / 86400000000) / 365.0 AS span
+                   FROM orders GROUP BY o_custkey)
+        SELECT c.c_custkey AS o_custkey, coalesce(p.n, 0)::BIGINT AS n_orders, round(p.span, 9) AS span_years,
+               round(c.c_acctbal / (coalesce(p.n, 0) + 1.0), 9) AS engagement_ratio,
+               round(coalesce(p.n, 0) / (p.span + 1.0), 9) AS reviews_per_year
+        FROM customer c LEFT JOIN p ON c.c_custkey = p.o_custkey""",
+    "onehot_segment": """SELECT c_custkey,
+        (CASE WHEN c_mktsegment = 'BUILDING' THEN 1 ELSE 0 END)::BIGINT AS seg_BUILDING,
+        (CASE WHEN c_mktsegment = 'FURNITURE' THEN 1 ELSE 0 END)::BIGINT AS seg_FURNITURE,
+        (CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN 1 ELSE 0 END)::BIGINT AS seg_HOUSEHOLD,
+        (CASE WHEN c_mktsegment = 'MACHINERY' THEN 1 ELSE 0 END)::BIGINT AS seg_MACHINERY FROM customer""",
+    "impute_mean": f"""WITH j AS (SELECT doc_id, quality::DOUBLE AS quality, toxic::DOUBLE AS toxic FROM {_DL}),
+        m AS (SELECT avg(quality) AS mq, avg(toxic) AS mt FROM j)
+        SELECT doc_id, round(coalesce(quality, mq), 9) AS quality, round(coalesce(toxic, mt), 9) AS toxic FROM j, m""",
+    "fill_const": f"""SELECT doc_id, coalesce(quality, 0)::BIGINT AS quality, coalesce(toxic, 0)::BIGINT AS toxic FROM {_DL}""",
+    "is_category_flag": """SELECT p_partkey, (CASE WHEN coalesce(contains(lower(p_type), 'econ'), false) THEN 1 ELSE 0 END)::BIGINT
+        AS is_flag FROM part""",
+    "drop_null_subset": f"""SELECT doc_id, quality::BIGINT AS quality, toxic::BIGINT AS toxic FROM {_DL} WHERE quality IS NOT NULL""",
+    "tfidf_table": _tfidf_sql(),
+    "ngram_top": _ngram_top_sql(),
+    "sentiment_lexicon": _sentiment_sql(),
+    "doc_mean_vector": _mean_vec_sql(),
+    "union_chunks": """SELECT event_type, count(*) AS n, round(sum(value), 6) AS total_value FROM
+        (SELECT * FROM events WHERE ts < TIMESTAMP '2024-01-16' UNION ALL SELECT * FROM events WHERE ts >= TIMESTAMP '2024-01-16')
+        GROUP BY event_type""",
+    "feature_frame": _feature_frame_sql(),
+    "standardize": """WITH s AS (SELECT avg(l_quantity) mq, stddev_pop(l_quantity) sq, avg(l_extendedprice) me,
+            stddev_pop(l_extendedprice) se, avg(l_discount) md, stddev_pop(l_discount) sd, avg(l_tax) mt,
+            stddev_pop(l_tax) stt FROM lineitem)
+        SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber,
+          round(CASE WHEN sq = 0 THEN 0 ELSE (l_quantity - mq) / sq END, 6) AS l_quantity,
+          round(CASE WHEN se = 0 THEN 0 ELSE (l_extendedprice - me) / se END, 6) AS l_extendedprice,
+          round(CASE WHEN sd = 0 THEN 0 ELSE (l_discount - md) / sd END, 6) AS l_discount,
+          round(CASE WHEN stt = 0 THEN 0 ELSE (l_tax - mt) / stt END, 6) AS l_tax FROM lineitem, s""",
+    "hash_split_counts": """WITH u AS (SELECT ('0x' || substr(md5('42' || o_orderkey::VARCHAR), 1, 8))::BIGINT / 4294967296.0 AS u
+                         FROM orders)
+        SELECT CASE WHEN u < 0.7 THEN 'train' WHEN u < 0.85 THEN 'val' ELSE 'test' END AS split, count(*) AS n
+        FROM u GROUP BY 1""",
+    "metrics_table": """
+        WITH p AS (SELECT 'price_rule' AS model, l_quantity AS y, l_extendedprice / 1500.0 AS p FROM lineitem
+                   UNION ALL SELECT 'constant' AS model, l_quantity AS y, 25.5 AS p FROM lineitem)
+        SELECT model, round(avg(abs(y - p)), 6) AS MAE, round(sqrt(avg((y - p) * (y - p))), 6) AS RMSE,
+               round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)), 6) AS R2 FROM p GROUP BY model""",
+})
+
+
 # ================================================================== contract
 
 def entry(spark: SparkSession) -> DataFrame:

@@ -28,3 +28,34 @@ NEGATIONS = ["not", "no", "never", "n't", "ne", "pas", "jamais", "nicht", "kein"
 # Train / validation / test fractions and seed of the split.
 SPLIT_WEIGHTS = (0.70, 0.15, 0.15)
 SPLIT_SEED = 42
+
+# Random-search space of the second boosted learner
+# (kind, low, high); integer highs are exclusive, float ranges inclusive.
+RANDOM_SEARCH_SPACE = {
+    "n_estimators": ("int", 50, 300),
+    "learning_rate": ("uniform", 0.01, 0.31),
+    "max_depth": ("int", 3, 10),
+    "subsample": ("uniform", 0.6, 1.0),
+    "colsample_bytree": ("uniform", 0.5, 1.0),
+}
+
+# Sequential-study space of the final boosted model
+# (kind, low, high); integer ranges inclusive, "log" samples log-uniformly.
+STUDY_SPACE = {
+    "n_estimators": ("int_incl", 100, 1000),
+    "learning_rate": ("log", 1e-3, 0.1),
+    "num_leaves": ("int_incl", 20, 100),
+    "max_depth": ("int_incl", 3, 12),
+    "min_child_samples": ("int_incl", 5, 100),
+    "subsample": ("uniform", 0.6, 1.0),
+    "colsample_bytree": ("uniform", 0.6, 1.0),
+    "reg_alpha": ("log", 1e-8, 10.0),
+    "reg_lambda": ("log", 1e-8, 10.0),
+    "min_split_gain": ("log", 1e-8, 1.0),
+}
+
+# The two TF-IDF blocks of the rating model.
+TFIDF_BLOCKS = [
+    {"ngram_range": (1, 2), "min_df": 5, "max_df": 0.9, "max_terms": 2000, "token_min_len": 1},
+    {"ngram_range": (1, 3), "min_df": 10, "max_df": 0.8, "max_terms": 1000, "token_min_len": 2},
+]

@@ -98,15 +98,20 @@ def regex_tokens(c, min_len: int = 1, lower: bool = True, accents: bool = True)
 
 
 def ngrams(tokens, n: int) -> Column:
-    """Space-joined word n-grams of a token array (empty when too short)."""
+    """Space-joined word n-grams of a token array (empty when too short).
+
+    Built from ``n`` shifted slices merged with ``zip_with``: linear in the
+    number of tokens, and no lambda refers back to the token array (a lambda
+    that does would re-evaluate the whole array for every element).
+    """
     toks = as_col(tokens)
     if n == 1:
         return toks
-    count = F.greatest(F.size(toks) - F.lit(n - 1), F.lit(0))
-    return F.transform(
-        F.array_repeat(F.lit(0), count),
-        lambda _, i: F.array_join(F.slice(toks, i + 1, n), " "),
-    )
+    k = F.greatest(F.size(toks) - F.lit(n - 1), F.lit(0))
+    acc = F.slice(toks, 1, k)
+    for i in range(1, n):
+        acc = F.zip_with(acc, F.slice(toks, i + 1, k), lambda a, b: F.concat(a, F.lit(" "), b))
+    return acc
 
 
 def all_ngrams(tokens, lo: int, hi: int) -> Column:

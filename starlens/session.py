@@ -73,3 +73,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written tables."""
     return os.path.join(checkpoint_dir(spark).rstrip("/"), "tables", name)
+
+
+def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread CPU-heavy row work (tokenising, regex) over the cluster.
+
+    Only when the input has fewer partitions than the cluster's default
+    parallelism (e.g. one large single-row-group file) is it redistributed
+    round-robin; inputs that already arrive in many splits are untouched.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
