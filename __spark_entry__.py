@@ -930,6 +930,177 @@ ORACLE.update({
 })
 
 
+# ================================================================== batch 3: models, vectors, streams
+
+from pyspark.ml.feature import VectorAssembler  # noqa: E402
+from pyspark.ml.functions import vector_to_array  # noqa: E402
+
+from starlens.fixed_values import TFIDF_BLOCKS  # noqa: E402
+from starlens.operators.split import split_frames  # noqa: E402
+from starlens.plans import models as ml  # noqa: E402
+from starlens.plans.rating import compare_models, run_rating_pipeline  # noqa: E402
+from starlens.plans.tune import random_search_cv  # noqa: E402
+from starlens.streaming.ingest import ingest_and_read  # noqa: E402
+
+LI_FEATURES = ["l_extendedprice", "l_discount", "l_tax", "p_retailprice", "p_size", "c_acctbal", "order_year"]
+# Small model sizes for the per-round check; the library defaults are the full ones.
+SMALL_GBT = {"n_estimators": 20, "max_depth": 5, "learning_rate": 0.1}
+SMALL_SPACE = {"n_estimators": ("int", 5, 15), "learning_rate": ("uniform", 0.05, 0.3),
+               "max_depth": ("int", 2, 5), "subsample": ("uniform", 0.6, 1.0),
+               "colsample_bytree": ("uniform", 0.5, 1.0)}
+
+
+def _li_model_frame(spark, d):
+    """Rating stand-in: predict l_quantity of a line from price, discount, tax,
+    its part, its customer and the order year; features standardised on train."""
+    rv = _reviews(spark, d)
+    part = _t(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_retailprice", "p_size")
+    cu = _t(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_acctbal")
+    df = (en.enrich(en.enrich(rv, part, "l_partkey"), cu, "o_custkey")
+          .withColumn("order_year", F.year("o_orderdate"))
+          .withColumn("review_id", F.col("l_orderkey") * F.lit(8) + F.col("l_linenumber")))
+    train, val, test = split_frames(df, "review_id")
+    scaler = PopulationScaler(LI_FEATURES).fit(train)
+    asm = VectorAssembler(inputCols=LI_FEATURES, outputCol="features", handleInvalid="keep")
+
+    def prep(x):
+        return asm.transform(scaler.transform(x)).select(
+            "review_id", F.col("l_quantity").cast("double").alias("label"), "features")
+    return prep(train), prep(val), prep(test)
+
+
+def q_gbt_fit(spark, d):
+    train, _, test = _li_model_frame(spark, d)
+    m = ml.fit_gbt(train, params=SMALL_GBT)
+    return regression_metrics(ml.score(m, test), "label", "prediction", "gbt")
+
+
+def q_rf_fit(spark, d):
+    train, _, test = _li_model_frame(spark, d)
+    m = ml.fit_forest(train, params={"n_estimators": 20, "max_depth": 8})
+    return regression_metrics(ml.score(m, test), "label", "prediction", "forest")
+
+
+def q_fm_fit(spark, d):
+    train, _, test = _li_model_frame(spark, d)
+    m = ml.fit_fm(train, params={"stepSize": 0.01, "maxIter": 50})
+    return regression_metrics(ml.score(m, test), "label", "prediction", "fm")
+
+
+def q_importances(spark, d):
+    train, _, _ = _li_model_frame(spark, d)
+    m = ml.fit_gbt(train, params=SMALL_GBT)
+    return ml.feature_importances(spark, m, LI_FEATURES, 20)
+
+
+def q_random_search(spark, d):
+    train, _, _ = _li_model_frame(spark, d)
+    _, trials = random_search_cv(train, ml.fit_gbt, SMALL_SPACE, "review_id", n_iter=3, folds=3, metric="mae")
+    return trials
+
+
+def q_compare_models(spark, d):
+    train, _, test = _li_model_frame(spark, d)
+    return compare_models(train, test, params={"gbt": SMALL_GBT, "forest": {"n_estimators": 20, "max_depth": 8},
+                                               "fm": {"stepSize": 0.01, "maxIter": 50}})
+
+
+def q_rating_pipeline(spark, d):
+    frame, feats = _doc_features(spark, d)
+    labelled = frame.join(_t(spark, d, "labels").select("doc_id", F.col("toxic").alias("rating")), "doc_id", "inner")
+    feats = [f for f in feats if f not in ("quality", "toxic")]
+    res = run_rating_pipeline(labelled, feats, "doc_id", "rating", "text", n_trials=2, space=SMALL_SPACE)
+    return res.metrics
+
+
+def q_word2vec_embed(spark, d):
+    docs = _t(spark, d, "documents")
+    _, vecs = eb.train_word_vectors(docs, "text", dim=100, window=5, min_count=1)
+    mv = eb.mean_vectors(docs, "doc_id", "text", vecs, 100)
+    return mv.select("doc_id", "n_in_vocab", F.size("vector").alias("dim"))
+
+
+def q_encoder_embed(spark, d):
+    docs = _t(spark, d, "documents").select("doc_id", "text")
+    e = eb.embed_batches(docs, "text", eb.HashingEncoder(64), batch=64, max_tokens=128)
+    return e.select("doc_id", F.size("embedding").alias("dim"),
+                    F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)), 6).alias("norm"))
+
+
+def q_pca_2d(spark, d):
+    return _norm(eb.pca_2d(_t(spark, d, "embeddings"), "embedding", "vec_id"), 6)
+
+
+def q_tfidf_block(spark, d):
+    docs = _t(spark, d, "documents").select("doc_id", "text")
+    out, cols = docs, []
+    for i, b in enumerate(TFIDF_BLOCKS):
+        m = tf.TfidfBlock(output_col=f"tfidf{i}", **b).fit(docs, "doc_id", "text")
+        out = m.transform(out, "doc_id", "text")
+        cols.append(f"tfidf{i}")
+    out = VectorAssembler(inputCols=cols, outputCol="stacked").transform(out)
+    sel = [F.col("doc_id")]
+    for i, c in enumerate(cols + ["stacked"]):
+        a = vector_to_array(F.col(c))
+        nnz = F.size(F.filter(a, lambda x: x != 0.0)).cast("long")
+        sel += [nnz.alias(f"nnz_{c}")]
+        if c != "stacked":
+            sel += [F.round(F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x)), 9).alias(f"norm_{c}")]
+    return out.select(*sel)
+
+
+def q_stream_ingest(spark, d):
+    src = _t(spark, d, "events")
+    table = ingest_and_read(spark, f"{d}/events*.parquet", src.schema, fmt="parquet", max_files=1)
+    return _norm(table.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total_value")), 6)
+
+
+QUERIES.update({
+    "gbt_fit": q_gbt_fit,
+    "rf_fit": q_rf_fit,
+    "fm_fit": q_fm_fit,
+    "importances": q_importances,
+    "random_search": q_random_search,
+    "compare_models": q_compare_models,
+    "rating_pipeline": q_rating_pipeline,
+    "word2vec_embed": q_word2vec_embed,
+    "encoder_embed": q_encoder_embed,
+    "pca_2d": q_pca_2d,
+    "tfidf_block": q_tfidf_block,
+    "stream_ingest": q_stream_ingest,
+})
+
+
+def _tfidf_block_sql() -> str:
+    ctes, sels, joins = [], [], []
+    for i, b in enumerate(TFIDF_BLOCKS):
+        lo, hi = b["ngram_range"]
+        body = _ngrams_sql(b["token_min_len"], lo, hi).replace("d AS (", f"d{i} AS (", 1) \
+            .replace("FROM d\n", f"FROM d{i}\n").replace("FROM d WHERE", f"FROM d{i} WHERE") \
+            .replace("terms AS (", f"terms{i} AS (").replace("tf AS (", f"tf{i} AS (").replace("FROM terms GROUP", f"FROM terms{i} GROUP")
+        if body.rstrip().endswith("FROM d"):
+            body = body.rstrip()[:-len("FROM d")] + f"FROM d{i}"
+        maxdf = b["max_df"]
+        ctes.append(body)
+        ctes.append(f"""v{i} AS (SELECT term, count(*) AS df, ln((1.0 + n.n) / (1.0 + count(*))) + 1.0 AS idf FROM tf{i}, n
+            GROUP BY term, n.n HAVING count(*) >= {b['min_df']} AND count(*) <= {maxdf} * n.n
+            ORDER BY sum(tf) DESC, term LIMIT {b['max_terms']})""")
+        ctes.append(f"""w{i} AS (SELECT doc_id, count(*) AS nnz, sqrt(sum((tf * idf) * (tf * idf))) AS nrm
+            FROM tf{i} JOIN v{i} USING (term) GROUP BY doc_id)""")
+        sels.append(f"coalesce(w{i}.nnz, 0)::BIGINT AS nnz_tfidf{i}, "
+                    f"round(CASE WHEN w{i}.nrm > 0 THEN 1.0 ELSE 0.0 END, 9) AS norm_tfidf{i}")
+        joins.append(f"LEFT JOIN w{i} USING (doc_id)")
+    return ("WITH n AS (SELECT count(doc_id)::DOUBLE AS n FROM documents),\n" + ",\n".join(ctes) +
+            f"\nSELECT doc_id, {', '.join(sels)}, (coalesce(w0.nnz, 0) + coalesce(w1.nnz, 0))::BIGINT AS nnz_stacked\n"
+            f"FROM documents {' '.join(joins)}")
+
+
+ORACLE.update({
+    "tfidf_block": _tfidf_block_sql(),
+    "stream_ingest": """SELECT event_type, count(*) AS n, round(sum(value), 6) AS total_value FROM events GROUP BY event_type""",
+})
+
+
 # ================================================================== contract
 
 def entry(spark: SparkSession) -> DataFrame:
