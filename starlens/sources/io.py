@@ -81,9 +81,8 @@ def read_word_vectors(spark: SparkSession, path: str, dim: int | None = None) ->
                 .filter(F.col("word").isNotNull() & (F.col("word") != ""))
     if dim:
         rows = rows.filter(F.size("vector") == dim)
-    last = rows.groupBy("word").agg(F.max(F.struct("__f", "__id")).alias("__k"))
-    return rows.join(last, (rows.word == last.word) & (rows.__f == last["__k.__f"]) & (rows.__id == last["__k.__id"])) \
-               .select(rows.word, rows.vector)
+    # one aggregate: for each word keep the vector of its last line
+    return rows.groupBy("word").agg(F.max_by("vector", F.struct("__f", "__id")).alias("vector"))
 
 
 def table_schema(df: DataFrame) -> list[tuple[str, str]]:
