@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import warnings
+from contextlib import contextmanager
 
+from pyspark import StorageLevel
 from pyspark.ml.regression import (FMRegressor, GBTRegressor, LinearRegression,
                                    RandomForestRegressor)
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +41,19 @@ def to_spark_params(params: dict | None, mapping: dict) -> tuple[dict, list]:
     return out, ignored
 
 
+@contextmanager
+def training_input(df: DataFrame):
+    """Iterative learners run one task per input partition on every pass, so
+    the rows are spread evenly over the cluster's cores and kept (memory,
+    spilling to disk) for the passes; released after the fit."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    data = df.repartition(n).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield data
+    finally:
+        data.unpersist()
+
+
 def fit_gbt(train: DataFrame, features_col: str = "features", label_col: str = "label",
             params: dict | None = None, seed: int = 42, max_bins: int = 256,
             validation_col: str | None = None):
@@ -48,13 +63,15 @@ def fit_gbt(train: DataFrame, features_col: str = "features", label_col: str = "
     if validation_col:
         kw.update(validationIndicatorCol=validation_col)
     kw.update(sp)
-    return GBTRegressor(**kw).fit(train)
+    with training_input(train) as data:
+        return GBTRegressor(**kw).fit(data)
 
 
 def fit_forest(train: DataFrame, features_col: str = "features", label_col: str = "label",
                params: dict | None = None, seed: int = 42):
     sp, _ = to_spark_params(params, FOREST_PARAMS)
-    return RandomForestRegressor(featuresCol=features_col, labelCol=label_col, seed=seed, **sp).fit(train)
+    with training_input(train) as data:
+        return RandomForestRegressor(featuresCol=features_col, labelCol=label_col, seed=seed, **sp).fit(data)
 
 
 def fit_fm(train: DataFrame, features_col: str = "features", label_col: str = "label",
@@ -63,14 +80,16 @@ def fit_fm(train: DataFrame, features_col: str = "features", label_col: str = "l
     kw = dict(featuresCol=features_col, labelCol=label_col, seed=seed, solver="adamW",
               stepSize=0.001, regParam=0.001, maxIter=100, factorSize=8)
     kw.update(params or {})
-    return FMRegressor(**kw).fit(train)
+    with training_input(train) as data:
+        return FMRegressor(**kw).fit(data)
 
 
 def fit_linear(train: DataFrame, features_col: str = "features", label_col: str = "label",
                params: dict | None = None, seed: int = 42):
     kw = dict(featuresCol=features_col, labelCol=label_col, regParam=0.001)
     kw.update(params or {})
-    return LinearRegression(**kw).fit(train)
+    with training_input(train) as data:
+        return LinearRegression(**kw).fit(data)
 
 
 LEARNERS = {"gbt": fit_gbt, "forest": fit_forest, "fm": fit_fm, "linear": fit_linear}
