@@ -658,8 +658,7 @@ def q_tfidf_table(spark, d):
 
 
 def q_ngram_top(spark, d):
-    freqs = tf.term_frequencies(_t(spark, d, "documents"), "doc_id", "text", ngram_range=(1, 3), token_min_len=2)
-    corpus = freqs.groupBy("term").agg(F.sum("tf").alias("cnt"))
+    corpus = tf.corpus_term_counts(_t(spark, d, "documents"), "text", ngram_range=(1, 3), token_min_len=2)
     return ck.top_k(corpus, "cnt", 20, ["term"])
 
 

@@ -44,11 +44,14 @@ def sentiment(df: DataFrame, id_col: str, text_col: str, lexicon: DataFrame, neg
     lex = maybe_broadcast(lex, broadcast_max_rows)
     pairs = word_with_previous(df, id_col, text_col)
     scored = pairs.join(lex, "word", "left")
-    prev_lex = lex.select(F.col("word").alias("prev"), F.col("inten").alias("prev_inten"))
-    scored = scored.join(prev_lex, "prev", "left")
     neg = F.array(*[F.lit(w) for w in negations])
-    mod = F.coalesce(F.col("prev_inten"), F.lit(1.0)) * \
-        F.when(F.array_contains(neg, F.col("prev")), F.lit(-0.5)).otherwise(F.lit(1.0))
+    mod = F.when(F.array_contains(neg, F.col("prev")), F.lit(-0.5)).otherwise(F.lit(1.0))
+    if "intensity" in lexicon.columns:
+        # previous-word intensifiers need a second lookup of the (broadcast) lexicon
+        prev_lex = lex.filter(F.col("inten").isNotNull()).select(F.col("word").alias("prev"),
+                                                                 F.col("inten").alias("prev_inten"))
+        scored = scored.join(prev_lex, "prev", "left")
+        mod = F.coalesce(F.col("prev_inten"), F.lit(1.0)) * mod
     hit = F.col("pol").isNotNull()
     return scored.groupBy(id_col).agg(
         F.coalesce(F.avg(F.when(hit, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("pol") * mod)))),
