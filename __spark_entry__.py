@@ -1100,6 +1100,63 @@ ORACLE.update({
 })
 
 
+# ================================================================== batch 4: review preparation
+
+def _prep_combined(spark, d):
+    """combined-shaped frame: categories and opening hours on the business
+    (part) side, state and first-order date on the user (customer) side."""
+    li = _t(spark, d, "lineitem")
+    od = _t(spark, d, "orders")
+    rv = li.join(od.select("o_orderkey", "o_custkey"), li.l_orderkey == od.o_orderkey, "inner").select(
+        (F.col("l_orderkey") * F.lit(8) + F.col("l_linenumber")).alias("review_id"),
+        F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("business_id"),
+        F.col("l_quantity").alias("stars"), F.col("l_shipdate").alias("date"))
+    size = F.col("p_size")
+    hours = F.concat(F.lit("{'Monday': '"), (size % 10).cast("string"), F.lit(":0-"),
+                     ((size * 7) % 24).cast("string"), F.lit(":0', 'Tuesday': '"), (size % 5).cast("string"),
+                     F.lit(":15-"), (size % 5 + 9).cast("string"), F.lit(":45'}"))
+    business = _t(spark, d, "part").select(F.col("p_partkey").alias("business_id"),
+                                           F.col("p_type").alias("categories"), hours.alias("hours"))
+    since = od.groupBy(F.col("o_custkey").alias("user_id")).agg(F.min("o_orderdate").alias("member_since"))
+    nat = _t(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("state"))
+    user = (_t(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), "c_nationkey")
+            .join(nat, "c_nationkey", "left").drop("c_nationkey").join(since, "user_id", "left"))
+    return en.build_combined(rv, business, user)
+
+
+def q_prepare_reviews(spark, d):
+    prepared, model = fe.prepare_reviews(_prep_combined(spark, d), needle="Standard")
+    keep = ["review_id", "is_restaurant", "total_hours", fe.TENURE_COL, "review_year", "review_month",
+            "review_weekday"] + model.output_cols
+    return _norm(prepared.select(*keep), 9)
+
+
+QUERIES.update({"prepare_reviews": q_prepare_reviews})
+
+
+def _prepare_sql() -> str:
+    names = sorted(f"NATION_{i}" for i in range(25))[1:]
+    dummies = ", ".join(f"(CASE WHEN state = '{n}' THEN 1 ELSE 0 END)::BIGINT AS state_{n}" for n in names)
+    return f"""
+WITH r AS (SELECT l.l_orderkey * 8 + l.l_linenumber AS review_id, o.o_custkey AS user_id, l.l_partkey AS business_id,
+                  l.l_shipdate AS review_date FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey),
+b AS (SELECT p_partkey AS business_id, p_type AS categories,
+             ((p_size * 7) % 24 - p_size % 10) + 9 AS total_hours FROM part),
+ms AS (SELECT o_custkey AS user_id, min(o_orderdate) AS member_since FROM orders GROUP BY o_custkey),
+u AS (SELECT c.c_custkey AS user_id, n.n_name AS state, ms.member_since FROM customer c
+      LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey LEFT JOIN ms ON ms.user_id = c.c_custkey),
+j AS (SELECT * FROM r LEFT JOIN b USING (business_id) LEFT JOIN u USING (user_id)
+      WHERE categories IS NOT NULL AND coalesce(contains(lower(categories), 'standard'), false))
+SELECT review_id, 1::BIGINT AS is_restaurant, total_hours::BIGINT AS total_hours,
+       round(floor((epoch_us(review_date) - epoch_us(member_since)) / 86400000000) / 365.0, 9) AS {fe.TENURE_COL},
+       year(review_date)::BIGINT AS review_year, month(review_date)::BIGINT AS review_month,
+       (isodow(review_date) - 1)::BIGINT AS review_weekday, {dummies}
+FROM j"""
+
+
+ORACLE.update({"prepare_reviews": _prepare_sql()})
+
+
 # ================================================================== contract
 
 def entry(spark: SparkSession) -> DataFrame:

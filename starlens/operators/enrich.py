@@ -117,10 +117,15 @@ def build_combined(review: DataFrame, business: DataFrame, user: DataFrame,
     return out
 
 
-def sum_by(df: DataFrame, key: str, col: str, name: str | None = None) -> DataFrame:
-    """Group sum; a group of only NULLs sums to 0 (pandas)."""
+def sum_by(df: DataFrame, key: str, col: str, name: str | None = None, how: str = "sum") -> DataFrame:
+    """Group sum; a group of only NULLs sums to 0 (pandas).
+
+    ``how='max'`` takes the largest value instead, which is the right total
+    when ``col`` is a per-key attribute repeated on every row of the key.
+    """
+    agg = F.sum(col) if how == "sum" else F.max(col)
     return (df.filter(F.col(key).isNotNull()).groupBy(key)
-            .agg(F.coalesce(F.sum(col), F.lit(0)).alias(name or f"sum_{col}")))
+            .agg(F.coalesce(agg, F.lit(0)).alias(name or f"{how}_{col}")))
 
 
 def count_non_null_by(df: DataFrame, key: str, col: str, name: str | None = None) -> DataFrame:
