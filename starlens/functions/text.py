@@ -17,6 +17,18 @@ WHITESPACE = r"(?U)\s+"
 WORD_CLASS = r"[\p{L}\p{N}_]"
 
 
+def elements(arr, name: str, outer: bool = False) -> Column:
+    """Generator: one row per array element, in a column called ``name``.
+
+    Written as ``inline`` over single-field structs: when the array is a
+    computed expression, Spark evaluates it once per row this way, whereas a
+    plain ``explode`` of the same expression measured several times slower.
+    ``outer`` keeps one NULL row for a NULL or empty array.
+    """
+    structs = F.transform(as_col(arr), lambda t: F.struct(t.alias(name)))
+    return F.inline_outer(structs) if outer else F.inline(structs)
+
+
 def tokenize(c) -> Column:
     """``text.split()``: array of whitespace-separated tokens; NULL stays NULL."""
     return F.filter(F.split(as_col(c), WHITESPACE), lambda t: t != F.lit(""))

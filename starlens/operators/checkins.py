@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starlens.functions.dates import date_part, parse_ts
+from starlens.functions.text import elements
 from starlens.functions.hours import DAY_NAMES
 
 TS_FORMAT = "yyyy-MM-dd HH:mm:ss"
@@ -22,9 +23,8 @@ def explode_timestamps(df: DataFrame, col: str, sep: str = ", ", fmt: str = TS_F
     Unparseable entries become NULL timestamps.
     """
     parts = F.split(F.col(col), sep)
-    gen = F.explode_outer(parts) if outer else F.explode(parts)
     others = [c for c in df.columns if c != col]
-    return (df.select(*others, gen.alias("_entry"))
+    return (df.select(*others, elements(parts, "_entry", outer))
               .select(*others, parse_ts(F.col("_entry"), fmt).alias(out_col)))
 
 

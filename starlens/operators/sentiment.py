@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starlens.fixed_values import NEGATIONS
-from starlens.functions.text import WORD_CLASS
+from starlens.functions.text import WORD_CLASS, elements
 from starlens.operators.enrich import maybe_broadcast
 
 TOKEN = WORD_CLASS + "+"
@@ -30,8 +30,7 @@ def word_with_previous(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     staged = df.select(id_col, sentiment_tokens(F.col(text_col)).alias("word"))
     toks = F.col("word")
     prevs = F.concat(F.array(F.lit(None).cast("string")), F.slice(toks, 1, F.greatest(F.size(toks) - 1, F.lit(0))))
-    return staged.select(id_col, F.explode_outer(F.arrays_zip(toks, prevs.alias("prev"))).alias("__p")) \
-                 .select(id_col, F.col("__p.word").alias("word"), F.col("__p.prev").alias("prev"))
+    return staged.select(id_col, F.inline_outer(F.arrays_zip(toks, prevs.alias("prev"))))
 
 
 def sentiment(df: DataFrame, id_col: str, text_col: str, lexicon: DataFrame, negations=NEGATIONS,
@@ -69,7 +68,7 @@ def lexicon_from_labels(docs: DataFrame, labels: DataFrame, id_col: str, text_co
     """
     lab = docs.join(labels, id_col, "inner")
     words = lab.select(id_col, polarity_col, subjectivity_col,
-                       F.explode(F.array_distinct(sentiment_tokens(F.col(text_col)))).alias("word"))
+                       elements(F.array_distinct(sentiment_tokens(F.col(text_col))), "word"))
     return (words.groupBy("word").agg(F.count(F.lit(1)).alias("n_docs"),
                                       F.avg(F.col(polarity_col).cast("double")).alias("__p"),
                                       F.avg(F.col(subjectivity_col).cast("double")).alias("subjectivity"))

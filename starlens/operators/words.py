@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starlens.functions.text import tokenize
+from starlens.functions.text import elements, tokenize
 from starlens.operators.checkins import top_k
 
 
@@ -13,8 +13,7 @@ def words(df: DataFrame, text_col: str, lower: bool = True, stop_words=None, kee
     """One row per whitespace token (``word``), optionally lower-cased and
     stop-word filtered.  The stop list is a small parameter table: it is
     broadcast into a left-anti join (array membership for short lists)."""
-    w = F.explode(tokenize(F.col(text_col)))
-    out = df.select(*keep_cols, w.alias("word"))
+    out = df.select(*keep_cols, elements(tokenize(F.col(text_col)), "word"))
     if lower:
         out = out.withColumn("word", F.lower("word"))
     if stop_words is not None:
