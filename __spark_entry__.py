@@ -994,7 +994,8 @@ def q_importances(spark, d):
 
 def q_random_search(spark, d):
     train, _, _ = _li_model_frame(spark, d)
-    _, trials = random_search_cv(train, ml.fit_gbt, SMALL_SPACE, "review_id", n_iter=3, folds=3, metric="mae")
+    _, trials = random_search_cv(train, ml.fit_gbt, SMALL_SPACE, "review_id", n_iter=3, folds=3, metric="mae",
+                                 parallelism=3)
     return trials
 
 
@@ -1021,7 +1022,7 @@ def q_word2vec_embed(spark, d):
 
 def q_encoder_embed(spark, d):
     docs = _t(spark, d, "documents").select("doc_id", "text")
-    e = eb.embed_batches(docs, "text", eb.HashingEncoder(64), batch=64, max_tokens=128)
+    e = eb.embed_batches(docs, "text", eb.HashingEncoder(64), batch=64)
     return e.select("doc_id", F.size("embedding").alias("dim"),
                     F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)), 6).alias("norm"))
 

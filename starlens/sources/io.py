@@ -47,6 +47,14 @@ def read_csv_table(spark: SparkSession, path: str, schema: T.StructType | str |
     return df.limit(max_rows) if max_rows else df
 
 
+def sample_by_key(df: DataFrame, key_col: str, fraction: float, seed: int = 42) -> DataFrame:
+    """Deterministic sample of about ``fraction`` of the keys (all rows of a
+    chosen key are kept).  The scalable counterpart of a first-N-rows cap:
+    no ordering, no single task, identical on re-execution."""
+    from starlens.operators.split import hash_unit
+    return df.filter(hash_unit(key_col, seed) < F.lit(float(fraction)))
+
+
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     return spark.read.format(fmt).load(path)
 

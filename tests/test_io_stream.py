@@ -73,3 +73,10 @@ def test_windowed_checkins_stream(spark):
     # windows closed by the watermark (last event 03:40 - 1 h) are emitted with full counts
     assert got[base] == 3 and got[base + dt.timedelta(hours=1)] == 3
     assert all(v == 3 for v in got.values())
+
+
+def test_sample_by_key_deterministic(spark):
+    df = spark.range(4000).withColumnRenamed("id", "k")
+    a = {r["k"] for r in io.sample_by_key(df, "k", 0.25).collect()}
+    b = {r["k"] for r in io.sample_by_key(df.repartition(9), "k", 0.25).collect()}
+    assert a == b and 850 < len(a) < 1150
