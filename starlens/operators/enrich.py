@@ -2,29 +2,92 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from starlens.functions.text import elite_count, contains_flag
 from starlens.operators.checkins import top_k
 
-# Default largest dimension (rows) that is broadcast; above it the join is a
-# shuffle join and AQE re-plans with the run-time sizes.
+# Default largest dimension that is broadcast, in rows and in bytes of row
+# data; above either bound the join is a shuffle join and AQE re-plans with
+# the run-time sizes.
 BROADCAST_MAX_ROWS = 2_000_000
+BROADCAST_MAX_BYTES = 256 * 1024 * 1024
+
+
+def _fixed_width(dt: T.DataType) -> int:
+    """Bytes of a fixed-width value (Spark stores each in an 8-byte slot at most)."""
+    if isinstance(dt, (T.BooleanType, T.ByteType)):
+        return 1
+    if isinstance(dt, T.ShortType):
+        return 2
+    if isinstance(dt, (T.IntegerType, T.FloatType, T.DateType)):
+        return 4
+    if isinstance(dt, T.DecimalType) and dt.precision > 18:
+        return 16
+    return 8
+
+
+def _value_bytes(c, dt: T.DataType):
+    """Bytes of one value in Spark's row format (strings/binary by content)."""
+    if isinstance(dt, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0))
+    if isinstance(dt, T.ArrayType):
+        if isinstance(dt.elementType, (T.StringType, T.BinaryType)):
+            inner = F.aggregate(c, F.lit(0).cast("long"),
+                                lambda acc, x: acc + F.coalesce(F.octet_length(x), F.lit(0)) + F.lit(8))
+        else:
+            inner = F.size(c).cast("long") * F.lit(_fixed_width(dt.elementType))
+        return F.coalesce(inner, F.lit(0)) + F.lit(16)
+    if isinstance(dt, T.StructType):
+        out = F.lit(8)
+        for f in dt.fields:
+            out = out + F.lit(8) + _value_bytes(c.getField(f.name), f.dataType)
+        return out
+    if isinstance(dt, T.MapType):
+        return F.coalesce(F.size(c).cast("long"), F.lit(0)) * F.lit(64) + F.lit(16)
+    if isinstance(dt, VectorUDT):
+        return F.coalesce(F.size(vector_to_array(c)).cast("long"), F.lit(0)) * F.lit(12) + F.lit(32)
+    if isinstance(dt, T.UserDefinedType):
+        return _value_bytes(c, dt.sqlType()) if not isinstance(dt.sqlType(), T.StructType) else F.lit(1 << 20)
+    return F.lit(_fixed_width(dt))
+
+
+def row_bytes(df: DataFrame):
+    """Approximate size of each row in Spark's row format: 8 bytes per field
+    slot plus variable-length contents, plus the null bitmap."""
+    total = F.lit(8 * ((len(df.columns) + 63) // 64))
+    for f in df.schema.fields:
+        total = total + F.lit(8) + _value_bytes(F.col(f"`{f.name}`"), f.dataType)
+    return total
+
+
+def bounded_size(df: DataFrame, max_rows: int, max_bytes: int | None = BROADCAST_MAX_BYTES) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows and ``max_bytes`` bytes.
+
+    A LIMIT short-circuits the scan, so the check reads at most
+    ``max_rows + 1`` rows however large ``df`` is; both figures come from
+    that one pass.
+    """
+    head = df.limit(max_rows + 1)
+    if not max_bytes:
+        return head.count() <= max_rows
+    r = head.agg(F.count(F.lit(1)).alias("n"), F.sum(row_bytes(df)).alias("b")).first()
+    return r["n"] <= max_rows and (r["b"] or 0) <= max_bytes
 
 
 def bounded_rows(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows.
-
-    A LIMIT short-circuits the count, so the check reads at most
-    ``max_rows + 1`` rows however large ``df`` is.
-    """
-    return df.limit(max_rows + 1).count() <= max_rows
+    """True when ``df`` has at most ``max_rows`` rows (reads at most ``max_rows + 1``)."""
+    return bounded_size(df, max_rows, None)
 
 
-def maybe_broadcast(df: DataFrame, max_rows: int | None) -> DataFrame:
-    """Broadcast hint only behind a proven row bound; else leave it to AQE."""
-    if max_rows and bounded_rows(df, max_rows):
+def maybe_broadcast(df: DataFrame, max_rows: int | None,
+                    max_bytes: int | None = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Broadcast hint only behind a proven row and byte bound; else leave it to AQE."""
+    if max_rows and bounded_size(df, max_rows, max_bytes):
         return F.broadcast(df)
     return df
 
@@ -89,7 +152,7 @@ def build_combined(review: DataFrame, business: DataFrame, user: DataFrame,
     ====================== ======== =========================
 
     The business address and the raw colliding columns are not carried.
-    The business side is broadcast only behind a row-count bound; the user
+    The business side is broadcast only behind a row and byte bound; the user
     side is normally as large as the fact and is shuffle-joined (AQE splits
     skewed keys).
     """

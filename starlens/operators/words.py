@@ -7,19 +7,20 @@ from pyspark.sql import functions as F
 
 from starlens.functions.text import elements, tokenize
 from starlens.operators.checkins import top_k
+from starlens.operators.enrich import BROADCAST_MAX_ROWS, maybe_broadcast
 
 
 def words(df: DataFrame, text_col: str, lower: bool = True, stop_words=None, keep_cols=()) -> DataFrame:
     """One row per whitespace token (``word``), optionally lower-cased and
-    stop-word filtered.  The stop list is a small parameter table: it is
-    broadcast into a left-anti join (array membership for short lists)."""
+    stop-word filtered.  A stop-word table is broadcast into a left-anti join
+    behind a size check; a Python list becomes array membership."""
     out = df.select(*keep_cols, elements(tokenize(F.col(text_col)), "word"))
     if lower:
         out = out.withColumn("word", F.lower("word"))
     if stop_words is not None:
         if isinstance(stop_words, DataFrame):
-            out = out.join(F.broadcast(stop_words.select(F.col(stop_words.columns[0]).alias("word"))),
-                           "word", "left_anti")
+            stops = stop_words.select(F.col(stop_words.columns[0]).alias("word"))
+            out = out.join(maybe_broadcast(stops, BROADCAST_MAX_ROWS), "word", "left_anti")
         else:
             stops = sorted(set(stop_words))
             out = out.filter(~F.array_contains(F.array(*[F.lit(s) for s in stops]), F.col("word")))

@@ -116,6 +116,17 @@ def test_enrich_left_keeps_facts_and_null_safe(spark):
         en.enrich(fact, dim.unionByName(dim), "k", check_unique=True)
 
 
+def test_broadcast_needs_row_and_byte_bound(spark):
+    df = spark.createDataFrame([("ab" * 50, [1.0, 2.0], 1), (None, None, 2)], "s string, a array<double>, i int")
+    sizes = [r[0] for r in df.select(en.row_bytes(df)).collect()]
+    assert sizes[0] > 100 + 16 and sizes[1] < sizes[0]
+    assert en.bounded_size(df, 10)
+    assert not en.bounded_size(df, 1)              # too many rows
+    assert not en.bounded_size(df, 10, max_bytes=100)  # too many bytes
+    plan = en.maybe_broadcast(df, 10, max_bytes=100)._jdf.queryExecution().logical().toString().lower()
+    assert "broadcast" not in plan
+
+
 def test_sum_by_all_null_is_zero(spark):
     df = spark.createDataFrame([("u", None), ("v", 2)], "k string, x int")
     assert {r["k"]: r["s"] for r in en.sum_by(df, "k", "x", "s").collect()} == {"u": 0, "v": 2}
