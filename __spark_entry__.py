@@ -556,6 +556,7 @@ from starlens.operators import embed as eb  # noqa: E402
 from starlens.operators import features as fe  # noqa: E402
 from starlens.operators import sentiment as se  # noqa: E402
 from starlens.operators import tfidf as tf  # noqa: E402
+from starlens.operators.rank import sorted_positions  # noqa: E402
 from starlens.operators.scale import PopulationScaler  # noqa: E402
 from starlens.operators.split import hash_split  # noqa: E402
 from starlens.plans.evaluate import pivot_metrics, regression_metrics  # noqa: E402
@@ -672,14 +673,13 @@ def q_sentiment_lexicon(spark, d):
 
 
 def _ranked_vectors(spark, d):
-    """Word vectors: the i-th most frequent whitespace token gets embedding vec_id i."""
+    """Word vectors: the i-th most frequent whitespace token gets embedding vec_id i.
+
+    Positions over the whole vocabulary are computed distributed (range sort +
+    per-partition offsets); words beyond the vector table find no vector."""
     docs = _t(spark, d, "documents")
     emb = _t(spark, d, "embeddings")
-    n_vec = emb.count()
-    top = ck.top_k(wd.word_counts(docs, "text", lower=False), "cnt", n_vec, ["word"])
-    from pyspark.sql import Window
-    # the ranked frame is at most n_vec rows (bounded by the vector table)
-    ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("cnt"), "word")) - 1)
+    ranked = sorted_positions(wd.word_counts(docs, "text", lower=False), [F.desc("cnt"), F.asc("word")], "rank")
     return eb.vectors_from_ranked_words(ranked, emb, "rank", "vec_id", "embedding")
 
 

@@ -7,7 +7,9 @@ repeated equal-width histograms: each pass is an ordinary partial/final
 aggregation that returns at most ``bins`` rows per open interval, the
 interval containing the rank is narrowed to that bin's own min/max, and once
 a bin holds at most ``leaf_rows`` rows its distinct values are counted and
-the rank is read off.  Only these bounded summaries reach the driver.
+the rank is read off.  The running counts that locate a rank are windows
+over one interval's summary rows (at most ``bins`` of them), so only one row
+per wanted rank reaches the driver on each pass.
 
 Interpolation is linear between the two neighbouring order statistics
 (pandas / numpy default; DuckDB ``quantile_cont``).
@@ -17,7 +19,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,6 +63,25 @@ def _tag_intervals(base: DataFrame, by: list[str], intervals: list[tuple]) -> Da
                 .filter((F.col("__x") >= F.col("lo")) & (F.col("__x") <= F.col("hi"))))
 
 
+def _locate_ranks(summary: DataFrame, order_col: str, wants: list[tuple]) -> dict:
+    """{want id: row} -- for each want ``(wid, iid, k)`` the row of ``summary``
+    (``iid``, ``order_col``, count ``c``, ...) holding the k-th element
+    (0-based) of interval ``iid`` in ``order_col`` order, with ``__before``
+    = elements of the interval before that row.
+
+    The running count is a window per interval, and an interval has at most
+    ``bins`` (or ``leaf_rows`` distinct values) summary rows, so no window
+    partition grows with the data; only one row per want reaches the driver.
+    """
+    spark = summary.sparkSession
+    wt = spark.createDataFrame(wants, "wid int, iid int, k long")
+    w = Window.partitionBy("iid").orderBy(order_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = summary.withColumn("__cum", F.sum("c").over(w)).withColumn("__before", F.col("__cum") - F.col("c"))
+    hit = (run.join(F.broadcast(wt), "iid")
+              .filter((F.col("__before") <= F.col("k")) & (F.col("k") < F.col("__cum"))))
+    return {r["wid"]: r for r in hit.collect()}
+
+
 def quantile_values(df: DataFrame, col: str, probs, by=None, bins: int = 2048,
                     leaf_rows: int = 20000, max_groups: int = 10000) -> dict:
     """{group_key_tuple: {"n":, "min":, "max":, "q": [value per prob]}}.
@@ -109,40 +130,33 @@ def quantile_values(df: DataFrame, col: str, probs, by=None, bins: int = 2048,
         binned = tagged.select("iid", F.least(
             F.floor((F.col("__x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.lit(bins)),
             F.lit(bins - 1)).cast("int").alias("bin"), "__x")
-        hist = {}
-        for r in (binned.groupBy("iid", "bin")
-                  .agg(F.count(F.lit(1)).alias("c"), F.min("__x").alias("a"), F.max("__x").alias("b"))
-                  .collect()):
-            hist.setdefault(r["iid"], []).append((r["bin"], r["c"], r["a"], r["b"]))
+        hist = (binned.groupBy("iid", "bin")
+                .agg(F.count(F.lit(1)).alias("c"), F.min("__x").alias("a"), F.max("__x").alias("b")))
+        items = list(state.items())
+        found = _locate_ranks(hist, "bin", [(w, ivals[(g, lo, hi)], k - below)
+                                            for w, ((g, k), (lo, hi, below)) in enumerate(items)])
         leaves, nxt = {}, {}
-        for (g, k), (lo, hi, below) in state.items():
-            cum = below
-            for _b, c, a, b in sorted(hist.get(ivals[(g, lo, hi)], [])):
-                if cum + c > k:
-                    if a == b:
-                        value[(g, k)] = a
-                    elif c <= leaf_rows:
-                        leaves[(g, k)] = (a, b, cum)
-                    else:
-                        nxt[(g, k)] = (a, b, cum)
-                    break
-                cum += c
+        for w, ((g, k), (lo, hi, below)) in enumerate(items):
+            r = found[w]
+            c, a, b = r["c"], r["a"], r["b"]
+            before = below + r["__before"]
+            if a == b:
+                value[(g, k)] = a
+            elif c <= leaf_rows:
+                leaves[(g, k)] = (a, b, before)
+            else:
+                nxt[(g, k)] = (a, b, before)
         if leaves:
             livals = {}
             for (g, k), (lo, hi, below) in leaves.items():
                 livals.setdefault((g, lo, hi), len(livals))
             lint = [(iid, g, lo, hi) for (g, lo, hi), iid in livals.items()]
-            counts = {}
-            for r in (_tag_intervals(base, by, lint).groupBy("iid", "__x")
-                      .agg(F.count(F.lit(1)).alias("c")).collect()):
-                counts.setdefault(r["iid"], []).append((r["__x"], r["c"]))
-            for (g, k), (lo, hi, below) in leaves.items():
-                cum = below
-                for x, c in sorted(counts[livals[(g, lo, hi)]]):
-                    if cum + c > k:
-                        value[(g, k)] = x
-                        break
-                    cum += c
+            counts = _tag_intervals(base, by, lint).groupBy("iid", "__x").agg(F.count(F.lit(1)).alias("c"))
+            litems = list(leaves.items())
+            lfound = _locate_ranks(counts, "__x", [(w, livals[(g, lo, hi)], k - below)
+                                                   for w, ((g, k), (lo, hi, below)) in enumerate(litems)])
+            for w, ((g, k), _) in enumerate(litems):
+                value[(g, k)] = lfound[w]["__x"]
         state = nxt
     for g, info in out.items():
         n = info["n"]

@@ -127,6 +127,20 @@ def test_broadcast_needs_row_and_byte_bound(spark):
     assert "broadcast" not in plan
 
 
+def test_sorted_positions_match_row_number(spark):
+    from pyspark.sql import Window
+    from starlens.operators.rank import sorted_positions
+    rng = np.random.default_rng(7)
+    n = 3000
+    cnt = np.where(np.arange(n) % 3 == 0, 1, rng.integers(1, 50, size=n))  # a third share one value
+    df = spark.createDataFrame([(f"w{i:05d}", int(c)) for i, c in enumerate(cnt)], "word string, cnt long").repartition(7)
+    order = [F.desc("cnt"), F.asc("word")]
+    got = {r["word"]: r["pos"] for r in sorted_positions(df, order, "pos").collect()}
+    exp = {r["word"]: r["pos"] for r in df.select("word", (F.row_number().over(Window.orderBy(*order)) - 1)
+                                                  .alias("pos")).collect()}
+    assert got == exp and sorted(got.values()) == list(range(n))
+
+
 def test_sum_by_all_null_is_zero(spark):
     df = spark.createDataFrame([("u", None), ("v", 2)], "k string, x int")
     assert {r["k"]: r["s"] for r in en.sum_by(df, "k", "x", "s").collect()} == {"u": 0, "v": 2}
