@@ -33,7 +33,7 @@ def main():
     args = ap.parse_args()
     files = [f for f in glob.glob(os.path.join(args.folder, "**", "*"), recursive=True)
              if os.path.isfile(f) and "appstatus" not in os.path.basename(f)]
-    jobs, stages = {}, {}
+    jobs, stages, tasks = {}, {}, {}
     for f in sorted(files):
         for line in _lines(f):
             e = json.loads(line)
@@ -42,6 +42,9 @@ def main():
                 jobs[e["Job ID"]] = [e["Submission Time"], None, [s["Stage ID"] for s in e["Stage Infos"]]]
             elif ev == "SparkListenerJobEnd" and e["Job ID"] in jobs:
                 jobs[e["Job ID"]][1] = e["Completion Time"]
+            elif ev == "SparkListenerTaskEnd":
+                ti = e["Task Info"]
+                tasks.setdefault(e["Stage ID"], []).append(ti["Finish Time"] - ti["Launch Time"])
             elif ev == "SparkListenerStageCompleted":
                 si = e["Stage Info"]
                 if si.get("Submission Time") and si.get("Completion Time"):
@@ -53,7 +56,8 @@ def main():
         print(f"job {j:4d} {((b - a) if b else -1):7d} ms  stages {st}")
     print("slowest stages:")
     for sid, (ms, n, name) in sorted(stages.items(), key=lambda x: -x[1][0])[:args.top]:
-        print(f"stage {sid:4d} {ms:7d} ms {n:4d} tasks  {name}")
+        ts = sorted(tasks.get(sid, [0]))
+        print(f"stage {sid:4d} {ms:7d} ms {n:4d} tasks (task ms median {ts[len(ts) // 2]}, max {ts[-1]})  {name}")
 
 
 if __name__ == "__main__":
