@@ -141,6 +141,25 @@ def test_sorted_positions_match_row_number(spark):
     assert got == exp and sorted(got.values()) == list(range(n))
 
 
+def test_drop_strict_raises_on_missing(spark):
+    df = spark.createDataFrame([(1, 2)], "a int, b int")
+    assert en.drop_strict(df, ["a"]).columns == ["b"]
+    with pytest.raises(KeyError):
+        en.drop_strict(df, ["a", "zz"])
+
+
+def test_describe_approx_close_to_exact(spark):
+    rng = np.random.default_rng(3)
+    vals = rng.normal(size=4000)
+    df = spark.createDataFrame([(float(v), float(v) * 2) for v in vals], "x double, y double")
+    ex = {r["column_name"]: r for r in st.describe_numeric(df, ["x", "y"]).collect()}
+    ap = {r["column_name"]: r for r in st.describe_numeric(df, ["x", "y"], exact=False).collect()}
+    assert ex["x"]["p50"] == pytest.approx(float(np.quantile(vals, 0.5)), abs=1e-12)
+    for c in ("x", "y"):
+        for p in ("p25", "p50", "p75"):
+            assert ap[c][p] == pytest.approx(ex[c][p], abs=0.01 * (ex[c]["max"] - ex[c]["min"]))
+
+
 def test_sum_by_all_null_is_zero(spark):
     df = spark.createDataFrame([("u", None), ("v", 2)], "k string, x int")
     assert {r["k"]: r["s"] for r in en.sum_by(df, "k", "x", "s").collect()} == {"u": 0, "v": 2}
