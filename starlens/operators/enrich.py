@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from starlens.functions.text import elite_count, contains_flag
+from starlens.functions.text import elite_count
 from starlens.operators.checkins import top_k
 
 # Default largest dimension that is broadcast, in rows and in bytes of row
@@ -226,7 +226,10 @@ def state_counts(df: DataFrame, state_col: str, category_col: str, needle: str =
                  grain: str = "review", entity_col: str | None = None, ignore_case: bool = False) -> DataFrame:
     """Rows (``grain='review'``) or distinct entities (``'business'``) per state
     among rows whose category contains ``needle`` (NULL category -> excluded)."""
-    f = df.filter(contains_flag(F.col(category_col), needle, ignore_case)).filter(F.col(state_col).isNotNull())
+    c = F.col(category_col)
+    # a bare predicate (NULL drops the row, as False would) reaches the Parquet scan as StringContains
+    pred = F.lower(c).contains(needle.lower()) if ignore_case else c.contains(needle)
+    f = df.filter(pred).filter(F.col(state_col).isNotNull())
     if grain == "review":
         return f.groupBy(state_col).agg(F.count(F.lit(1)).alias("n"))
     if grain == "business":
