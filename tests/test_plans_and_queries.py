@@ -43,3 +43,24 @@ def test_combined_dimension_broadcast(spark, sf):
                                   "doc_mean_vector", "hash_split_counts"])
 def test_queries_run_small(spark, sf, name):
     assert E.queries()[name](spark, sf).count() > 0
+
+
+def _gathers(plan_text):
+    """The operator feeding each ``Exchange SinglePartition`` (all rows into one task)."""
+    lines = plan_text.splitlines()
+    return [lines[i + 1] if i + 1 < len(lines) else "" for i, line in enumerate(lines)
+            if "Exchange SinglePartition" in line]
+
+
+def test_relational_plans_scale(spark, sf):
+    """Every oracle-checked query: no cartesian / nested-loop joins, no
+    row-at-a-time Python, and nothing data-sized gathered into one task --
+    a single-partition exchange only ever receives aggregated rows (a global
+    aggregate's partial results, or one count per partition)."""
+    qs = E.queries()
+    for name in E.oracle_sql():
+        p = plan(qs[name](spark, sf))
+        for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
+            assert bad not in p, (name, bad)
+        for child in _gathers(p):
+            assert "HashAggregate(" in child or "SortAggregate(" in child, (name, child.strip()[:200])
