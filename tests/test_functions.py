@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from starlens.functions import text as tx
-from starlens.functions.dates import tenure_years, weekday, engagement_ratio, reviews_per_year
+from starlens.functions.dates import parse_ts, tenure_years, weekday, engagement_ratio, reviews_per_year
 from starlens.functions.hours import parse_hours, total_hours
 
 
@@ -89,6 +89,18 @@ def test_weekday_monday_zero(spark):
     assert [r[0] for r in df.select(weekday("t")).collect()] == [0, 6]
 
 
+def test_parse_ts_fixed_and_inferred(spark):
+    fixed = parse_ts(F.col("v"), "yyyy-MM-dd HH:mm:ss")
+    assert one(spark, fixed, "2016-04-25 10:11:12") == dt.datetime(2016, 4, 25, 10, 11, 12)
+    assert one(spark, fixed, "25/04/2016") is None            # lenient: bad text -> NULL
+    inferred = parse_ts(F.col("v"))
+    assert one(spark, inferred, "2016-04-25T10:11:12") == dt.datetime(2016, 4, 25, 10, 11, 12)
+    assert one(spark, inferred, "2016-04-25") == dt.datetime(2016, 4, 25)
+    assert one(spark, inferred, "not a date") is None
+    with pytest.raises(Exception):
+        one(spark, parse_ts(F.col("v"), "yyyy-MM-dd HH:mm:ss", lenient=False), "25/04/2016")
+
+
 def test_ratios_null_instead_of_error(spark):
     df = spark.createDataFrame([(10.0, 4.0, -1.0)], "u double, n double, y double")
     r = df.select(engagement_ratio("u", "n").alias("e"), reviews_per_year("n", "y").alias("p")).first()

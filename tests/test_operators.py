@@ -160,6 +160,15 @@ def test_describe_approx_close_to_exact(spark):
             assert ap[c][p] == pytest.approx(ex[c][p], abs=0.01 * (ex[c]["max"] - ex[c]["min"]))
 
 
+def test_non_null_count_per_key_and_top(spark):
+    df = spark.createDataFrame([("u1", 5.0), ("u1", None), ("u2", 3.0), ("u2", 4.0), (None, 1.0), ("u3", None)],
+                               "u string, s double")
+    got = {r["u"]: r["count_s"] for r in en.count_non_null_by(df, "u", "s").collect()}
+    assert got == {"u1": 1, "u2": 2, "u3": 0}            # NULL key dropped, NULL values not counted
+    top = [(r["u"], r["n"]) for r in en.top_keys(df, "u", 2, count_col="s").collect()]
+    assert top == [("u2", 2), ("u1", 1)]
+
+
 def test_sum_by_all_null_is_zero(spark):
     df = spark.createDataFrame([("u", None), ("v", 2)], "k string, x int")
     assert {r["k"]: r["s"] for r in en.sum_by(df, "k", "x", "s").collect()} == {"u": 0, "v": 2}
