@@ -22,7 +22,7 @@ from pyspark.sql import functions as F  # noqa: E402
 from pyspark.sql import types as T  # noqa: E402
 
 from starlens.fixed_values import ENGLISH_STOP_WORDS  # noqa: E402
-from starlens.session import ensure_parallelism  # noqa: E402
+from starlens.session import cut_lineage, ensure_parallelism  # noqa: E402
 from starlens.functions import text as tx  # noqa: E402
 from starlens.functions.dates import tenure_years, engagement_ratio, reviews_per_year  # noqa: E402
 from starlens.functions.hours import DAY_NAMES, parse_hours, total_hours  # noqa: E402
@@ -169,6 +169,10 @@ def q_violin_by_key(spark, d):
     top = en.rows_of_top_k(rv, "o_custkey", 15)
     multi = en.distinct_count_by(top, "o_custkey", "l_quantity", min_distinct=1)
     data = en.rows_of_keys(top, multi, "o_custkey", max_keys=15)
+    # the KDE and quantile passes each re-read their input: materialise the
+    # selected rows once (reliable checkpoint in the shared folder) instead of
+    # re-running the join and the top-k / distinct filters on every pass
+    data = cut_lineage(data)
     return _norm(st.violin(data, "l_quantity", "o_custkey", points=50, bins=256), 9)
 
 
