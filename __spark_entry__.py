@@ -962,7 +962,10 @@ def _li_model_frame(spark, d):
     df = (en.enrich(en.enrich(rv, part, "l_partkey"), cu, "o_custkey")
           .withColumn("order_year", F.year("o_orderdate"))
           .withColumn("review_id", F.col("l_orderkey") * F.lit(8) + F.col("l_linenumber")))
-    train, val, test = split_frames(df, "review_id")
+    # scaler fit, training input and scoring each read the frame: join and
+    # split-hash once, then cut lineage (reliable checkpoint, shared folder)
+    labelled = cut_lineage(hash_split(df.select("review_id", "l_quantity", *LI_FEATURES), "review_id"))
+    train, val, test = (labelled.filter(F.col("split") == n).drop("split") for n in ("train", "val", "test"))
     scaler = PopulationScaler(LI_FEATURES).fit(train)
     asm = VectorAssembler(inputCols=LI_FEATURES, outputCol="features", handleInvalid="keep")
 
