@@ -13,7 +13,7 @@ from starlens.operators.enrich import BROADCAST_MAX_ROWS, maybe_broadcast
 def words(df: DataFrame, text_col: str, lower: bool = True, stop_words=None, keep_cols=()) -> DataFrame:
     """One row per whitespace token (``word``), optionally lower-cased and
     stop-word filtered.  A stop-word table is broadcast into a left-anti join
-    behind a size check; a Python list becomes array membership."""
+    behind a size check; a Python list becomes a hash-set membership test."""
     out = df.select(*keep_cols, elements(tokenize(F.col(text_col)), "word"))
     if lower:
         out = out.withColumn("word", F.lower("word"))
@@ -22,8 +22,8 @@ def words(df: DataFrame, text_col: str, lower: bool = True, stop_words=None, kee
             stops = stop_words.select(F.col(stop_words.columns[0]).alias("word"))
             out = out.join(maybe_broadcast(stops, BROADCAST_MAX_ROWS), "word", "left_anti")
         else:
-            stops = sorted(set(stop_words))
-            out = out.filter(~F.array_contains(F.array(*[F.lit(s) for s in stops]), F.col("word")))
+            # a literal IN list becomes a hash-set lookup (InSet) per token
+            out = out.filter(~F.col("word").isin(sorted(set(stop_words))))
     return out
 
 
