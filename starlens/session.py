@@ -16,6 +16,9 @@ BASE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # checkpoint files of frames that are no longer referenced are removed,
+    # so the shared checkpoint folder does not grow with every cut
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
