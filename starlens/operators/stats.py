@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from starlens.operators.enrich import BROADCAST_MAX_ROWS, maybe_broadcast
 from starlens.operators.profile import numeric_columns, _unpivot
 from starlens.operators.quantiles import quantile_values, approx_quantiles
 
@@ -111,21 +112,21 @@ def scatter_bins(df: DataFrame, x: str, y: str, nx: int = 10, ny: int = 10) -> D
 _SQRT_2PI = math.sqrt(2.0 * math.pi)
 
 
-def _group_params(df: DataFrame, col: str, by: list[str], bins: int, points: int, cut: float):
-    """Per-group KDE parameters (n, Scott bandwidth, grid and fine-bin range)."""
+def _group_params(df: DataFrame, col: str, by: list[str], points: int, cut: float):
+    """(base rows, per-group KDE parameters as a frame: n, Scott bandwidth h,
+    min, max, grid start and step).  Groups with one row or no spread have
+    no bandwidth and are left out.  The parameters stay in Spark: one row per
+    group, never gathered on the driver."""
     x = F.col(col).cast("double")
     base = df.select(*by, x.alias("__x")).filter(F.col("__x").isNotNull())
-    rows = base.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("__x").alias("sd"),
-                                 F.min("__x").alias("mn"), F.max("__x").alias("mx")).collect()
-    params = []
-    for r in rows:
-        n, sd, mn, mx = r["n"], r["sd"], r["mn"], r["mx"]
-        h = sd * n ** (-0.2) if sd else None
-        if not h:
-            continue
-        lo, hi = mn - cut * h, mx + cut * h
-        params.append((tuple(r[b] for b in by), n, h, mn, mx, lo, (hi - lo) / (points - 1)))
-    return base, params
+    for b in by:
+        base = base.filter(F.col(b).isNotNull())
+    stats = base.groupBy(*by).agg(F.count(F.lit(1)).cast("double").alias("n"), F.stddev_samp("__x").alias("sd"),
+                                  F.min("__x").alias("mn"), F.max("__x").alias("mx"))
+    h = F.col("sd") * F.pow(F.col("n"), F.lit(-0.2))
+    p = stats.withColumn("h", h).filter(F.col("h").isNotNull() & (F.col("h") > 0))
+    lo, hi = F.col("mn") - F.lit(cut) * F.col("h"), F.col("mx") + F.lit(cut) * F.col("h")
+    return base, p.select(*by, "n", "h", "mn", "mx", lo.alias("glo"), ((hi - lo) / F.lit(points - 1)).alias("gstep"))
 
 
 def kde_grid(df: DataFrame, col: str, points: int = 200, bins: int = 1024, cut: float = 3.0,
@@ -137,23 +138,20 @@ def kde_grid(df: DataFrame, col: str, points: int = 200, bins: int = 1024, cut:
     weighted kernel to each grid point.  Work after the first aggregate is
     bins x points per group, independent of the row count.  Grid spans
     [min - cut*h, max + cut*h].  Returns (by..., i, x, density).
+
+    With groups, the parameter rows (one per group) are joined back on the
+    keys -- broadcast behind the size check, else a shuffle join.
     """
     by = [by] if isinstance(by, str) else list(by or [])
     spark = df.sparkSession
-    base, params = _group_params(df, col, by, bins, points, cut)
-    key_schema = [T.StructField(b, df.schema[b].dataType, True) for b in by]
-    schema = T.StructType(key_schema + [T.StructField(n, T.DoubleType()) for n in
-                                        ("n", "h", "mn", "mx", "glo", "gstep")])
-    ptab = spark.createDataFrame([g + (float(n), h, mn, mx, lo, st) for g, n, h, mn, mx, lo, st in params], schema)
+    base, ptab = _group_params(df, col, by, points, cut)
     if by:
-        # one parameter row per group, broadcast on the group keys
-        tagged = base.join(F.broadcast(ptab), by, "inner")
+        tagged = base.join(maybe_broadcast(ptab, BROADCAST_MAX_ROWS), by, "inner")
     else:
-        if not params:
+        one = ptab.first()  # the single parameter row of the whole column
+        if one is None:
             return spark.createDataFrame([], "i int, x double, density double")
-        _, n, h, mn, mx, glo, gst = params[0]
-        tagged = base.select("__x", *[F.lit(v).alias(k) for k, v in
-                                      (("n", float(n)), ("h", h), ("mn", mn), ("mx", mx), ("glo", glo), ("gstep", gst))])
+        tagged = base.select("__x", *[F.lit(float(one[k])).alias(k) for k in ("n", "h", "mn", "mx", "glo", "gstep")])
     fine = F.least(F.floor((F.col("__x") - F.col("mn")) / (F.col("mx") - F.col("mn")) * F.lit(bins)),
                    F.lit(bins - 1)).cast("int")
     binned = (tagged.withColumn("__b", F.when(F.col("mx") > F.col("mn"), fine).otherwise(F.lit(0)))
