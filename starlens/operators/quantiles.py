@@ -83,18 +83,23 @@ def _locate_ranks(summary: DataFrame, order_col: str, wants: list[tuple]) -> dic
 
 
 def quantile_values(df: DataFrame, col: str, probs, by=None, bins: int = 2048,
-                    leaf_rows: int = 20000, max_groups: int = 10000) -> dict:
+                    leaf_rows: int = 20000, max_groups: int = 10000, stats: dict | None = None) -> dict:
     """{group_key_tuple: {"n":, "min":, "max":, "q": [value per prob]}}.
 
     ``max_groups`` bounds the driver-side state; above it use
     :func:`approx_quantiles` (one pass, bounded sketch per group).
+    ``stats`` = {group_key_tuple: (n, min, max)} over the non-NULL, non-NaN
+    values, when the caller already has them, saves the first pass.
     """
     by = [by] if isinstance(by, str) else list(by or [])
     probs = [float(p) for p in probs]
     base = _clean(df, col, by)
-    stats = (base.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("__x").alias("mn"),
-                                   F.max("__x").alias("mx"))
-                 .limit(max_groups + 1).collect())
+    if stats is not None:
+        stats = [dict(zip(by, g), n=n, mn=mn, mx=mx) for g, (n, mn, mx) in stats.items() if n]
+    else:
+        stats = (base.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("__x").alias("mn"),
+                                       F.max("__x").alias("mx"))
+                     .limit(max_groups + 1).collect())
     if len(stats) > max_groups:
         raise ValueError(f"more than {max_groups} groups; use approx_quantiles")
     out, want, state, value = {}, {}, {}, {}

@@ -21,32 +21,45 @@ QUARTILES = (0.25, 0.5, 0.75)
 def describe_numeric(df: DataFrame, cols=None, exact: bool = True) -> DataFrame:
     """``describe()``: (column, count, mean, std, min, p25, p50, p75, max).
 
-    Moments come from one aggregate pass.  Quartiles are exact by default
-    (all columns at once: the columns are unpivoted and the column name is
-    the group key); ``exact=False`` uses one approximate-sketch pass.
+    NaN counts as missing, as NULL does.  Moments come from one aggregate
+    pass.  Quartiles are exact by default (all columns at once: the columns
+    are unpivoted and the column name is the group key; the moment pass
+    already gives each column's count, min and max, so the quantile search
+    starts from them); ``exact=False`` uses one approximate-sketch pass.
     """
     cols = list(cols or numeric_columns(df))
+    spark = df.sparkSession
+
+    def value(c):
+        x = F.col(c).cast("double")
+        return F.when(~F.isnan(x), x)
+
     aggs = []
     for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
+        x = value(c)
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
                  F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
+    long = df.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), value(c).alias("x")) for c in cols])))
+    schema = ("column_name string, count long, mean double, std double, min double, "
+              "p25 double, p50 double, p75 double, max double")
+    if exact:
+        m = df.agg(*aggs).first()  # one row: the moments of every column
+        stats = {(c,): (m[f"n{i}"], m[f"lo{i}"], m[f"hi{i}"]) for i, c in enumerate(cols)}
+        vals = quantile_values(long, "x", QUARTILES, by=["column_name"], stats=stats)
+        rows = []
+        for i, c in enumerate(cols):
+            q = vals.get((c,), {}).get("q") or [None] * len(QUARTILES)
+            rows.append((c, m[f"n{i}"], m[f"m{i}"], m[f"s{i}"], m[f"lo{i}"], *q, m[f"hi{i}"]))
+        return spark.createDataFrame(rows, schema)
     one = df.agg(*aggs)
     moments = _unpivot(one, [(F.lit(c).alias("column_name"), F.col(f"n{i}").alias("count"),
                               F.col(f"m{i}").alias("mean"), F.col(f"s{i}").alias("std"),
                               F.col(f"lo{i}").alias("min"), F.col(f"hi{i}").alias("max"))
                              for i, c in enumerate(cols)])
-    long = df.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("x")) for c in cols])))
-    if exact:
-        vals = quantile_values(long, "x", QUARTILES, by=["column_name"])
-        rows = [(g[0],) + tuple(info["q"]) for g, info in vals.items()]
-        schema = "column_name string, p25 double, p50 double, p75 double"
-        q = df.sparkSession.createDataFrame(rows, schema)
-    else:
-        q = (approx_quantiles(long, "x", QUARTILES, by=["column_name"])
-             .groupBy("column_name").pivot("p", list(QUARTILES)).agg(F.first("value")))
-        q = q.toDF("column_name", "p25", "p50", "p75")
+    q = (approx_quantiles(long, "x", QUARTILES, by=["column_name"])
+         .groupBy("column_name").pivot("p", list(QUARTILES)).agg(F.first("value")))
+    q = q.toDF("column_name", "p25", "p50", "p75")
     return (moments.join(q, "column_name", "left")
             .select("column_name", "count", "mean", "std", "min", "p25", "p50", "p75", "max"))
 

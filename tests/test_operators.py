@@ -169,6 +169,17 @@ def test_non_null_count_per_key_and_top(spark):
     assert top == [("u2", 2), ("u1", 1)]
 
 
+def test_describe_nan_is_missing(spark):
+    df = spark.createDataFrame([(1.0,), (float("nan"),), (None,), (2.0,), (4.0,), (10.0,)], "x double")
+    r = st.describe_numeric(df, ["x"]).first()
+    assert r["count"] == 4 and r["mean"] == pytest.approx(4.25)
+    assert (r["min"], r["max"]) == (1.0, 10.0)
+    assert [r["p25"], r["p50"], r["p75"]] == [1.75, 3.0, 5.5]
+    empty = spark.createDataFrame([(None,), (float("nan"),)], "x double")
+    e = st.describe_numeric(empty, ["x"]).first()
+    assert e["count"] == 0 and e["mean"] is None and e["p50"] is None
+
+
 def test_sum_by_all_null_is_zero(spark):
     df = spark.createDataFrame([("u", None), ("v", 2)], "k string, x int")
     assert {r["k"]: r["s"] for r in en.sum_by(df, "k", "x", "s").collect()} == {"u": 0, "v": 2}
