@@ -179,10 +179,19 @@ def quantile_values(df: DataFrame, col: str, probs, by=None, bins: int = 2048,
     return out
 
 
-def exact_quantiles(df: DataFrame, col: str, probs, by=None, **kw) -> DataFrame:
-    """(by..., p, value) with exact linear-interpolated quantiles."""
+def exact_quantiles(df: DataFrame, col: str, probs, by=None, max_groups: int = 10000, **kw) -> DataFrame:
+    """(by..., p, value) with exact linear-interpolated quantiles.
+
+    Up to ``max_groups`` groups the search is coordinated from the driver
+    (:func:`quantile_values`); beyond that the same search runs with its
+    state in Spark (:func:`exact_quantiles_frame`), so any number of groups
+    is handled exactly.
+    """
     by_l = [by] if isinstance(by, str) else list(by or [])
-    vals = quantile_values(df, col, probs, by_l, **kw)
+    base = _clean(df, col, by_l)
+    if by_l and base.select(*by_l).distinct().limit(max_groups + 1).count() > max_groups:
+        return exact_quantiles_frame(df, col, probs, by_l, **kw)
+    vals = quantile_values(df, col, probs, by_l, max_groups=max_groups, **kw)
     fields = [T.StructField(b, df.schema[b].dataType, True) for b in by_l]
     schema = T.StructType(fields + [T.StructField("p", T.DoubleType()), T.StructField("value", T.DoubleType())])
     rows = [tuple(g) + (float(p), None if v is None else float(v))
@@ -190,6 +199,68 @@ def exact_quantiles(df: DataFrame, col: str, probs, by=None, **kw) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, schema)
 
 
+def exact_quantiles_frame(df: DataFrame, col: str, probs, by, bins: int = 2048, leaf_rows: int = 20000,
+                          max_passes: int = 200) -> DataFrame:
+    """Exact grouped quantiles for any number of groups: (by..., p, value).
+
+    The open order statistics are a DataFrame (group, rank k, interval
+    [lo, hi], rows below lo, rows inside), checkpointed after every pass.  A
+    pass joins the rows to their group's open intervals, summarises each
+    interval -- ``bins`` equal-width bins, or its distinct values once it
+    holds at most ``leaf_rows`` rows -- and a running count per interval
+    (a window over at most ``bins`` / ``leaf_rows`` summary rows) finds the
+    summary row holding each rank.  A rank is resolved when that row is a
+    single value.  Nothing is gathered on the driver but one "any open?"
+    probe per pass.
+    """
+    from starlens.operators.enrich import BROADCAST_MAX_ROWS, maybe_broadcast
+    from starlens.session import cut_lineage
+    by = [by] if isinstance(by, str) else list(by)
+    base = _clean(df, col, by)
+    stats = base.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("__x").alias("mn"), F.max("__x").alias("mx"))
+    per_p = stats.select(*by, "n", "mn", "mx",
+                         F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("pi", "p"))
+    h = F.col("p") * (F.col("n") - F.lit(1))
+    per_p = (per_p.withColumn("k0", F.floor(h).cast("long"))
+                  .withColumn("k1", F.least(F.col("k0") + F.lit(1), F.col("n") - F.lit(1)))
+                  .withColumn("frac", h - F.col("k0")))
+    ranks = per_p.select(*by, "n", "mn", "mx", F.explode(F.array("k0", "k1")).alias("k")).distinct()
+    known = (F.when(F.col("k") == 0, F.col("mn")).when(F.col("k") == F.col("n") - 1, F.col("mx"))
+              .when(F.col("mn") == F.col("mx"), F.col("mn")))
+    state = cut_lineage(ranks.select(*by, "k", F.col("mn").alias("lo"), F.col("mx").alias("hi"),
+                                     F.lit(0).cast("long").alias("below"), F.col("n").alias("cnt"),
+                                     known.alias("value")))
+    ikeys = by + ["lo", "hi"]
+    for _ in range(max_passes):
+        open_ = state.filter(F.col("value").isNull())
+        if open_.limit(1).count() == 0:
+            break
+        intervals = open_.select(*ikeys, (F.col("cnt") <= F.lit(leaf_rows)).alias("leaf")).distinct()
+        tagged = (base.join(maybe_broadcast(intervals, BROADCAST_MAX_ROWS), by, "inner")
+                      .filter((F.col("__x") >= F.col("lo")) & (F.col("__x") <= F.col("hi"))))
+        bin_ = F.least(F.floor((F.col("__x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.lit(bins)),
+                       F.lit(bins - 1)).cast("double")
+        summary = (tagged.withColumn("ord", F.when(F.col("leaf"), F.col("__x")).otherwise(bin_))
+                         .groupBy(*ikeys, "ord")
+                         .agg(F.count(F.lit(1)).alias("c"), F.min("__x").alias("a"), F.max("__x").alias("b")))
+        w = Window.partitionBy(*ikeys).orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        run = summary.withColumn("cum", F.sum("c").over(w)).withColumn("before", F.col("cum") - F.col("c"))
+        rel = F.col("k") - F.col("below")
+        hit = (open_.join(run, ikeys, "inner")
+                    .filter((F.col("before") <= rel) & (rel < F.col("cum")))
+                    .select(*by, "k", F.col("a").alias("lo"), F.col("b").alias("hi"),
+                            (F.col("below") + F.col("before")).alias("below"), F.col("c").alias("cnt"),
+                            F.when(F.col("a") == F.col("b"), F.col("a")).alias("value")))
+        state = cut_lineage(state.filter(F.col("value").isNotNull()).unionByName(hit))
+    else:
+        raise RuntimeError("quantile search did not converge")
+    vals = state.select(*by, "k", "value")
+    v0 = vals.select(*by, F.col("k").alias("k0"), F.col("value").alias("v0"))
+    v1 = vals.select(*by, F.col("k").alias("k1"), F.col("value").alias("v1"))
+    out = per_p.join(v0, by + ["k0"], "inner").join(v1, by + ["k1"], "inner")
+    return out.select(*by, "p", (F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("frac")).alias("value"))
+
+
 def approx_quantiles(df: DataFrame, col: str, probs, by=None, accuracy: int = 10000) -> DataFrame:
     """One-pass approximate quantiles (bounded GK sketch per group)."""
     by_l = [by] if isinstance(by, str) else list(by or [])

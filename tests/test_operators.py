@@ -70,6 +70,21 @@ def test_exact_quantiles_match_numpy(spark, seed):
         assert got[(g,)]["q"] == pytest.approx(list(exp), rel=1e-12, abs=1e-12)
 
 
+def test_exact_quantiles_beyond_group_cap_match_numpy(spark):
+    from starlens.operators.quantiles import exact_quantiles
+    rng = np.random.default_rng(1)
+    vals = np.concatenate([rng.normal(size=2000), np.full(800, 0.25), rng.exponential(size=300) * 1e6, [7.0]])
+    groups = np.concatenate([rng.integers(0, 5, size=len(vals) - 1), [9]])   # group 9 has one row
+    df = spark.createDataFrame([(int(g), float(v)) for g, v in zip(groups, vals)], "g int, x double")
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
+    # max_groups=3 < 6 groups: the search runs with its state in Spark
+    got = {(r["g"], r["p"]): r["value"] for r in
+           exact_quantiles(df, "x", probs, "g", max_groups=3, bins=16, leaf_rows=50).collect()}
+    for g in sorted(set(groups)):
+        exp = np.quantile(vals[groups == g], probs)
+        assert [got[(int(g), p)] for p in probs] == pytest.approx(list(exp), rel=1e-12, abs=1e-12)
+
+
 def test_correlation_constant_is_null(spark):
     df = spark.createDataFrame([(1.0, 1.0), (1.0, 2.0), (1.0, 3.0)], "a double, b double")
     r = {(x["col_a"], x["col_b"]): x["r"] for x in st.corr_matrix(df, ["a", "b"]).collect()}
