@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from starlens.operators.enrich import BROADCAST_MAX_ROWS, maybe_broadcast
 from starlens.operators.profile import numeric_columns, _unpivot
-from starlens.operators.quantiles import quantile_values, approx_quantiles
+from starlens.operators.quantiles import approx_quantiles, exact_quantiles, quantile_values
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -183,39 +183,39 @@ def kde_grid(df: DataFrame, col: str, points: int = 200, bins: int = 1024, cut:
 
 # ---------------------------------------------------------------- box / violin
 
+def _quartile_frame(df: DataFrame, col: str, by: list[str]) -> DataFrame:
+    """(by..., q1, median, q3) per group, exact; any number of groups."""
+    q = exact_quantiles(df, col, QUARTILES, by=by)
+    wide = q.groupBy(*by).pivot("p", list(QUARTILES)).agg(F.first("value"))
+    return wide.select(*by, *[F.col(f"`{p}`").alias(n) for p, n in zip(QUARTILES, ("q1", "median", "q3"))])
+
+
 def box_stats(df: DataFrame, col: str, by=None, whisker: float = 1.5) -> DataFrame:
     """Box-plot numbers: q1, median, q3, fences, whiskers and outlier count.
 
     Whiskers are the furthest data inside the fences q1 - 1.5 IQR and
     q3 + 1.5 IQR.  Quartiles are exact (see ``quantiles``); the second pass
-    joins the per-group fences (one row per group) back to the data.
+    joins the per-group fences (one row per group, size-checked broadcast)
+    back to the data.
     """
     by = [by] if isinstance(by, str) else list(by or [])
-    spark = df.sparkSession
-    vals = quantile_values(df, col, QUARTILES, by=by)
-    key_schema = [T.StructField(b, df.schema[b].dataType, True) for b in by]
-    schema = T.StructType(key_schema + [T.StructField(n, T.DoubleType()) for n in
-                                        ("q1", "median", "q3", "iqr", "lower_fence", "upper_fence")])
-    rows = []
-    for g, info in vals.items():
-        q1, med, q3 = info["q"]
-        if q1 is None:
-            continue
-        iqr = q3 - q1
-        rows.append(g + (q1, med, q3, iqr, q1 - whisker * iqr, q3 + whisker * iqr))
-    fences = spark.createDataFrame(rows, schema)
+    iqr = F.col("q3") - F.col("q1")
+    fences = (_quartile_frame(df, col, by).filter(F.col("q1").isNotNull())
+              .select(*by, "q1", "median", "q3", iqr.alias("iqr"),
+                      (F.col("q1") - F.lit(whisker) * iqr).alias("lower_fence"),
+                      (F.col("q3") + F.lit(whisker) * iqr).alias("upper_fence")))
+    names = ("q1", "median", "q3", "iqr", "lower_fence", "upper_fence")
     x = F.col(col).cast("double")
     data = df.select(*by, x.alias("__x")).filter(F.col("__x").isNotNull())
     for b in by:
         data = data.filter(F.col(b).isNotNull())
     if by:
-        tagged = data.join(F.broadcast(fences), by, "inner")
+        tagged = data.join(maybe_broadcast(fences, BROADCAST_MAX_ROWS), by, "inner")
     else:
-        r = rows[0] if rows else (None,) * 6
-        tagged = data.select("__x", *[F.lit(v).cast("double").alias(k) for k, v in
-                                      zip(("q1", "median", "q3", "iqr", "lower_fence", "upper_fence"), r)])
+        r = fences.first()  # the single row of the whole column
+        tagged = data.select("__x", *[F.lit(None if r is None else r[k]).cast("double").alias(k) for k in names])
     inside = (F.col("__x") >= F.col("lower_fence")) & (F.col("__x") <= F.col("upper_fence"))
-    keys = by + ["q1", "median", "q3", "iqr", "lower_fence", "upper_fence"]
+    keys = by + list(names)
     return tagged.groupBy(*keys).agg(
         F.min(F.when(inside, F.col("__x"))).alias("whisker_lo"),
         F.max(F.when(inside, F.col("__x"))).alias("whisker_hi"),
@@ -227,11 +227,8 @@ def violin(df: DataFrame, col: str, by, points: int = 50, bins: int = 256) -> Da
     """Per-group violin data: KDE curve rows with the group's quartiles."""
     by = [by] if isinstance(by, str) else list(by)
     curve = kde_grid(df, col, points=points, bins=bins, by=by)
-    vals = quantile_values(df, col, QUARTILES, by=by)
-    key_schema = [T.StructField(b, df.schema[b].dataType, True) for b in by]
-    schema = T.StructType(key_schema + [T.StructField(n, T.DoubleType()) for n in ("q1", "median", "q3")])
-    q = df.sparkSession.createDataFrame([g + tuple(info["q"]) for g, info in vals.items()], schema)
-    return curve.join(F.broadcast(q), by, "inner")
+    q = _quartile_frame(df, col, by)
+    return curve.join(maybe_broadcast(q, BROADCAST_MAX_ROWS), by, "inner")
 
 
 # ---------------------------------------------------------------- correlation
