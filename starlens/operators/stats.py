@@ -183,14 +183,15 @@ def kde_grid(df: DataFrame, col: str, points: int = 200, bins: int = 1024, cut:
 
 # ---------------------------------------------------------------- box / violin
 
-def _quartile_frame(df: DataFrame, col: str, by: list[str]) -> DataFrame:
-    """(by..., q1, median, q3) per group, exact; any number of groups."""
-    q = exact_quantiles(df, col, QUARTILES, by=by)
+def _quartile_frame(df: DataFrame, col: str, by: list[str], max_groups: int = 10000) -> DataFrame:
+    """(by..., q1, median, q3) per group, exact; any number of groups (above
+    ``max_groups`` the search state lives in Spark)."""
+    q = exact_quantiles(df, col, QUARTILES, by=by, max_groups=max_groups)
     wide = q.groupBy(*by).pivot("p", list(QUARTILES)).agg(F.first("value"))
     return wide.select(*by, *[F.col(f"`{p}`").alias(n) for p, n in zip(QUARTILES, ("q1", "median", "q3"))])
 
 
-def box_stats(df: DataFrame, col: str, by=None, whisker: float = 1.5) -> DataFrame:
+def box_stats(df: DataFrame, col: str, by=None, whisker: float = 1.5, max_groups: int = 10000) -> DataFrame:
     """Box-plot numbers: q1, median, q3, fences, whiskers and outlier count.
 
     Whiskers are the furthest data inside the fences q1 - 1.5 IQR and
@@ -200,7 +201,7 @@ def box_stats(df: DataFrame, col: str, by=None, whisker: float = 1.5) -> DataFra
     """
     by = [by] if isinstance(by, str) else list(by or [])
     iqr = F.col("q3") - F.col("q1")
-    fences = (_quartile_frame(df, col, by).filter(F.col("q1").isNotNull())
+    fences = (_quartile_frame(df, col, by, max_groups).filter(F.col("q1").isNotNull())
               .select(*by, "q1", "median", "q3", iqr.alias("iqr"),
                       (F.col("q1") - F.lit(whisker) * iqr).alias("lower_fence"),
                       (F.col("q3") + F.lit(whisker) * iqr).alias("upper_fence")))

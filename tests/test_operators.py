@@ -85,6 +85,16 @@ def test_exact_quantiles_beyond_group_cap_match_numpy(spark):
         assert [got[(int(g), p)] for p in probs] == pytest.approx(list(exp), rel=1e-12, abs=1e-12)
 
 
+def test_box_stats_same_beyond_group_cap(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(g), float(v)) for g, v in zip(rng.integers(0, 4, size=1500), rng.standard_t(3, size=1500))]
+    df = spark.createDataFrame(rows, "g int, x double")
+    key = lambda r: r["g"]
+    below = sorted((r.asDict() for r in st.box_stats(df, "x", by="g").collect()), key=key)
+    above = sorted((r.asDict() for r in st.box_stats(df, "x", by="g", max_groups=2).collect()), key=key)
+    assert below == above and len(below) == 4
+
+
 def test_correlation_constant_is_null(spark):
     df = spark.createDataFrame([(1.0, 1.0), (1.0, 2.0), (1.0, 3.0)], "a double, b double")
     r = {(x["col_a"], x["col_b"]): x["r"] for x in st.corr_matrix(df, ["a", "b"]).collect()}
