@@ -1165,6 +1165,21 @@ FROM j"""
 ORACLE.update({"prepare_reviews": _prepare_sql()})
 
 
+# ================================================================== training-data operators
+
+try:
+    import corpus_pipeline
+    from starlens.llm import queries as llm_queries
+except ImportError:  # the subpackage is optional
+    pass
+else:
+    QUERIES.update(llm_queries.QUERIES)
+    ORACLE.update(llm_queries.ORACLE)
+    QUERIES["pipeline"] = corpus_pipeline.run
+    if corpus_pipeline.ORACLE_SQL is not None:
+        ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
+
+
 # ================================================================== contract
 
 def entry(spark: SparkSession) -> DataFrame:
