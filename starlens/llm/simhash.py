@@ -7,16 +7,17 @@ indices that it and the words one bit away decode to: one key, or about six.
 Two segments that differ in one bit share the index of either one.
 
 Pigeonhole over three segments and at most four (``max_bits``) errors: either
-some segment has no error, and whole segments are joined; or no segment is
-without error, and then two segments have exactly one error each, so the pair
-of codeword indices of one fingerprint is among the pairs of keys of the other.
-All that share a key are verified by their bit distance.
-
-Equal fingerprints are one node.  Each key's members are first linked to the
-key's smallest member (linear in the members); only keys whose members still
-lie in several components are joined pairwise, and only links between
-components leave that join.  A large group of near copies is thus never
-expanded into all its pairs.
+some segment has no error, and whole segments are joined; or every segment has
+one or two errors, at least two of them exactly one.  Then triples of indices
+are joined: one side has its own index in two segments and all keys in the
+third, the other side all keys in all three (segments two bits apart share the
+index of the word between them).  A triple has 36 bits, so fingerprints rarely
+meet by chance.  All that meet are verified by their bit distance.
+
+Equal fingerprints are one node.  The members of each whole segment are first
+linked to its smallest member, which is linear in the members; the join then
+only lets links between different components out.  A large group of near
+copies is thus never expanded into all its pairs.
 
 Defined results: a NULL or empty text has fingerprint zero and is linked like
 any other; repeated rows and NULL ids are kept row by row (a component's id is
@@ -120,30 +121,31 @@ def segment_keys(fp: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], li
     return segs, own, keys
 
 
-def golay_keys(fps: DataFrame) -> DataFrame:
-    """(key, fp, own): whole segments, and pairs of keys; ``own`` marks the pair of its own indices."""
+def golay_keys(nodes: DataFrame, probe: bool) -> DataFrame:
+    """(key, fp, comp) of nodes (fp, comp): whole segments and triples of key indices.
+
+    A ``probe`` has its own index in two segments at least.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 4096):
-                part = b.column(0).slice(at, 4096)
-                fp = part.to_numpy(zero_copy_only=False).view(np.uint64)
-                if not len(fp):
-                    continue
-                segs, own, keys = segment_keys(fp)
-                out = []
-                for i in range(3):
-                    out.append((np.int64(i) << 60 | segs[i], fp, np.ones(len(fp), bool)))
-                    j = (i + 1) % 3
-                    pair = keys[i][:, :, None] << 12 | keys[j][:, None, :]
-                    ok = (keys[i][:, :, None] >= 0) & (keys[j][:, None, :] >= 0)
-                    row = np.broadcast_to(np.arange(len(fp))[:, None, None], pair.shape)[ok]
-                    out.append((np.int64(3 + i) << 60 | pair[ok], fp[row],
-                                pair[ok] == (own[i] << 12 | own[j])[row]))
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                fp = part.column(0).to_numpy(zero_copy_only=False)
+                comp = part.column(1).to_numpy(zero_copy_only=False)
+                segs, own, keys = segment_keys(fp.view(np.uint64))
+                k = keys
+                triple = (k[0][:, :, None, None] << 24) | (k[1][:, None, :, None] << 12) | k[2][:, None, None, :]
+                ok = (k[0] >= 0)[:, :, None, None] & (k[1] >= 0)[:, None, :, None] & (k[2] >= 0)[:, None, None, :]
+                if probe:
+                    mine = [(x == o[:, None]).astype(np.int8) for x, o in zip(k, own, strict=True)]
+                    ok &= (mine[0][:, :, None, None] + mine[1][:, None, :, None] + mine[2][:, None, None, :]) >= 2
+                row = np.broadcast_to(np.arange(len(fp))[:, None, None, None], triple.shape)[ok]
+                key = np.concatenate([*(np.int64(i) << 60 | x for i, x in enumerate(segs)),
+                                      np.int64(3) << 60 | triple[ok]])
+                rows = np.concatenate([*[np.arange(len(fp))] * 3, row])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([o[0] for o in out])),
-                     pa.array(np.concatenate([o[1] for o in out]).view(np.int64)),
-                     pa.array(np.concatenate([o[2] for o in out]))], ["key", "fp", "own"])
-    return map_arrow(fps, run, "key long, fp long, own boolean")
+                    [pa.array(key), pa.array(fp[rows]), pa.array(comp[rows])], ["key", "fp", "comp"])
+    return map_arrow(nodes.select("fp", "comp"), run, "key long, fp long, comp long")
 
 
 def _near(a: Column, b: Column, max_bits: int) -> Column:
@@ -189,30 +191,29 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if not 0 <= max_bits <= MAX_BITS:
         raise ValueError("the segment scheme covers bit distances of 0 to 4")
     fps = staged(fingerprints(docs, id_col, text_col, shingle, seed, row_key), "fingerprints")
-    nodes = staged(fps.select("fp").distinct(), "nodes")
-    keyed = staged(golay_keys(nodes), "keys")
-
-    # first pass, linear: each member of a key to the key's smallest member
-    least = keyed.groupBy("key").agg(F.min("fp").alias("m"), F.max("fp").alias("x")).filter("m != x").select("key", "m")
-    star = keyed.join(least, "key").filter((F.col("fp") != F.col("m")) & _near(F.col("fp"), F.col("m"), max_bits))
-    links = staged(star.select(F.col("fp").alias("a"), F.col("m").alias("b")).distinct(), "links")
-    comp = staged(components(nodes, links), "components")
-
-    # second pass: only keys that still hold several components, only links between components
-    member = keyed.join(comp, "fp")
-    several = member.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi")
-    open_keys = staged(member.join(several.select("key"), "key", "left_semi"), "open")
-    a, b = open_keys.alias("a"), open_keys.filter("own").alias("b")
+    # equal fingerprints are one node, with the smallest id of its documents
+    nodes = staged(fps.groupBy("fp").agg(F.min("id").alias("id")), "nodes")
+
+    # first pass, linear: the members of each whole segment to its smallest member
+    segments = nodes.select("fp", F.explode(F.array(*[
+        F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << width) - 1)).alias("s"))
+        for i, (low, width) in enumerate(SEGMENTS)])).alias("k"))
+    least = segments.groupBy("k").agg(F.min("fp").alias("m"), F.max("fp").alias("x")).filter("m != x").select("k", "m")
+    star = segments.join(least, "k").filter((F.col("fp") != F.col("m")) & _near(F.col("fp"), F.col("m"), max_bits))
+    comp = staged(components(nodes, star.select(F.col("fp").alias("a"), F.col("m").alias("b"))), "components")
+
+    # second pass: all that share a key, only links between components leave the join
+    a, b = golay_keys(comp, probe=False).alias("a"), golay_keys(comp, probe=True).alias("b")
     cross = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.comp") != F.col("b.comp"))
                    & _near(F.col("a.fp"), F.col("b.fp"), max_bits))
-    more = cross.select(F.col("a.comp").alias("a"), F.col("b.comp").alias("b")).distinct()
-    merged = components(comp.select(F.col("comp").alias("fp")).distinct(), more).select(
+    links = staged(cross.select(F.least("a.comp", "b.comp").alias("a"), F.greatest("a.comp", "b.comp").alias("b"))
+                   .distinct(), "links")
+    merged = components(comp.select(F.col("comp").alias("fp")).distinct(), links).select(
         F.col("fp").alias("comp"), F.col("comp").alias("root"))
-    final = staged(comp.join(merged, "comp").select("fp", "root"), "components")
-
-    labelled = fps.join(final, "fp")
-    ids = labelled.groupBy("root").agg(F.min("id").alias("component_id"))
-    return labelled.join(ids, "root").select(
+    rooted = nodes.join(comp.join(merged, "comp"), "fp").select("fp", "id", "root")
+    ids = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
+    labels = staged(rooted.join(ids, "root").select("fp", "root", "component_id"), "components")
+    return fps.join(labels, "fp").select(
         F.col("id").alias(id_col), *([F.col("row").alias(row_key)] if row_key else []),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id",
         *([F.col("root").alias("component")] if row_key else []))
