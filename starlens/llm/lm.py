@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,25 +50,44 @@ def normal(text: str | None) -> bytes:
 
 
 def stage_blocks(docs: DataFrame, id_col: str, text_col: str, train: Column) -> DataFrame:
-    """(block, id, train, seq): normalised texts, with the block that each belongs to, as written files."""
+    """(block, ids, train, seqs) as written files: packs of normalised texts, and the block of each pack.
+
+    ``seqs`` are the texts of a pack, one to a line, compressed together: a pack
+    is about ``CHUNK_BYTES`` of text, or one longer text.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, size = TaskContext.get().partitionId() << 24, 0
+        block, in_block = TaskContext.get().partitionId() << 24, 0
+        press = zstandard.ZstdCompressor()
+        ids, marks, seqs, size = [], [], [], 0
+
+        def pack() -> pa.RecordBatch:
+            nonlocal block, in_block, ids, marks, seqs, size
+            if in_block and in_block + size > BLOCK_BYTES:
+                block, in_block = block + 1, 0
+            row = pa.RecordBatch.from_arrays(
+                [pa.array([block], pa.int64()), pa.array([ids], pa.list_(pa.int64())),
+                 pa.array([marks], pa.list_(pa.bool_())), pa.array([press.compress(b"\n".join(seqs))], pa.binary())],
+                ["block", "ids", "train", "seqs"])
+            in_block += size
+            ids, marks, seqs, size = [], [], [], 0
+            return row
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                seqs = [normal(t.as_py()) for t in part.column(1)]
-                blocks = []
-                for s in seqs:
-                    if size and size + len(s) > BLOCK_BYTES:
-                        block, size = block + 1, 0
-                    blocks.append(block)
-                    size += len(s) + 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(blocks, pa.int64()), part.column(0), part.column(2), pa.array(seqs, pa.binary())],
-                    ["block", "id", "train", "seq"])
+            for doc, text, mark in zip(*b.columns, strict=True):
+                ids.append(doc.as_py())
+                marks.append(mark.as_py())
+                seqs.append(normal(text.as_py()))
+                size += len(seqs[-1]) + 1
+                if size >= CHUNK_BYTES:
+                    yield pack()
+        if ids:
+            yield pack()
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"),
                        F.coalesce(train, F.lit(False)).alias("train"))
-    return staged(map_arrow(rows, run, "block long, id long, train boolean, seq binary"), "lm-blocks")
+    return staged(map_arrow(rows, run, "block long, ids array<long>, train array<boolean>, seqs binary"), "lm-blocks")
+
+
+def unpack(seqs: bytes) -> list[bytes]:
+    return zstandard.ZstdDecompressor().decompress(seqs).split(b"\n")
 
 
 def block_words(blocks: DataFrame) -> DataFrame:
@@ -84,18 +104,16 @@ def block_words(blocks: DataFrame) -> DataFrame:
                     [pa.array(w, pa.binary()), pa.array([now] * len(w), pa.int64()),
                      pa.array(n[at:at + 50_000], pa.int64())], ["word", "block", "n"])
         for b in batches:
-            for block, train, seq in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if block != now:
+            for block, marks, seqs in zip(*b.columns, strict=True):
+                if block.as_py() != now:
                     if now is not None:
                         yield from flush()
-                    now, trained, others = block, Counter(), set()
-                if train:
-                    trained.update(seq.split())
-                else:
-                    others.update(seq.split())
+                    now, trained, others = block.as_py(), Counter(), set()
+                for mark, seq in zip(marks.as_py(), unpack(seqs.as_py()), strict=True):
+                    (trained if mark else others).update(seq.split())
         if now is not None:
             yield from flush()
-    return map_arrow(blocks.select("block", "train", "seq"), run, "word binary, block long, n long")
+    return map_arrow(blocks.select("block", "train", "seqs"), run, "word binary, block long, n long")
 
 
 def gram_counts(blocks: DataFrame) -> DataFrame:
@@ -112,9 +130,9 @@ def gram_counts(blocks: DataFrame) -> DataFrame:
             codes, at = np.unique(both, return_inverse=True)
             counts = np.bincount(at, np.concatenate([counts, n]), len(codes)).astype(np.int64)
         for b in batches:
-            for seq in b.column(0):
-                held.append(seq.as_py())
-                size += len(held[-1])
+            for marks, seqs in zip(*b.columns, strict=True):
+                held += [s for mark, s in zip(marks.as_py(), unpack(seqs.as_py()), strict=True) if mark]
+                size = sum(map(len, held))
                 if size >= 4 * CHUNK_BYTES:
                     merge()
                     held, size = [], 0
@@ -123,7 +141,7 @@ def gram_counts(blocks: DataFrame) -> DataFrame:
         for at in range(0, len(codes), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(codes[at:at + 100_000].view(np.int64)),
                                               pa.array(counts[at:at + 100_000])], ["code", "n"])
-    parts = map_arrow(blocks.filter("train").select("seq"), run, "code long, n long")
+    parts = map_arrow(blocks.select("train", "seqs"), run, "code long, n long")
     return parts.groupBy("code").agg(F.sum("n").alias("n"))
 
 
@@ -232,7 +250,7 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     counts = words.groupBy("word").agg(F.sum("n").alias("c"))
     known = staged(counts.filter("c > 0"), "lm-counts")
     # the end mark is a token too, once for each training text
-    ends = blocks.filter("train").count()
+    ends = blocks.agg(F.coalesce(F.sum(F.size(F.filter("train", lambda x: x))), F.lit(0))).first()[0]
     v, n = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0))).first()
     v, n = v + (ends > 0), n + ends
     unknown = -math.log10(n + v + 1)
@@ -256,17 +274,11 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
             base = np.add.reduceat(np.log10(c + 1), at) + size * unknown + end_score
             for col, x in zip(cols, (size + 1, known_words + (ends > 0), base, model.scores(seqs)), strict=True):
                 col.append(x)
-        held, size = [], 0
-        for seq in texts.column("seq"):
-            held.append(seq.as_py())
-            size += len(held[-1])
-            if size >= CHUNK_BYTES:
-                flush(held)
-                held, size = [], 0
-        if held:
-            flush(held)
+        for seqs in texts.column("seqs"):
+            flush(unpack(seqs.as_py()))
+        flat = lambda c, t: pa.array([x for xs in texts.column(c).to_pylist() for x in xs], t)
         done = [np.concatenate([*c, np.zeros(0)]) for c in cols]
-        return pa.table({"id": texts.column("id"), "train": texts.column("train"),
+        return pa.table({"id": flat("ids", pa.int64()), "train": flat("train", pa.bool_()),
                          "n_tokens": pa.array(done[0].astype(np.int64)), "n_known": pa.array(done[1].astype(np.int64)),
                          "base_score": pa.array(done[2]), "score": pa.array(done[3])})
 
