@@ -140,13 +140,18 @@ def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 25, strong: f
 
 
 def fit_linear(x: np.ndarray, y: np.ndarray, rounds: int = 400, l2: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels by full-batch Adam steps (deterministic)."""
+    """Logistic regression on soft labels by full-batch Adam steps (deterministic).
+
+    Both labels weigh the same in all, so that a rare label is not outvoted.
+    """
     x = x.astype(np.float32)
-    w, b = np.zeros(x.shape[1]), math.log(max(y.mean(), 1e-3) / max(1 - y.mean(), 1e-3))
+    share = min(max(y.mean(), 1e-3), 1 - 1e-3)
+    weight = y / (2 * share) + (1 - y) / (2 * (1 - share))
+    w, b = np.zeros(x.shape[1]), 0.0
     mom, var = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, rounds + 1):
         p = 1 / (1 + np.exp(-np.clip(x @ w.astype(np.float32) + b, -30, 30)))
-        d = (p - y) / len(y)
+        d = (p - y) * weight / len(y)
         g = np.append(x.T @ d.astype(np.float32) + l2 * w, d.sum())
         mom, var = 0.9 * mom + 0.1 * g, 0.999 * var + 0.001 * g * g
         step = 0.1 * (mom / (1 - 0.9 ** t)) / (np.sqrt(var / (1 - 0.999 ** t)) + 1e-8)
@@ -156,7 +161,7 @@ def fit_linear(x: np.ndarray, y: np.ndarray, rounds: int = 400, l2: float = 1e-4
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id",
                     text_col: str = "text", label_col: str = "toxic", max_labelled: int = 20_000,
-                    lexicon: int = 600, min_docs: int = 4, min_lift: float = 4.0) -> DataFrame:
+                    lexicon: int = 1000, min_docs: int = 3, min_lift: float = 8.0) -> DataFrame:
     """(id, score) of every text.  ``train`` is a condition over the labels' id column."""
     sample = labelled_sample(docs, labels, train, max_labelled, id_col, text_col, label_col)
     sums = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
