@@ -54,8 +54,8 @@ def _repeat_words(words: Column, width: int) -> Column:
 
 
 def _normal_line(line: Column) -> Column:
-    """Letters lower-cased, white space collapsed, digits as 0: page numbers and dates do not tell lines apart."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), r"[0-9]", "0"), r"[\x20\x09-\x0D]+", " "))
+    """Letters lower-cased, white space collapsed, numbers as 0: page numbers and dates do not tell lines apart."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), r"[0-9]+", "0"), r"[\x20\x09-\x0D]+", " "))
 
 
 def text_measures(docs: DataFrame, text_col: str = "text", window: int = 5) -> DataFrame:

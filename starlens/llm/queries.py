@@ -105,7 +105,7 @@ twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, s) AS n
 rep AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, unnest(range(0, 5)) AS u(k) GROUP BY r),
 l AS (SELECT r, source, t, unnest(string_split(t, chr(10))) AS line FROM d),
 wl AS (SELECT r, source, t, line, len(regexp_extract_all(line, '{_W}')) AS n,
-              trim(regexp_replace(regexp_replace(lower(line), '[0-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm
+              trim(regexp_replace(regexp_replace(lower(line), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm
        FROM l WHERE regexp_matches(line, '{_W}')),
 dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM wl GROUP BY r),
 per_line AS (SELECT source, norm, count(DISTINCT t) AS docs FROM wl GROUP BY source, norm),
