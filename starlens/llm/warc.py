@@ -1,7 +1,7 @@
 """WARC records in ZIP packages: a writer, and a reader that never extracts.
 
-Each package is a ZIP file with two *stored* members: ``archive/data.warc`` with
-one WARC record after another, and ``indexes/index.cdxj`` with one line for each
+Each package is a ZIP file with two *stored* members: ``archive/data.warc.gz``
+with one WARC record after another, each a gzip member of its own, and ``indexes/index.cdxj`` with one line for each
 record (its offset and length in the archive).  The reader parses the end
 record, the ZIP64 records if there are any and the central directory, finds
 where the stored members begin, and reads single records by their byte ranges.
@@ -21,6 +21,7 @@ other columns are not read.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import json
 import os
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, shared_folder
 
-ARCHIVE, INDEX = "archive/data.warc", "indexes/index.cdxj"
+ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Packages are closed at about this many bytes of records.
 PACKAGE_BYTES = 64 << 20
 #: Index lines that one reading task takes at a time.
@@ -161,6 +162,7 @@ class PackageWriter:
         kind = "response" if refers_to is None else "revisit"
         body = HTTP + payload if kind == "response" else HTTP
         data = record_head(kind, page_id, url, digest, len(payload), refers_to, len(body)) + body + b"\r\n\r\n"
+        data = gzip.compress(data, 3, mtime=0)
         self.archive.write(data)
         self.index.append(json.dumps({"id": page_id, "offset": self.at, "length": len(data)}))
         self.at += len(data)
@@ -261,7 +263,8 @@ def read_packages(spark: SparkSession, packages: DataFrame, payloads: bool = Fal
                 base, _ = reader.locate(ARCHIVE)
                 out = [[], [], [], [], [], []]
                 for line in map(json.loads, lines):
-                    headers, payload = parse_record(reader.read(base + line["offset"], line["length"]))
+                    headers, payload = parse_record(
+                        gzip.decompress(reader.read(base + line["offset"], line["length"])))
                     digest = headers["warc-payload-digest"].removeprefix("sha1:")
                     kind = headers["warc-type"]
                     if kind == "response" and digest32(hashlib.sha1(payload).hexdigest()) != digest:
