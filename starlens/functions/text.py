@@ -12,7 +12,8 @@ from starlens.functions._util import as_col
 
 # Python's str.split() splits on runs of Unicode white space and never
 # yields empty strings; (?U) makes Java's \s Unicode-aware.
-WHITESPACE = r"(?U)\s+"
+# U+001C-001F separate words in Python but are no white space in Unicode.
+WHITESPACE = r"(?U)[\s\x1c-\x1f]+"
 # Python's \w in a str pattern is letters, numbers and underscore.
 WORD_CLASS = r"[\p{L}\p{N}_]"
 
@@ -74,29 +75,36 @@ def uppercase_ratio(c) -> Column:
 
 
 @lru_cache(maxsize=1)
-def _accent_table() -> tuple[str, str]:
-    """Single-character accent folding built by rule from Unicode NFKD.
+def _accent_table() -> tuple[str, str, dict[str, str]]:
+    """Accent folding of the whole BMP, built by rule from Unicode NFKD.
 
-    Every character of Latin-1 Supplement, Latin Extended-A/B and Latin
-    Extended Additional whose NFKD form is one base letter followed only by
-    combining marks maps to that base letter; characters that decompose
-    into several base letters are left alone (translate maps 1:1).
+    (characters, their base characters, foldings to several letters).
+    Combining marks stand at the end of the characters without a counterpart,
+    so ``translate`` deletes them.  Only ligatures and digraphs of Latin
+    letters fold to several letters; Hangul syllables are left whole.
     """
-    src, dst = [], []
-    for cp in list(range(0x00C0, 0x0250)) + list(range(0x1E00, 0x1F00)):
+    src, dst, marks, several = [], [], [], {}
+    for cp in (*range(0x00A0, 0xD800), *range(0xE000, 0x10000)):
         ch = chr(cp)
-        decomposed = unicodedata.normalize("NFKD", ch)
-        base = "".join(x for x in decomposed if not unicodedata.combining(x))
-        if decomposed != ch and len(base) == 1 and base != ch:
+        base = "".join(x for x in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(x))
+        if not base:
+            marks.append(ch)
+        elif len(base) == 1 and base != ch:
             src.append(ch)
             dst.append(base)
-    return "".join(src), "".join(dst)
+        elif len(base) > 1 and base.isascii() and base.isalpha() and unicodedata.category(ch) in ("Ll", "Lu", "Lt"):
+            several[ch] = base
+    return "".join(src + marks), "".join(dst), several
 
 
 def strip_accents(c) -> Column:
-    """Remove accents (NFKD + drop combining marks) for Latin letters, JVM-side."""
-    src, dst = _accent_table()
-    return F.translate(as_col(c), src, dst)
+    """Remove accents (NFKD, then drop combining marks), JVM-side."""
+    src, dst, several = _accent_table()
+    col = as_col(c)
+    spelled = col
+    for ch, letters in several.items():
+        spelled = F.replace(spelled, F.lit(ch), F.lit(letters))
+    return F.translate(F.when(col.rlike("[" + "".join(several) + "]"), spelled).otherwise(col), src, dst)
 
 
 def regex_tokens(c, min_len: int = 1, lower: bool = True, accents: bool = True) -> Column:

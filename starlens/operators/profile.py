@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from starlens.functions._util import named, present
+
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
            T.DecimalType)
 FLOATING = (T.FloatType, T.DoubleType)
@@ -19,7 +21,7 @@ def numeric_columns(df: DataFrame, include_bool: bool = False) -> list[str]:
 
 
 def _is_missing(df: DataFrame, name: str):
-    c = F.col(name)
+    c = named(name)
     if isinstance(df.schema[name].dataType, FLOATING):
         return c.isNull() | F.isnan(c)
     return c.isNull()
@@ -33,7 +35,7 @@ def _unpivot(row_df: DataFrame, fields: list[tuple]) -> DataFrame:
 def table_info(df: DataFrame) -> DataFrame:
     """``df.info()``: (column, dtype, non_null, n) from a single scan."""
     aggs = [F.count(F.lit(1)).alias("__n")]
-    aggs += [F.count(F.col(f"`{c}`")).alias(f"__c{i}") for i, c in enumerate(df.columns)]
+    aggs += [F.count(named(c)).alias(f"__c{i}") for i, c in enumerate(df.columns)]
     one = df.agg(*aggs)
     fields = [(F.lit(c).alias("column_name"), F.lit(t).alias("dtype"),
                F.col(f"__c{i}").alias("non_null"), F.col("__n").alias("n"))
@@ -72,9 +74,8 @@ def duplicate_report(df: DataFrame, cols=None) -> DataFrame:
     groups map-side before the shuffle.
     """
     cols = list(cols or df.columns)
-    keyed = df.select(F.xxhash64(*[F.col(f"`{c}`") for c in cols]).alias("__h"),
-                      *[F.col(f"`{c}`") for c in cols])
-    groups = keyed.groupBy("__h", *cols).agg(F.count(F.lit(1)).alias("__k"))
+    keyed = df.select(F.xxhash64(*[named(c) for c in cols]).alias("__h"), *[named(c) for c in cols])
+    groups = keyed.groupBy("__h", *[named(c) for c in cols]).agg(F.count(F.lit(1)).alias("__k"))
     one = groups.agg(
         F.coalesce(F.sum(F.when(F.col("__k") > 1, F.col("__k"))), F.lit(0)).alias("dup"),
         F.coalesce(F.sum(F.when(F.col("__k") == 1, F.col("__k"))), F.lit(0)).alias("uniq"))
@@ -83,49 +84,60 @@ def duplicate_report(df: DataFrame, cols=None) -> DataFrame:
 
 
 def min_max(df: DataFrame, cols=None) -> DataFrame:
-    """(column, min, max) of numeric columns as doubles, one scan."""
+    """(column, min, max) of numeric columns as doubles, one scan; NaN counts as missing."""
     cols = list(cols or numeric_columns(df))
+    one = df.agg(*_limits(df, cols))
+    return _unpivot(one, [(F.lit(c).alias("column_name"), F.col(f"__lo{i}").cast("double").alias("min"),
+                           F.col(f"__hi{i}").cast("double").alias("max")) for i, c in enumerate(cols)])
+
+
+def _limits(df: DataFrame, cols: list[str]) -> list:
+    """Smallest and largest value of each column, in the column's own type."""
     aggs = []
     for i, c in enumerate(cols):
-        aggs += [F.min(F.col(c)).cast("double").alias(f"__lo{i}"),
-                 F.max(F.col(c)).cast("double").alias(f"__hi{i}")]
-    one = df.agg(*aggs)
-    return _unpivot(one, [(F.lit(c).alias("column_name"), F.col(f"__lo{i}").alias("min"),
-                           F.col(f"__hi{i}").alias("max")) for i, c in enumerate(cols)])
+        x = present(c) if isinstance(df.schema[c].dataType, FLOATING) else named(c)
+        aggs += [F.min(x).alias(f"__lo{i}"), F.max(x).alias(f"__hi{i}")]
+    return aggs
 
 
 # Integer and floating type limits used by the downcast rule.
 _INT_LIMITS = [("byte", -128, 127), ("short", -32768, 32767),
-               ("int", -2147483648, 2147483647),
-               ("bigint", -9223372036854775808, 9223372036854775807)]
+               ("int", -2147483648, 2147483647)]
 _FLOAT32_MAX = 3.4028234663852886e38
 
 
 def downcast_plan(df: DataFrame, cols=None) -> DataFrame:
     """(column, from_type, to_type, min, max) by the strict-limit rule.
 
-    Integers take the smallest type whose limits are strictly outside
-    [min, max]; floats become ``float`` when strictly inside float32 range,
-    else ``double``.  Spark has no float16, so ``float`` is the floor.
-    All-NULL columns become ``double``.
+    Integers are compared in their own type and take the smallest type whose
+    limits are strictly outside [min, max], else ``bigint``; floats become
+    ``float`` when strictly inside float32 range, else ``double``.  Spark has
+    no float16, so ``float`` is the floor.  Decimals keep their type.
+    All-NULL integer and float columns become ``double``.
     """
     cols = list(cols or numeric_columns(df))
-    mm = min_max(df, cols)
+    one = df.agg(*_limits(df, cols))
     types = dict(df.dtypes)
-    kind = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(types[c]))])
-    lo, hi = F.col("min"), F.col("max")
-    is_int = kind[F.col("column_name")].isin("tinyint", "smallint", "int", "bigint")
-    int_choice = None
-    for name, a, b in _INT_LIMITS:
-        cond = (lo > F.lit(a)) & (hi < F.lit(b))
-        int_choice = F.when(cond, F.lit(name)) if int_choice is None else int_choice.when(cond, F.lit(name))
-    int_choice = int_choice.otherwise(F.lit("double"))
-    float_choice = (F.when((lo > F.lit(-_FLOAT32_MAX)) & (hi < F.lit(_FLOAT32_MAX)), F.lit("float"))
-                    .otherwise(F.lit("double")))
-    to_type = (F.when(lo.isNull() | hi.isNull(), F.lit("double"))
-               .when(is_int, int_choice).otherwise(float_choice))
-    return mm.select("column_name", kind[F.col("column_name")].alias("from_type"), to_type.alias("to_type"),
-                     "min", "max")
+
+    def target(c, lo, hi):
+        if isinstance(df.schema[c].dataType, T.DecimalType):
+            return F.lit(types[c])
+        if isinstance(df.schema[c].dataType, INTEGRAL):
+            choice = F.when(lo.isNull(), F.lit("double"))
+            for name, a, b in _INT_LIMITS:
+                choice = choice.when((lo > F.lit(a)) & (hi < F.lit(b)), F.lit(name))
+            return choice.otherwise(F.lit("bigint"))
+        return (F.when(lo.isNull(), F.lit("double"))
+                .when((lo > F.lit(-_FLOAT32_MAX)) & (hi < F.lit(_FLOAT32_MAX)), F.lit("float"))
+                .otherwise(F.lit("double")))
+
+    fields = []
+    for i, c in enumerate(cols):
+        lo, hi = F.col(f"__lo{i}"), F.col(f"__hi{i}")
+        fields.append((F.lit(c).alias("column_name"), F.lit(types[c]).alias("from_type"),
+                       target(c, lo, hi).alias("to_type"), lo.cast("double").alias("min"),
+                       hi.cast("double").alias("max")))
+    return _unpivot(one, fields)
 
 
 def downcast(df: DataFrame, cols=None) -> tuple[DataFrame, DataFrame]:
@@ -136,6 +148,5 @@ def downcast(df: DataFrame, cols=None) -> tuple[DataFrame, DataFrame]:
     """
     report = downcast_plan(df, cols)
     target = {r["column_name"]: r["to_type"] for r in report.collect()}
-    out = df.select(*[F.col(f"`{c}`").cast(target[c]).alias(c) if c in target else F.col(f"`{c}`")
-                      for c in df.columns])
+    out = df.select(*[named(c).cast(target[c]).alias(c) if c in target else named(c) for c in df.columns])
     return out, report

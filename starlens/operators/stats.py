@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from starlens.functions._util import present
 from starlens.operators.enrich import BROADCAST_MAX_ROWS, maybe_broadcast
 from starlens.operators.profile import numeric_columns, _unpivot
 from starlens.operators.quantiles import approx_quantiles, exact_quantiles, quantile_values
@@ -30,17 +31,13 @@ def describe_numeric(df: DataFrame, cols=None, exact: bool = True) -> DataFrame:
     cols = list(cols or numeric_columns(df))
     spark = df.sparkSession
 
-    def value(c):
-        x = F.col(c).cast("double")
-        return F.when(~F.isnan(x), x)
-
     aggs = []
     for i, c in enumerate(cols):
-        x = value(c)
+        x = present(c)
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
                  F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
     long = df.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), value(c).alias("x")) for c in cols])))
+        F.struct(F.lit(c).alias("column_name"), present(c).alias("x")) for c in cols])))
     schema = ("column_name string, count long, mean double, std double, min double, "
               "p25 double, p50 double, p75 double, max double")
     if exact:
@@ -67,23 +64,33 @@ def describe_numeric(df: DataFrame, cols=None, exact: bool = True) -> DataFrame:
 # ---------------------------------------------------------------- histograms
 
 def _range(df: DataFrame, col: str):
-    r = df.agg(F.min(F.col(col)).cast("double").alias("lo"), F.max(F.col(col)).cast("double").alias("hi"),
-               F.count(F.col(col)).alias("n")).first()
+    x = present(col)
+    r = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.count(x).alias("n")).first()
+    _require_finite(col, r["lo"], r["hi"])
     return r["lo"], r["hi"], r["n"]
 
 
+def _require_finite(col: str, lo, hi) -> None:
+    """Equal-width bins need finite edges."""
+    if lo is not None and not (math.isfinite(lo) and math.isfinite(hi)):
+        raise ValueError(f"{col}: values range over [{lo}, {hi}], which has no equal-width bins")
+
+
 def bin_index(col, lo: float, hi: float, bins: int):
-    """Equal-width bin of ``col`` over [lo, hi]; the last bin is closed."""
+    """Equal-width bin of ``col`` over [lo, hi]; the last bin is closed, NaN and NULL have none."""
+    x = present(col)
     if hi is None or lo is None or hi <= lo:
-        return F.when(F.col(col).isNotNull(), F.lit(0))
-    return F.least(F.floor((F.col(col).cast("double") - F.lit(lo)) / F.lit(hi - lo) * F.lit(bins)),
-                   F.lit(bins - 1)).cast("int")
+        return F.when(x.isNotNull(), F.lit(0))
+    # LEAST skips NULLs, so a missing value must not reach it
+    return F.when(x.isNotNull(), F.least(F.floor((x - F.lit(lo)) / F.lit(hi - lo) * F.lit(bins)),
+                                         F.lit(bins - 1)).cast("int"))
 
 
 def histogram(df: DataFrame, col: str, bins: int = 20, drop_if_max_zero: bool = False) -> DataFrame:
     """Equal-width histogram: (bin, bin_lo, bin_hi, count), empty bins kept.
 
     Bin edges are ``min + i * (max - min) / bins``; min == max gives one bin.
+    NaN counts as missing; an infinite edge raises ``ValueError``.
     """
     lo, hi, n = _range(df, col)
     spark = df.sparkSession
@@ -105,11 +112,13 @@ def histogram(df: DataFrame, col: str, bins: int = 20, drop_if_max_zero: bool =
 def scatter_bins(df: DataFrame, x: str, y: str, nx: int = 10, ny: int = 10) -> DataFrame:
     """2-D binned scatter (bounded output instead of every point).
 
-    Pairs with a NULL side are dropped.  Returns (bin_x, bin_y, x_lo, y_lo, count).
+    Pairs with a NULL or NaN side are dropped.  Returns (bin_x, bin_y, x_lo, y_lo, count).
     """
-    pairs = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
+    pairs = df.select(present(x).alias("x"), present(y).alias("y")).dropna()
     r = pairs.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     xlo, xhi, ylo, yhi = r
+    _require_finite(x, xlo, xhi)
+    _require_finite(y, ylo, yhi)
     if xlo is None:
         return df.sparkSession.createDataFrame([], "bin_x int, bin_y int, x_lo double, y_lo double, count long")
     wx = (xhi - xlo) / nx if xhi > xlo else 0.0
@@ -130,8 +139,7 @@ def _group_params(df: DataFrame, col: str, by: list[str], points: int, cut: floa
     min, max, grid start and step).  Groups with one row or no spread have
     no bandwidth and are left out.  The parameters stay in Spark: one row per
     group, never gathered on the driver."""
-    x = F.col(col).cast("double")
-    base = df.select(*by, x.alias("__x")).filter(F.col("__x").isNotNull())
+    base = df.select(*by, present(col).alias("__x")).filter(F.col("__x").isNotNull())
     for b in by:
         base = base.filter(F.col(b).isNotNull())
     stats = base.groupBy(*by).agg(F.count(F.lit(1)).cast("double").alias("n"), F.stddev_samp("__x").alias("sd"),
@@ -183,15 +191,14 @@ def kde_grid(df: DataFrame, col: str, points: int = 200, bins: int = 1024, cut:
 
 # ---------------------------------------------------------------- box / violin
 
-def _quartile_frame(df: DataFrame, col: str, by: list[str], max_groups: int = 10000) -> DataFrame:
-    """(by..., q1, median, q3) per group, exact; any number of groups (above
-    ``max_groups`` the search state lives in Spark)."""
-    q = exact_quantiles(df, col, QUARTILES, by=by, max_groups=max_groups)
+def _quartile_frame(df: DataFrame, col: str, by: list[str]) -> DataFrame:
+    """(by..., q1, median, q3) per group, exact; any number of groups."""
+    q = exact_quantiles(df, col, QUARTILES, by=by)
     wide = q.groupBy(*by).pivot("p", list(QUARTILES)).agg(F.first("value"))
     return wide.select(*by, *[F.col(f"`{p}`").alias(n) for p, n in zip(QUARTILES, ("q1", "median", "q3"))])
 
 
-def box_stats(df: DataFrame, col: str, by=None, whisker: float = 1.5, max_groups: int = 10000) -> DataFrame:
+def box_stats(df: DataFrame, col: str, by=None, whisker: float = 1.5) -> DataFrame:
     """Box-plot numbers: q1, median, q3, fences, whiskers and outlier count.
 
     Whiskers are the furthest data inside the fences q1 - 1.5 IQR and
@@ -201,13 +208,12 @@ def box_stats(df: DataFrame, col: str, by=None, whisker: float = 1.5, max_groups
     """
     by = [by] if isinstance(by, str) else list(by or [])
     iqr = F.col("q3") - F.col("q1")
-    fences = (_quartile_frame(df, col, by, max_groups).filter(F.col("q1").isNotNull())
+    fences = (_quartile_frame(df, col, by).filter(F.col("q1").isNotNull())
               .select(*by, "q1", "median", "q3", iqr.alias("iqr"),
                       (F.col("q1") - F.lit(whisker) * iqr).alias("lower_fence"),
                       (F.col("q3") + F.lit(whisker) * iqr).alias("upper_fence")))
     names = ("q1", "median", "q3", "iqr", "lower_fence", "upper_fence")
-    x = F.col(col).cast("double")
-    data = df.select(*by, x.alias("__x")).filter(F.col("__x").isNotNull())
+    data = df.select(*by, present(col).alias("__x")).filter(F.col("__x").isNotNull())
     for b in by:
         data = data.filter(F.col(b).isNotNull())
     if by:
@@ -235,9 +241,9 @@ def violin(df: DataFrame, col: str, by, points: int = 50, bins: int = 256) -> Da
 # ---------------------------------------------------------------- correlation
 
 def _safe_corr(a: str, b: str):
-    """Pearson r over rows where both are present; NULL for a constant side."""
-    xa = F.when(F.col(b).isNotNull(), F.col(a).cast("double"))
-    xb = F.when(F.col(a).isNotNull(), F.col(b).cast("double"))
+    """Pearson r over rows where both are present (not NULL, not NaN); NULL for a constant side."""
+    xa = F.when(present(b).isNotNull(), present(a))
+    xb = F.when(present(a).isNotNull(), present(b))
     return F.try_divide(F.covar_pop(xa, xb), F.stddev_pop(xa) * F.stddev_pop(xb))
 
 
