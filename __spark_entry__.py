@@ -698,7 +698,7 @@ def q_doc_mean_vector(spark, d):
 def q_union_chunks(spark, d):
     ev = _t(spark, d, "events")
     cut = F.lit("2024-01-16").cast("timestamp_ntz")
-    parts = [ev.filter(F.col("ts") < cut), ev.filter(F.col("ts") >= cut)]
+    parts = [ev.filter(F.col("ts") < cut), ev.filter(F.col("ts") >= cut), ev.filter(F.col("ts").isNull())]
     u = union_chunks(parts)
     return _norm(u.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total_value")), 6)
 
@@ -910,7 +910,8 @@ ORACLE.update({
     "sentiment_lexicon": _sentiment_sql(),
     "doc_mean_vector": _mean_vec_sql(),
     "union_chunks": """SELECT event_type, count(*) AS n, round(sum(value), 6) AS total_value FROM
-        (SELECT * FROM events WHERE ts < TIMESTAMP '2024-01-16' UNION ALL SELECT * FROM events WHERE ts >= TIMESTAMP '2024-01-16')
+        (SELECT * FROM events WHERE ts < TIMESTAMP '2024-01-16' UNION ALL SELECT * FROM events WHERE ts >= TIMESTAMP '2024-01-16'
+         UNION ALL SELECT * FROM events WHERE ts IS NULL)
         GROUP BY event_type""",
     "feature_frame": _feature_frame_sql(),
     "standardize": """WITH s AS (SELECT avg(l_quantity) mq, stddev_pop(l_quantity) sq, avg(l_extendedprice) me,
@@ -1058,7 +1059,7 @@ def q_tfidf_block(spark, d):
 
 def q_stream_ingest(spark, d):
     src = _t(spark, d, "events")
-    table = ingest_and_read(spark, f"{d}/events*.parquet", src.schema, fmt="parquet", max_files=1)
+    table = ingest_and_read(spark, f"{d}/events*.parquet", src.schema, fmt="parquet")
     return _norm(table.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total_value")), 6)
 
 

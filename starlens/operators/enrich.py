@@ -68,19 +68,16 @@ def row_bytes(df: DataFrame):
 def bounded_size(df: DataFrame, max_rows: int, max_bytes: int | None = BROADCAST_MAX_BYTES) -> bool:
     """True when ``df`` has at most ``max_rows`` rows and ``max_bytes`` bytes.
 
-    A LIMIT short-circuits the scan, so the check reads at most
-    ``max_rows + 1`` rows however large ``df`` is; both figures come from
-    that one pass.
+    Every partition counts its own rows and bytes and sends one row, so no
+    rows of a large ``df`` are gathered to learn that it is large.
     """
-    head = df.limit(max_rows + 1)
-    if not max_bytes:
-        return head.count() <= max_rows
-    r = head.agg(F.count(F.lit(1)).alias("n"), F.sum(row_bytes(df)).alias("b")).first()
-    return r["n"] <= max_rows and (r["b"] or 0) <= max_bytes
+    size = F.sum(row_bytes(df)) if max_bytes else F.lit(0)
+    r = df.agg(F.count(F.lit(1)).alias("n"), size.alias("b")).first()
+    return r["n"] <= max_rows and (r["b"] or 0) <= (max_bytes or 0)
 
 
 def bounded_rows(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (reads at most ``max_rows + 1``)."""
+    """True when ``df`` has at most ``max_rows`` rows."""
     return bounded_size(df, max_rows, None)
 
 

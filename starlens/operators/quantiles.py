@@ -23,22 +23,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from starlens.functions._util import present
+
 
 def _clean(df: DataFrame, col: str, by: list[str]) -> DataFrame:
-    x = F.col(col).cast("double")
-    base = df.select(*[F.col(b) for b in by], x.alias("__x")).filter(
-        F.col("__x").isNotNull() & ~F.isnan(F.col("__x")))
+    base = df.select(*by, present(col).alias("__x")).filter(F.col("__x").isNotNull())
     for b in by:
         base = base.filter(F.col(b).isNotNull())
     return base
 
 
-def _bin_expr(lo: float, hi: float, bins: int):
-    # lo < hi is guaranteed by the caller
-    return F.least(F.floor((F.col("__x") - F.lit(lo)) / F.lit(hi - lo) * F.lit(bins)),
-                   F.lit(bins - 1)).cast("int")
-
-
 def _tag_intervals(base: DataFrame, by: list[str], intervals: list[tuple]) -> DataFrame:
     """Rows of ``base`` tagged with the id of every open interval they fall in.
 
@@ -83,11 +77,12 @@ def _locate_ranks(summary: DataFrame, order_col: str, wants: list[tuple]) -> dic
 
 
 def quantile_values(df: DataFrame, col: str, probs, by=None, bins: int = 2048,
-                    leaf_rows: int = 20000, max_groups: int = 10000, stats: dict | None = None) -> dict:
+                    leaf_rows: int = 20000, stats: dict | None = None) -> dict:
     """{group_key_tuple: {"n":, "min":, "max":, "q": [value per prob]}}.
 
-    ``max_groups`` bounds the driver-side state; above it use
-    :func:`approx_quantiles` (one pass, bounded sketch per group).
+    The ranks sought are driver-side state, so the groups must be few by
+    nature (column names); for groups that data decide, see
+    :func:`exact_quantiles_frame`.
     ``stats`` = {group_key_tuple: (n, min, max)} over the non-NULL, non-NaN
     values, when the caller already has them, saves the first pass.
     """
@@ -98,10 +93,7 @@ def quantile_values(df: DataFrame, col: str, probs, by=None, bins: int = 2048,
         stats = [dict(zip(by, g), n=n, mn=mn, mx=mx) for g, (n, mn, mx) in stats.items() if n]
     else:
         stats = (base.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("__x").alias("mn"),
-                                       F.max("__x").alias("mx"))
-                     .limit(max_groups + 1).collect())
-    if len(stats) > max_groups:
-        raise ValueError(f"more than {max_groups} groups; use approx_quantiles")
+                                       F.max("__x").alias("mx")).collect())
     out, want, state, value = {}, {}, {}, {}
     for r in stats:
         g = tuple(r[b] for b in by)
@@ -163,6 +155,8 @@ def quantile_values(df: DataFrame, col: str, probs, by=None, bins: int = 2048,
             for w, ((g, k), _) in enumerate(litems):
                 value[(g, k)] = lfound[w]["__x"]
         state = nxt
+    else:
+        raise RuntimeError("quantile search did not converge")
     for g, info in out.items():
         n = info["n"]
         if n == 0:
@@ -179,24 +173,19 @@ def quantile_values(df: DataFrame, col: str, probs, by=None, bins: int = 2048,
     return out
 
 
-def exact_quantiles(df: DataFrame, col: str, probs, by=None, max_groups: int = 10000, **kw) -> DataFrame:
+def exact_quantiles(df: DataFrame, col: str, probs, by=None, **kw) -> DataFrame:
     """(by..., p, value) with exact linear-interpolated quantiles.
 
-    Up to ``max_groups`` groups the search is coordinated from the driver
-    (:func:`quantile_values`); beyond that the same search runs with its
-    state in Spark (:func:`exact_quantiles_frame`), so any number of groups
-    is handled exactly.
+    A grouped search keeps its state in Spark (:func:`exact_quantiles_frame`),
+    whatever the number of groups; the few order statistics of a whole column
+    are found from the driver (:func:`quantile_values`).
     """
     by_l = [by] if isinstance(by, str) else list(by or [])
-    base = _clean(df, col, by_l)
-    if by_l and base.select(*by_l).distinct().limit(max_groups + 1).count() > max_groups:
+    if by_l:
         return exact_quantiles_frame(df, col, probs, by_l, **kw)
-    vals = quantile_values(df, col, probs, by_l, max_groups=max_groups, **kw)
-    fields = [T.StructField(b, df.schema[b].dataType, True) for b in by_l]
-    schema = T.StructType(fields + [T.StructField("p", T.DoubleType()), T.StructField("value", T.DoubleType())])
-    rows = [tuple(g) + (float(p), None if v is None else float(v))
-            for g, info in vals.items() for p, v in zip(probs, info["q"])]
-    return df.sparkSession.createDataFrame(rows, schema)
+    rows = [(float(p), None if v is None else float(v))
+            for info in quantile_values(df, col, probs, **kw).values() for p, v in zip(probs, info["q"])]
+    return df.sparkSession.createDataFrame(rows, "p double, value double")
 
 
 def exact_quantiles_frame(df: DataFrame, col: str, probs, by, bins: int = 2048, leaf_rows: int = 20000,

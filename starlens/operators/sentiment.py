@@ -35,11 +35,15 @@ def word_with_previous(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def sentiment(df: DataFrame, id_col: str, text_col: str, lexicon: DataFrame, negations=NEGATIONS,
               broadcast_max_rows: int = 2_000_000) -> DataFrame:
-    """(id, sentiment_polarity, sentiment_subjectivity) for every row of ``df``."""
-    lex = lexicon.select(F.lower(F.col("word")).alias("word"), F.col("polarity").cast("double").alias("pol"),
-                         F.col("subjectivity").cast("double").alias("subj"),
-                         (F.col("intensity").cast("double") if "intensity" in lexicon.columns
-                          else F.lit(None).cast("double")).alias("inten"))
+    """(id, sentiment_polarity, sentiment_subjectivity) for every row of ``df``.
+
+    Words listed more than once (also in different case) count once, with the
+    means of their figures.
+    """
+    inten = F.col("intensity") if "intensity" in lexicon.columns else F.lit(None)
+    lex = lexicon.groupBy(F.lower(F.col("word")).alias("word")).agg(
+        F.avg(F.col("polarity").cast("double")).alias("pol"),
+        F.avg(F.col("subjectivity").cast("double")).alias("subj"), F.avg(inten.cast("double")).alias("inten"))
     lex = maybe_broadcast(lex, broadcast_max_rows)
     pairs = word_with_previous(df, id_col, text_col)
     scored = pairs.join(lex, "word", "left")
@@ -59,12 +63,12 @@ def sentiment(df: DataFrame, id_col: str, text_col: str, lexicon: DataFrame, neg
 
 
 def lexicon_from_labels(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
-                        polarity_col: str, subjectivity_col: str, min_docs: int = 5) -> DataFrame:
+                        polarity_col: str, subjectivity_col: str, min_docs: int = 1) -> DataFrame:
     """Supervised lexicon learnt from labelled texts.
 
     polarity = 2 * mean(label) - 1 and subjectivity = mean(second label)
     over the labelled texts containing the word; words seen in fewer than
-    ``min_docs`` labelled texts are left out.
+    ``min_docs`` labelled texts are left out (by default none).
     """
     lab = docs.join(labels, id_col, "inner")
     words = lab.select(id_col, polarity_col, subjectivity_col,

@@ -27,8 +27,9 @@ def to_spark_params(params: dict | None, mapping: dict) -> tuple[dict, list]:
             name = mapping[k]
             if name in ("maxIter", "numTrees", "maxDepth", "minInstancesPerNode"):
                 v = int(v)
-            if name == "maxDepth":
-                v = min(int(v), 30)
+            if name == "maxDepth" and v > 30:
+                warnings.warn(f"{k} = {v} is above the deepest tree of Spark; 30 is used")
+                v = 30
             if name == "featureSubsetStrategy":
                 v = str(min(max(float(v), 1e-6), 1.0))
             if name == "subsamplingRate":

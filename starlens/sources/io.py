@@ -75,11 +75,13 @@ def union_chunks(dfs) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), list(dfs))
 
 
-def read_word_vectors(spark: SparkSession, path: str, dim: int | None = None) -> DataFrame:
+def read_word_vectors(spark: SparkSession, path: str, dim: int | None = None, skip_bad: bool = False) -> DataFrame:
     """``word v1 ... vd`` text lines -> (word, vector array<float>).
 
     A word listed twice keeps its last line (dictionary semantics); the line
     order is taken from the file name and offset, so no global sort is needed.
+    With ``dim``, a line of another width is an error, or left out on request
+    (``skip_bad``, for files that open with a header line).
     """
     lines = (spark.read.text(path).select(F.input_file_name().alias("__f"), F.col("value"))
              .withColumn("__id", F.monotonically_increasing_id()))
@@ -88,7 +90,9 @@ def read_word_vectors(spark: SparkSession, path: str, dim: int | None = None) ->
     rows = lines.select("__f", "__id", F.get(parts, 0).alias("word"), vals.alias("vector")) \
                 .filter(F.col("word").isNotNull() & (F.col("word") != ""))
     if dim:
-        rows = rows.filter(F.size("vector") == dim)
+        fits = F.size("vector") == dim
+        rows = rows.filter(fits) if skip_bad else rows.withColumn("vector", F.when(fits, F.col("vector")).otherwise(
+            F.raise_error(F.concat(F.lit(f"word vector not of width {dim}: "), F.col("word")))))
     # one aggregate: for each word keep the vector of its last line
     return rows.groupBy("word").agg(F.max_by("vector", F.struct("__f", "__id")).alias("vector"))
 

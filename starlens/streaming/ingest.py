@@ -1,8 +1,8 @@
 """Incremental, exactly-once conversion of arriving files into a Parquet table.
 
 This is the chunked JSON -> table conversion of the source notebook done as
-a streaming query: each micro-batch reads at most ``max_files`` new files,
-appends them to the target table, and the checkpoint records progress, so a
+a streaming query: each micro-batch reads the new files (at most ``max_files``,
+if given), appends them to the target table, and the checkpoint records progress, so a
 restarted or failed job resumes without duplicates or gaps.
 """
 
@@ -17,11 +17,13 @@ from starlens.session import scratch_path
 
 
 def ingest_stream(spark: SparkSession, source_path: str, target_path: str, schema: T.StructType | str,
-                  fmt: str = "json", checkpoint: str | None = None, max_files: int = 1,
+                  fmt: str = "json", checkpoint: str | None = None, max_files: int | None = None,
                   partition_by=None, available_now: bool = True):
     """Start the ingest; returns the StreamingQuery (``availableNow`` drains
     everything present and stops)."""
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
+    reader = spark.readStream.schema(schema)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
     if fmt == "json":
         reader = reader.option("mode", "PERMISSIVE")
     src = reader.format(fmt).load(source_path)
@@ -34,7 +36,7 @@ def ingest_stream(spark: SparkSession, source_path: str, target_path: str, schem
 
 
 def ingest_and_read(spark: SparkSession, source_path: str, schema, fmt: str = "parquet",
-                    max_files: int = 1) -> DataFrame:
+                    max_files: int | None = None) -> DataFrame:
     """Run an ingest to completion into a fresh table under the shared
     checkpoint folder and return the table."""
     run = uuid.uuid4().hex

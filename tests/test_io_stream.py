@@ -5,6 +5,7 @@ import json
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -80,3 +81,12 @@ def test_sample_by_key_deterministic(spark):
     a = {r["k"] for r in io.sample_by_key(df, "k", 0.25).collect()}
     b = {r["k"] for r in io.sample_by_key(df.repartition(9), "k", 0.25).collect()}
     assert a == b and 850 < len(a) < 1150
+
+
+def test_word_vectors_of_another_width(spark):
+    d = tempfile.mkdtemp(prefix="sl-vec-")
+    with open(os.path.join(d, "v.txt"), "w") as f:
+        f.write("2 2\ncat 1 2\n")
+    with pytest.raises(Exception, match="width 2"):
+        io.read_word_vectors(spark, d, 2).collect()
+    assert [r["word"] for r in io.read_word_vectors(spark, d, 2, skip_bad=True).collect()] == ["cat"]

@@ -70,29 +70,29 @@ def test_exact_quantiles_match_numpy(spark, seed):
         assert got[(g,)]["q"] == pytest.approx(list(exp), rel=1e-12, abs=1e-12)
 
 
-def test_exact_quantiles_beyond_group_cap_match_numpy(spark):
+def test_exact_grouped_quantiles_match_numpy(spark):
     from starlens.operators.quantiles import exact_quantiles
     rng = np.random.default_rng(1)
     vals = np.concatenate([rng.normal(size=2000), np.full(800, 0.25), rng.exponential(size=300) * 1e6, [7.0]])
     groups = np.concatenate([rng.integers(0, 5, size=len(vals) - 1), [9]])   # group 9 has one row
     df = spark.createDataFrame([(int(g), float(v)) for g, v in zip(groups, vals)], "g int, x double")
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
-    # max_groups=3 < 6 groups: the search runs with its state in Spark
     got = {(r["g"], r["p"]): r["value"] for r in
-           exact_quantiles(df, "x", probs, "g", max_groups=3, bins=16, leaf_rows=50).collect()}
+           exact_quantiles(df, "x", probs, "g", bins=16, leaf_rows=50).collect()}
     for g in sorted(set(groups)):
         exp = np.quantile(vals[groups == g], probs)
         assert [got[(int(g), p)] for p in probs] == pytest.approx(list(exp), rel=1e-12, abs=1e-12)
 
 
-def test_box_stats_same_beyond_group_cap(spark):
+def test_box_stats_of_groups_equal_those_of_whole_columns(spark):
     rng = np.random.default_rng(5)
     rows = [(int(g), float(v)) for g, v in zip(rng.integers(0, 4, size=1500), rng.standard_t(3, size=1500))]
     df = spark.createDataFrame(rows, "g int, x double")
-    key = lambda r: r["g"]
-    below = sorted((r.asDict() for r in st.box_stats(df, "x", by="g").collect()), key=key)
-    above = sorted((r.asDict() for r in st.box_stats(df, "x", by="g", max_groups=2).collect()), key=key)
-    assert below == above and len(below) == 4
+    grouped = {r["g"]: r.asDict() for r in st.box_stats(df, "x", by="g").collect()}
+    assert sorted(grouped) == [0, 1, 2, 3]
+    for g, row in grouped.items():
+        alone = st.box_stats(df.filter(F.col("g") == g), "x").first().asDict()
+        assert row == alone | {"g": g}
 
 
 def test_correlation_constant_is_null(spark):
