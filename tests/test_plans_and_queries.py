@@ -1,5 +1,7 @@
 """Physical plans and the driver contract on sf0.001."""
 
+import re
+
 import pytest
 
 import __spark_entry__ as E
@@ -17,8 +19,8 @@ def test_entry_runs(spark):
 def test_every_query_has_oracle_or_is_model():
     rows_only = {"pca_2d", "word2vec_embed", "encoder_embed", "gbt_fit", "rf_fit", "fm_fit", "random_search",
                  "importances", "compare_models", "rating_pipeline"}
-    q, o = E.queries(), E.oracle_sql()
-    assert set(q) - set(o) == rows_only
+    own = {n for n in E.queries() if not re.match(r"op\d+_|pipeline$", n)}  # the others are tested in their folder
+    assert own - set(E.oracle_sql()) == rows_only
 
 
 def test_scan_pruned_and_filter_pushed(spark, sf):
