@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, ship, staged
 
-DEPTH = 5
+DEPTH = 7  # with the byte after it a context just fits into 64 bits
 BLOCK_BYTES = 16 << 20
 CHUNK_BYTES = 1 << 20
 END = 0x0A  # never inside a word
@@ -119,28 +119,36 @@ def block_words(blocks: DataFrame) -> DataFrame:
 def gram_counts(blocks: DataFrame) -> DataFrame:
     """(code, n): counts of DEPTH bytes and the byte after them, over all training texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        # sorted runs, each less than half of the one before: a code is merged a logarithmic number of times
+        runs: list[tuple[np.ndarray, np.ndarray]] = []
         held, size = [], 0
 
-        def merge():
-            nonlocal codes, counts
+        def merge() -> tuple[np.ndarray, np.ndarray]:
+            (a, m), (b, n) = runs.pop(), runs.pop()
+            codes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+            return codes, np.bincount(at, np.concatenate([m, n]), len(codes)).astype(np.int64)
+
+        def count() -> None:
             symbols, mask = buffer(held)
-            new, n = np.unique(gram_codes(symbols)[mask[DEPTH:]], return_counts=True)
-            both = np.concatenate([codes, new])
-            codes, at = np.unique(both, return_inverse=True)
-            counts = np.bincount(at, np.concatenate([counts, n]), len(codes)).astype(np.int64)
+            runs.append(np.unique(gram_codes(symbols)[mask[DEPTH:]], return_counts=True))
+            while len(runs) > 1 and 2 * len(runs[-1][0]) > len(runs[-2][0]):
+                runs.append(merge())
         for b in batches:
             for marks, seqs in zip(*b.columns, strict=True):
-                held += [s for mark, s in zip(marks.as_py(), unpack(seqs.as_py()), strict=True) if mark]
-                size = sum(map(len, held))
+                new = [s for mark, s in zip(marks.as_py(), unpack(seqs.as_py()), strict=True) if mark]
+                held += new
+                size += sum(map(len, new))
                 if size >= 4 * CHUNK_BYTES:
-                    merge()
+                    count()
                     held, size = [], 0
         if held:
-            merge()
-        for at in range(0, len(codes), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(codes[at:at + 100_000].view(np.int64)),
-                                              pa.array(counts[at:at + 100_000])], ["code", "n"])
+            count()
+        while len(runs) > 1:
+            runs.append(merge())
+        for codes, counts in runs:
+            for at in range(0, len(codes), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(codes[at:at + 100_000].view(np.int64)),
+                                                  pa.array(counts[at:at + 100_000])], ["code", "n"])
     parts = map_arrow(blocks.select("train", "seqs"), run, "code long, n long")
     return parts.groupBy("code").agg(F.sum("n").alias("n"))
 
@@ -175,7 +183,7 @@ class SuffixTree:
             order = [(0, 0), *order]
         number = {c: i for i, c in enumerate(order)}
         self.child = np.full((len(order), 256), -1, np.int32)
-        p = np.zeros((len(order), 256))
+        p = np.zeros((len(order), 256), np.float32)
         for i, (k, code) in enumerate(order):
             counts = np.zeros(256)
             for s, n in contexts.get((k, code), {}).items():
@@ -186,7 +194,7 @@ class SuffixTree:
             parent = number[k - 1, code & (1 << 8 * (k - 1)) - 1]
             self.child[parent, code >> 8 * (k - 1)] = i
             p[i] = (counts + weight * p[parent]) / (counts.sum() + weight)
-        self.log = np.log10(p).astype(np.float32)
+        self.log = np.log10(p, out=p)
 
     def scores(self, seqs: list[bytes]) -> np.ndarray:
         """log10 probability of each text."""
@@ -238,7 +246,7 @@ def train_tree(grams: DataFrame, p_min: float, min_divergence: float, weight: fl
 
 
 def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text",
-                p_min: float = 2e-5, min_divergence: float = 0.002, weight: float = 16.0) -> DataFrame:
+                p_min: float = 1e-5, min_divergence: float = 0.0002, weight: float = 4.0) -> DataFrame:
     """Per document: n_tokens, n_known, train_tokens, base_score and score (log10).
 
     ``train`` marks the rows that the counts and the tree learn from; all rows are scored.
