@@ -9,7 +9,9 @@ the number of symbols).  Distributions are smoothed towards those of their
 suffixes.  Each symbol is scored in the state of the longest kept suffix.
 
 At most ``DEPTH / p_min`` contexts can be kept, whatever the corpus holds, so
-the tree has a proven size and is broadcast.  Counts cover every training text.
+the tree has a proven size and is broadcast.  Counts cover every training text:
+a first pass counts contexts in hash buckets, the second counts just those whose
+bucket could hold a candidate, which leaves the candidates and their counts exact.
 
 The word counts that the unigram base needs do grow with the corpus and are
 never broadcast: texts are staged in blocks of about ``BLOCK_BYTES``, the
@@ -43,6 +45,11 @@ BLOCK_BYTES = 16 << 20
 CHUNK_BYTES = 1 << 20
 END = 0x0A  # never inside a word
 PAD = bytes([END]) * DEPTH
+#: Contexts of up to FREE bytes are always counted, longer ones if their hash bucket is frequent enough.
+FREE = 3
+BUCKET_BITS = 19
+BUCKET_FACTOR = np.uint64(0x9E3779B97F4A7C15)  # 2^64 over the golden ratio
+SLICE = 1 << 15
 
 
 def normal(text: str | None) -> bytes:
@@ -116,41 +123,105 @@ def block_words(blocks: DataFrame) -> DataFrame:
     return map_arrow(blocks.select("block", "train", "seqs"), run, "word binary, block long, n long")
 
 
-def gram_counts(blocks: DataFrame) -> DataFrame:
-    """(code, n): counts of DEPTH bytes and the byte after them, over all training texts."""
+def trained_seqs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
+    """Training texts of (train, seqs) batches, a few ``CHUNK_BYTES`` at a time."""
+    held, size = [], 0
+    for b in batches:
+        for marks, seqs in zip(*b.columns, strict=True):
+            new = [s for mark, s in zip(marks.as_py(), unpack(seqs.as_py()), strict=True) if mark]
+            held += new
+            size += sum(map(len, new))
+            if size >= 4 * CHUNK_BYTES:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def context_buckets(codes: np.ndarray, k: int) -> np.ndarray:
+    """Hash bucket of the ``k`` bytes before each place."""
+    contexts = codes >> np.uint64(8) & np.uint64((1 << 8 * k) - 1)
+    return (contexts * BUCKET_FACTOR >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
+def frequent_buckets(blocks: DataFrame, p_min: float) -> np.ndarray:
+    """For each length from ``FREE + 1`` on: the buckets with at least ``p_min`` of all training places.
+
+    A bucket holds no less than any of its contexts, so every candidate is in a
+    bucket that passes.  Counts travel and return as arrays of a fixed size.
+    """
+    lengths, width = DEPTH - FREE, 1 << BUCKET_BITS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((lengths, width), np.int64)
+        for held in trained_seqs(batches):
+            symbols, mask = buffer(held)
+            codes = gram_codes(symbols)[mask[DEPTH:]]
+            for i in range(lengths):
+                counts[i] += np.bincount(context_buckets(codes, FREE + 1 + i), minlength=width)
+        press = zstandard.ZstdCompressor()
+        slices = counts.reshape(-1, SLICE)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(slices)), pa.int32()), pa.array(
+            [press.compress(x.tobytes()) for x in slices], pa.binary())], ["slice", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        expand = zstandard.ZstdDecompressor()
+        for b in batches:
+            for no, counts in zip(*b.columns, strict=True):
+                part = np.frombuffer(expand.decompress(counts.as_py()), np.int64)
+                sums[no.as_py()] = sums.get(no.as_py(), 0) + part
+        yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array(
+            [x.tobytes() for x in sums.values()], pa.binary())], ["slice", "counts"])
+    schema = "slice int, counts binary"
+    sums = map_arrow(map_arrow(blocks.select("train", "seqs"), count, schema).repartition("slice"), add, schema)
+    total = np.zeros((lengths * width // SLICE, SLICE), np.int64)
+    for r in sums.toLocalIterator():
+        total[r["slice"]] = np.frombuffer(r["counts"], np.int64)
+    total = total.reshape(lengths, width)
+    return total >= max(1.0, total[0].sum() * p_min)
+
+
+def gram_counts(blocks: DataFrame, p_min: float) -> DataFrame:
+    """(len, code, n): counts of contexts and the byte after them, over all training texts.
+
+    Each place counts once, under its longest context with only frequent
+    buckets; shorter contexts follow by summing.  All candidates are complete.
+    """
+    frequent = blocks.sparkSession.sparkContext.broadcast(frequent_buckets(blocks, p_min))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = frequent.value
         # sorted runs, each less than half of the one before: a code is merged a logarithmic number of times
-        runs: list[tuple[np.ndarray, np.ndarray]] = []
-        held, size = [], 0
+        runs: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(DEPTH + 1)]
 
-        def merge() -> tuple[np.ndarray, np.ndarray]:
-            (a, m), (b, n) = runs.pop(), runs.pop()
+        def merge(mine: list[tuple[np.ndarray, np.ndarray]]) -> None:
+            (a, m), (b, n) = mine.pop(), mine.pop()
             codes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-            return codes, np.bincount(at, np.concatenate([m, n]), len(codes)).astype(np.int64)
-
-        def count() -> None:
+            mine.append((codes, np.bincount(at, np.concatenate([m, n]), len(codes)).astype(np.int64)))
+        for held in trained_seqs(batches):
             symbols, mask = buffer(held)
-            runs.append(np.unique(gram_codes(symbols)[mask[DEPTH:]], return_counts=True))
-            while len(runs) > 1 and 2 * len(runs[-1][0]) > len(runs[-2][0]):
-                runs.append(merge())
-        for b in batches:
-            for marks, seqs in zip(*b.columns, strict=True):
-                new = [s for mark, s in zip(marks.as_py(), unpack(seqs.as_py()), strict=True) if mark]
-                held += new
-                size += sum(map(len, new))
-                if size >= 4 * CHUNK_BYTES:
-                    count()
-                    held, size = [], 0
-        if held:
-            count()
-        while len(runs) > 1:
-            runs.append(merge())
-        for codes, counts in runs:
-            for at in range(0, len(codes), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(codes[at:at + 100_000].view(np.int64)),
-                                                  pa.array(counts[at:at + 100_000])], ["code", "n"])
-    parts = map_arrow(blocks.select("train", "seqs"), run, "code long, n long")
-    return parts.groupBy("code").agg(F.sum("n").alias("n"))
+            codes = gram_codes(symbols)[mask[DEPTH:]]
+            for k in range(FREE, DEPTH + 1):
+                longer = (passes[k - FREE][context_buckets(codes, k + 1)] if k < DEPTH
+                          else np.zeros(len(codes), bool))
+                here = codes[~longer] & np.uint64((1 << 8 * (k + 1)) - 1)
+                codes = codes[longer]
+                if not len(here):
+                    continue
+                runs[k].append(np.unique(here, return_counts=True))
+                while len(runs[k]) > 1 and 2 * len(runs[k][-1][0]) > len(runs[k][-2][0]):
+                    merge(runs[k])
+        for k, mine in enumerate(runs):
+            while len(mine) > 1:
+                merge(mine)
+            for codes, counts in mine:
+                for at in range(0, len(codes), 100_000):
+                    part = codes[at:at + 100_000].view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array([k] * len(part), pa.int32()), pa.array(part),
+                                                      pa.array(counts[at:at + 100_000])], ["len", "code", "n"])
+    parts = map_arrow(blocks.select("train", "seqs"), run, "len int, code long, n long")
+    return parts.groupBy("len", "code").agg(F.sum("n").alias("n"))
 
 
 def buffer(seqs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -218,9 +289,9 @@ def train_tree(grams: DataFrame, p_min: float, min_divergence: float, weight: fl
     if not total:
         return SuffixTree({}, weight)
     sym = F.col("code").bitwiseAND(F.lit(255)).cast("int")
-    levels = F.explode(F.array(*[F.struct(
+    levels = F.explode(F.filter(F.array(*[F.struct(
         F.lit(k).alias("k"), F.shiftright("code", 8).bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("ctx"))
-        for k in range(DEPTH + 1)]))
+        for k in range(DEPTH + 1)]), lambda c: c["k"] <= F.col("len")))
     nexts = (grams.select(levels.alias("c"), sym.alias("sym"), "n")
              .groupBy("c.k", "c.ctx", "sym").agg(F.sum("n").alias("n")))
     totals = nexts.groupBy("k", "ctx").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("symbols")).filter(
@@ -263,7 +334,7 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     v, n = v + (ends > 0), n + ends
     unknown = -math.log10(n + v + 1)
     end_score = math.log10(ends + 1) + unknown
-    tree = spark.sparkContext.broadcast(train_tree(gram_counts(blocks), p_min, min_divergence, weight))
+    tree = spark.sparkContext.broadcast(train_tree(gram_counts(blocks, p_min), p_min, min_divergence, weight))
     # only words with a count return to their blocks; the others score as unknown
     answers = words.join(known, "word").select("block", "word", "c")
 
