@@ -197,8 +197,11 @@ def gram_counts(blocks: DataFrame, p_min: float) -> DataFrame:
 
         def merge(mine: list[tuple[np.ndarray, np.ndarray]]) -> None:
             (a, m), (b, n) = mine.pop(), mine.pop()
-            codes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-            mine.append((codes, np.bincount(at, np.concatenate([m, n]), len(codes)).astype(np.int64)))
+            both = np.concatenate([a, b])
+            order = np.argsort(both, kind="stable")  # two sorted runs: a linear merge
+            both = both[order]
+            first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
+            mine.append((both[first], np.add.reduceat(np.concatenate([m, n])[order], first)))
         for held in trained_seqs(batches):
             symbols, mask = buffer(held)
             codes = gram_codes(symbols)[mask[DEPTH:]]
@@ -273,12 +276,13 @@ class SuffixTree:
         n = len(symbols) - DEPTH
         state = np.zeros(n, np.int32)
         alive = np.ones(n, bool)
+        child, log = self.child.ravel(), self.log.ravel()
         for k in range(1, DEPTH + 1):
             # the tree is closed under suffixes: a state of length k is reached through its suffix
-            longer = self.child[state, symbols[DEPTH - k:DEPTH - k + n]]
+            longer = child.take(state << 8 | symbols[DEPTH - k:DEPTH - k + n])
             alive &= longer >= 0
             np.copyto(state, longer, where=alive)
-        logs = np.where(mask[DEPTH:], self.log[state, symbols[DEPTH:]], np.float32(0)).astype(np.float64)
+        logs = np.where(mask[DEPTH:], log.take(state << 8 | symbols[DEPTH:]), np.float32(0)).astype(np.float64)
         return np.add.reduceat(logs, np.cumsum([0, *(len(s) + DEPTH + 1 for s in seqs[:-1])]))
 
 
