@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from starlens.llm.bpe import encode_texts
 from starlens.llm.common import staged, table, with_row_key
 from starlens.llm.decontaminate import decontaminate
-from starlens.llm.quality import quality_rules
+from starlens.llm.quality import quality_rules, without_lines
 from starlens.llm.queries import vocab_path
 from starlens.llm.secrets import find_secrets, redact
 from starlens.llm.simhash import simhash_groups
@@ -27,9 +27,10 @@ def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep, without the lines above the limit."""
     keyed = with_row_key(docs, ROW)
-    return _without(keyed, quality_rules(keyed, row_key=ROW).filter(~F.col("kept")))
+    return without_lines(keyed, quality_rules(keyed, row_key=ROW), ROW,
+                         length_col="n_chars" if "n_chars" in docs.columns else None).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

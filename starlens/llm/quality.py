@@ -8,8 +8,9 @@ Defined results for odd input: a NULL or empty text has no words, no lines and
 fails the base rules; a NULL host is a host of its own; repeated rows are judged
 row by row but count as one document (documents are distinct by their whole
 text, so a group of exact copies does not turn its own lines into boilerplate);
-the result has the id, the row key if one is given, and the columns of
-``RESULT``, so further columns never clash.
+the result has the id, the row key if one is given, the columns of ``RESULT``
+and ``gone_lines``, so further columns never clash; ``without_lines`` takes the
+lines out of the texts: lines without a word stay as they are.
 """
 
 from __future__ import annotations
@@ -82,13 +83,14 @@ def text_measures(docs: DataFrame, text_col: str = "text", window: int = 5) -> D
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
                   min_words: int = 10, max_repeat_pct: int = 20, min_docs: int = 20,
                   max_doc_share: float = 0.4, min_left: int = 10, row_key: str | None = None) -> DataFrame:
-    """Judge every document: its id, ``row_key`` if given, and the columns of ``RESULT``.
+    """Judge every document: its id, ``row_key`` if given, the columns of ``RESULT`` and ``gone_lines``.
 
     A line is above the limit when more than ``min_docs`` distinct documents of
     its host and more than ``max_doc_share`` of them hold it.  A document is
     depleted when fewer than ``min_left`` of its words stand on other lines.
     The share follows the host's size, so the rule acts alike at every scale
     and a large group of near copies alone does not reject itself.
+    ``gone_lines`` are the hashes of a document's lines above the limit.
     """
     text = F.coalesce(F.col("__t"), F.lit(""))
     keyed = docs if row_key else with_row_key(docs, "__row")
@@ -113,10 +115,32 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 .filter(F.col("__docs") > F.col("__host_docs") * max_doc_share)
                 .select(F.col("a.__host").alias("__fh"), F.col("a.__line").alias("__fl")))
     removed = (rows.join(frequent, (F.col("__line") == F.col("__fl")) & F.col("__host").eqNullSafe(F.col("__fh")))
-               .groupBy("__row").agg(F.sum("__n").alias("__removed")))
+               .groupBy("__row").agg(F.sum("__n").alias("__removed"), F.collect_set("__line").alias("__gone")))
     left = F.col("n_words") - F.coalesce(F.col("__removed"), F.lit(0))
     return (m.join(removed, "__row", "left")
             .withColumn("base_failed", base_failed)
             .withColumn("n_words_left", left.cast("long"))
             .withColumn("kept", ~F.col("base_failed") & (F.col("n_words_left") >= min_left))
-            .select(F.col("__id").alias(id_col), *([F.col("__row").alias(row_key)] if row_key else []), *RESULT))
+            .withColumn("gone_lines", F.coalesce("__gone", F.array().cast("array<bigint>")))
+            .select(F.col("__id").alias(id_col), *([F.col("__row").alias(row_key)] if row_key else []), *RESULT,
+                    "gone_lines"))
+
+
+def without_lines(docs: DataFrame, judged: DataFrame, row_key: str, text_col: str = "text",
+                  length_col: str | None = None) -> DataFrame:
+    """The kept of ``docs``, their texts without the lines above the limit, and ``length_col`` set to the new length.
+
+    Only rejected documents and those with such lines are looked up: their few
+    verdicts travel, not the texts.
+    """
+    verdicts = (judged.filter(~F.col("kept") | (F.size("gone_lines") > 0))
+                .select(row_key, F.col("kept").alias("__kept"), F.col("gone_lines").alias("__gone")))
+    text, gone = F.col(text_col), F.size("__gone") > 0
+    left = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~(
+        x.rlike(WORD) & F.array_contains("__gone", F.xxhash64(_normal_line(x))))), "\n")
+    out = (docs.join(verdicts, row_key, "left").filter(F.coalesce("__kept", F.lit(True)))
+           .withColumn(text_col, F.when(gone, left).otherwise(text)))
+    if length_col:
+        out = out.withColumn(length_col, F.when(gone, F.length(text_col).cast(docs.schema[length_col].dataType))
+                             .otherwise(F.col(length_col)))
+    return out.select(*docs.columns)

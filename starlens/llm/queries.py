@@ -49,7 +49,7 @@ def op4_toxicity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op5_quality(spark: SparkSession, d: str) -> DataFrame:
-    return quality_rules(table(spark, d, "documents"))
+    return quality_rules(table(spark, d, "documents")).drop("gone_lines")
 
 
 def op6_simhash(spark: SparkSession, d: str) -> DataFrame:

@@ -230,6 +230,22 @@ def test_quality_line_frequency(spark):
     assert all(got[200 + i]["kept"] for i in range(5))
 
 
+def test_pipeline_passes_texts_without_frequent_lines(spark, tmp_path):
+    import corpus_pipeline as cp
+    own = [" ".join(f"own{chr(97 + i // 26)}{chr(97 + i % 26)}word{chr(97 + k)}" for k in range(12)) for i in range(30)]
+    line = "All rights  reserved by the SITE and its several owners, number {}"
+    data = [(i, f"{own[i]}\n\n{line.format(i)}\nlast {own[i][:6]}", "en", "a", 7) for i in range(30)]
+    data += [(100 + i, line.format(i), "en", "a", 7) for i in range(5)]                       # depleted
+    data += [(200, own[0] + "\n" + line.format(1), "en", "b", 7), (201, None, "en", "a", 7)]  # another host; no text
+    path = str(tmp_path / "d")
+    spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(path)
+    out = cp.quality(spark, spark.read.parquet(path), "")
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in out.collect()}
+    texts = {i: f"{own[i]}\n\nlast {own[i][:6]}" for i in range(30)}
+    assert got == {**{i: (t, len(t)) for i, t in texts.items()}, 200: (data[-2][1], 7)}
+
+
 # ------------------------------------------------------------------ 6 SimHash
 
 def brute_fingerprint(t):
