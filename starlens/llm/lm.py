@@ -2,21 +2,21 @@
 
 A text is read as its lower-cased words with one space between them and an end
 mark.  Contexts are the up to ``DEPTH`` bytes before a symbol.  A context is a
-candidate if it makes up at least ``p_min`` of all training places, and it is
+candidate if it stands at ``min_count`` training places or more, and it is
 kept if its next-symbol distribution diverges from that of its longest proper
 suffix (Kullback-Leibler divergence, and its likelihood-ratio statistic against
 the number of symbols).  Distributions are smoothed towards those of their
 suffixes.  Each symbol is scored in the state of the longest kept suffix.
 
-At most ``DEPTH / p_min`` contexts can be kept, whatever the corpus holds, so
-the tree has a proven size and is broadcast.  Counts cover every training text:
+The count is the same for a corpus of any size, so the tree grows with the corpus
+and is a table, never gathered or broadcast.  Counts cover every training text:
 a first pass counts contexts in hash buckets, the second counts just those whose
 bucket could hold a candidate, which leaves the candidates and their counts exact.
 
-The word counts that the unigram base needs do grow with the corpus and are
-never broadcast: texts are staged in blocks of about ``BLOCK_BYTES``, the
-distinct words of each block are joined with the corpus counts, and each block
-meets just the counts of its own words.
+The word counts that the unigram base needs grow with the corpus too: texts are
+staged in blocks of about ``BLOCK_BYTES``, the distinct words and contexts of
+each block are joined with the corpus counts and the tree, and each block meets
+just the counts of its own words and the states of its own contexts.
 
 Defined results: a NULL text counts as empty and holds the end mark alone; NULL
 ids and repeated rows are scored row by row; a text of any length is read whole
@@ -41,13 +41,15 @@ from pyspark.sql import functions as F
 from .common import map_arrow, ship, staged
 
 DEPTH = 7  # with the byte after it a context just fits into 64 bits
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 CHUNK_BYTES = 1 << 20
 END = 0x0A  # never inside a word
 PAD = bytes([END]) * DEPTH
 #: Contexts of up to FREE bytes are always counted, longer ones if their hash bucket is frequent enough.
 FREE = 3
-BUCKET_BITS = 19
+#: Training places of a candidate context, in a corpus of any size.
+MIN_COUNT = 20
+BUCKET_BITS = 21
 BUCKET_FACTOR = np.uint64(0x9E3779B97F4A7C15)  # 2^64 over the golden ratio
 SLICE = 1 << 15
 
@@ -140,12 +142,15 @@ def trained_seqs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
 
 def context_buckets(codes: np.ndarray, k: int) -> np.ndarray:
     """Hash bucket of the ``k`` bytes before each place."""
-    contexts = codes >> np.uint64(8) & np.uint64((1 << 8 * k) - 1)
+    return buckets_of(codes >> np.uint64(8) & np.uint64((1 << 8 * k) - 1))
+
+
+def buckets_of(contexts: np.ndarray) -> np.ndarray:
     return (contexts * BUCKET_FACTOR >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
-def frequent_buckets(blocks: DataFrame, p_min: float) -> np.ndarray:
-    """For each length from ``FREE + 1`` on: the buckets with at least ``p_min`` of all training places.
+def frequent_buckets(blocks: DataFrame, min_count: int) -> np.ndarray:
+    """For each length from ``FREE + 1`` on: the buckets with ``min_count`` training places or more.
 
     A bucket holds no less than any of its contexts, so every candidate is in a
     bucket that passes.  Counts travel and return as arrays of a fixed size.
@@ -178,17 +183,16 @@ def frequent_buckets(blocks: DataFrame, p_min: float) -> np.ndarray:
     total = np.zeros((lengths * width // SLICE, SLICE), np.int64)
     for r in sums.toLocalIterator():
         total[r["slice"]] = np.frombuffer(r["counts"], np.int64)
-    total = total.reshape(lengths, width)
-    return total >= max(1.0, total[0].sum() * p_min)
+    return total.reshape(lengths, width) >= min_count
 
 
-def gram_counts(blocks: DataFrame, p_min: float) -> DataFrame:
+def gram_counts(blocks: DataFrame, min_count: int) -> DataFrame:
     """(len, code, n): counts of contexts and the byte after them, over all training texts.
 
     Each place counts once, under its longest context with only frequent
     buckets; shorter contexts follow by summing.  All candidates are complete.
     """
-    frequent = blocks.sparkSession.sparkContext.broadcast(frequent_buckets(blocks, p_min))
+    frequent = blocks.sparkSession.sparkContext.broadcast(frequent_buckets(blocks, min_count))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passes = frequent.value
@@ -252,22 +256,42 @@ class SuffixTree:
 
     def __init__(self, contexts: dict[tuple[int, int], dict[int, int]], weight: float):
         """``contexts``: (length, code of the context) -> counts of the next symbol; the root is (0, 0)."""
-        order = sorted(contexts)
-        if (0, 0) not in contexts:
-            order = [(0, 0), *order]
-        number = {c: i for i, c in enumerate(order)}
-        self.child = np.full((len(order), 256), -1, np.int32)
-        p = np.zeros((len(order), 256), np.float32)
-        for i, (k, code) in enumerate(order):
-            counts = np.zeros(256)
-            for s, n in contexts.get((k, code), {}).items():
-                counts[s] = n
-            if k == 0:
-                p[i] = (counts + 1) / (counts.sum() + 256)
-                continue
-            parent = number[k - 1, code & (1 << 8 * (k - 1)) - 1]
-            self.child[parent, code >> 8 * (k - 1)] = i
-            p[i] = (counts + weight * p[parent]) / (counts.sum() + weight)
+        pairs = [(i, s, n) for i, c in enumerate(contexts.values()) for s, n in c.items()]
+        owner, syms, counts = np.array(pairs, np.int64).reshape(-1, 3).T
+        self._build(np.array([k for k, _ in contexts], np.int64), np.array([c for _, c in contexts], np.int64),
+                    owner, syms, counts, weight)
+
+    @classmethod
+    def of_rows(cls, rows: pa.Table, weight: float) -> SuffixTree:
+        """From rows of ``train_states``."""
+        tree = cls.__new__(cls)
+        flat = lambda c: np.concatenate([*(x.flatten().to_numpy() for x in rows.column(c).chunks), np.zeros(0)])
+        sizes = np.diff([0, *np.cumsum([len(x) for x in rows.column("syms")])])
+        tree._build(rows.column("k").to_numpy().astype(np.int64), rows.column("ctx").to_numpy().astype(np.int64),
+                    np.repeat(np.arange(len(sizes)), sizes), flat("syms").astype(np.int64), flat("counts"), weight)
+        return tree
+
+    def _build(self, lens: np.ndarray, codes: np.ndarray, owner: np.ndarray, syms: np.ndarray,
+               counts: np.ndarray, weight: float) -> None:
+        """State ``owner[i]`` was followed ``counts[i]`` times by ``syms[i]``; states are closed under suffixes."""
+        if not (lens == 0).any():
+            lens, codes = np.append(lens, 0), np.append(codes, 0)
+        order = np.lexsort((codes, lens))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        lens, codes, owner = lens[order], codes[order], place[owner]
+        total = np.bincount(owner, weights=counts, minlength=len(lens)).astype(np.float32)[:, None]
+        self.child = np.full((len(lens), 256), -1, np.int32)
+        p = np.zeros((len(lens), 256), np.float32)
+        p[owner, syms] = counts
+        p[0] = (p[0] + 1) / (total[0] + 256)
+        level = np.searchsorted(lens, np.arange(DEPTH + 2))
+        for k in range(1, DEPTH + 1):
+            above, at, end = level[k - 1:k + 2]
+            own = codes[at:end]
+            parent = above + np.searchsorted(codes[above:at], own & (1 << 8 * (k - 1)) - 1)
+            self.child[parent, own >> 8 * (k - 1)] = np.arange(at, end)
+            p[at:end] = (p[at:end] + np.float32(weight) * p[parent]) / (total[at:end] + np.float32(weight))
         self.log = np.log10(p, out=p)
 
     def scores(self, seqs: list[bytes]) -> np.ndarray:
@@ -286,12 +310,9 @@ class SuffixTree:
         return np.add.reduceat(logs, np.cumsum([0, *(len(s) + DEPTH + 1 for s in seqs[:-1])]))
 
 
-def train_tree(grams: DataFrame, p_min: float, min_divergence: float, weight: float) -> SuffixTree:
-    """Candidates, divergence tests and the closure under suffixes run in Spark; at most DEPTH / p_min states return."""
+def train_states(grams: DataFrame, min_count: int, min_divergence: float) -> DataFrame:
+    """(k, ctx, syms, counts): the kept contexts, closed under suffixes, and the symbols after each."""
     grams = staged(grams, "lm-grams")
-    total = grams.agg(F.sum("n")).first()[0]
-    if not total:
-        return SuffixTree({}, weight)
     sym = F.col("code").bitwiseAND(F.lit(255)).cast("int")
     levels = F.explode(F.filter(F.array(*[F.struct(
         F.lit(k).alias("k"), F.shiftright("code", 8).bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("ctx"))
@@ -299,7 +320,7 @@ def train_tree(grams: DataFrame, p_min: float, min_divergence: float, weight: fl
     nexts = (grams.select(levels.alias("c"), sym.alias("sym"), "n")
              .groupBy("c.k", "c.ctx", "sym").agg(F.sum("n").alias("n")))
     totals = nexts.groupBy("k", "ctx").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("symbols")).filter(
-        F.col("total") >= F.greatest(F.lit(1.0), F.lit(total * p_min)))
+        F.col("total") >= min_count)
     kept_counts = staged(nexts.join(totals, ["k", "ctx"]), "lm-contexts")
     parent = kept_counts.select((F.col("k") + 1).alias("k"), F.col("ctx").alias("p_ctx"), "sym",
                                 (F.col("n") / F.col("total")).alias("q"))
@@ -315,13 +336,63 @@ def train_tree(grams: DataFrame, p_min: float, min_divergence: float, weight: fl
         j.alias("k"), F.col("ctx").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), j * 8) - 1)
         .alias("ctx")))).alias("c")).select("c.*").union(
             kept_counts.filter("k = 0").select("k", "ctx")).distinct()
+    # at most 256 symbols a state
     packed = kept_counts.join(closed, ["k", "ctx"]).groupBy("k", "ctx").agg(
-        F.map_from_entries(F.collect_list(F.struct("sym", "n"))).alias("next"))
-    return SuffixTree({(r["k"], r["ctx"]): r["next"] for r in packed.toLocalIterator()}, weight)
+        F.collect_list(F.struct("sym", "n")).alias("next"))
+    return staged(packed.select("k", "ctx", F.col("next.sym").alias("syms"), F.col("next.n").alias("counts")),
+                  "lm-states")
+
+
+def state_buckets(states: DataFrame) -> np.ndarray:
+    """For each length: the hash buckets that hold a state, a table of a fixed size."""
+    width = 1 << BUCKET_BITS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((DEPTH + 1, width), bool)
+        for b in batches:
+            held[b.column(0).to_numpy(), buckets_of(b.column(1).to_numpy().astype(np.uint64))] = True
+        yield pa.RecordBatch.from_arrays([pa.array(
+            [zstandard.ZstdCompressor().compress(np.packbits(held).tobytes())], pa.binary())], ["held"])
+    held = np.zeros((DEPTH + 1) * width // 8, np.uint8)
+    for r in map_arrow(states.select("k", "ctx"), run, "held binary").toLocalIterator():
+        held |= np.frombuffer(zstandard.ZstdDecompressor().decompress(r["held"]), np.uint8)
+    return np.unpackbits(held).astype(bool).reshape(DEPTH + 1, width)
+
+
+def block_contexts(blocks: DataFrame, states: DataFrame) -> DataFrame:
+    """(block, k, ctx): the distinct contexts of each block, without those whose bucket holds no state."""
+    buckets = blocks.sparkSession.sparkContext.broadcast(state_buckets(states))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes, now, found = buckets.value, None, [[] for _ in range(DEPTH + 1)]
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for k, parts in enumerate(found):
+                ctx = np.unique(np.concatenate(parts)).view(np.int64)
+                parts.clear()
+                for at in range(0, len(ctx), 100_000):
+                    part = ctx[at:at + 100_000]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([now] * len(part), pa.int64()), pa.array([k] * len(part), pa.int32()),
+                         pa.array(part)], ["block", "k", "ctx"])
+        for b in batches:
+            for block, seqs in zip(*b.columns, strict=True):
+                if block.as_py() != now:
+                    if now is not None:
+                        yield from flush()
+                    now = block.as_py()
+                symbols, mask = buffer(unpack(seqs.as_py()))
+                ctx = gram_codes(symbols)[mask[DEPTH:]] >> np.uint64(8)
+                for k in range(DEPTH, -1, -1):
+                    ctx = np.unique(ctx & np.uint64((1 << 8 * k) - 1))
+                    found[k].append(ctx[passes[k][buckets_of(ctx)]])
+        if now is not None:
+            yield from flush()
+    return map_arrow(blocks.select("block", "seqs"), run, "block long, k int, ctx long")
 
 
 def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text",
-                p_min: float = 1e-5, min_divergence: float = 0.0002, weight: float = 4.0) -> DataFrame:
+                min_count: int = MIN_COUNT, min_divergence: float = 0.0002, weight: float = 4.0) -> DataFrame:
     """Per document: n_tokens, n_known, train_tokens, base_score and score (log10).
 
     ``train`` marks the rows that the counts and the tree learn from; all rows are scored.
@@ -338,12 +409,14 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     v, n = v + (ends > 0), n + ends
     unknown = -math.log10(n + v + 1)
     end_score = math.log10(ends + 1) + unknown
-    tree = spark.sparkContext.broadcast(train_tree(gram_counts(blocks, p_min), p_min, min_divergence, weight))
-    # only words with a count return to their blocks; the others score as unknown
-    answers = words.join(known, "word").select("block", "word", "c")
+    states = train_states(gram_counts(blocks, min_count), min_count, min_divergence)
+    # only words with a count and contexts with a state return to their blocks; the others score as unknown, or shorter
+    answers = words.join(known, "word").select("block", "word", "c").unionByName(
+        block_contexts(blocks, states).join(states, ["k", "ctx"]), allowMissingColumns=True)
 
     def run(texts: pa.Table, found: pa.Table) -> pa.Table:
-        model = tree.value
+        model = SuffixTree.of_rows(found.filter(found.column("k").is_valid()), weight)
+        found = found.filter(found.column("word").is_valid())
         count = dict(zip(found.column("word").to_pylist(), found.column("c").to_pylist(), strict=True)).get
         cols: list[list[np.ndarray]] = [[], [], [], []]
 

@@ -338,6 +338,37 @@ def test_suffix_tree_by_hand():
     assert np.allclose((10.0 ** tree.log).sum(axis=1), 1, atol=1e-4)
 
 
+def test_lm_states_do_not_shrink_with_the_corpus(spark):
+    """A context of a fixed count stays a state in a corpus of any size; states and scores as by brute force."""
+    def score(copies):
+        data = [(i, "qzqz qzv " * 30, True) for i in range(4)] + [
+            (10 + i, " ".join(f"w{(i * j) % 7}" for j in range(40)), True) for i in range(copies)] + [(9999, "qzv w3", False)]
+        docs = spark.createDataFrame(data, "doc_id long, text string, t boolean").repartition(3)
+        blocks = lm.stage_blocks(docs, "doc_id", "text", F.col("t"))
+        states = {(r["k"], r["ctx"]): dict(zip(r["syms"], r["counts"], strict=True))
+                  for r in lm.train_states(lm.gram_counts(blocks, 50), 50, 0.0002).collect()}
+        seqs = [lm.normal(t) for _, t, train in data if train]
+        counts = collections.defaultdict(collections.Counter)
+        for s in seqs:
+            b = lm.PAD + s + bytes([lm.END])
+            for i in range(lm.DEPTH, len(b)):
+                for k in range(lm.DEPTH + 1):
+                    counts[k, int.from_bytes(b[i - k:i], "big")][b[i]] += 1
+        kept = {(0, 0)}
+        for (k, c), x in counts.items():
+            n, up = sum(x.values()), counts[max(k - 1, 0), c & (1 << 8 * max(k - 1, 0)) - 1]
+            gain = sum(m * math.log(m / n / (up[y] / sum(up.values()))) for y, m in x.items())
+            if k and n >= 50 and gain >= n * 0.0002 and gain * 2 >= len(x) * 3 + 30:
+                kept |= {(j, c & (1 << 8 * j) - 1) for j in range(k + 1)}
+        assert states == {c: dict(counts[c]) for c in kept}
+        tree = lm.SuffixTree({c: dict(counts[c]) for c in kept}, 4.0)
+        got = {r["doc_id"]: r["score"] for r in lm.score_texts(docs, F.col("t"), min_count=50).collect()}
+        assert all(abs(got[i] - tree.scores([lm.normal(t)])[0]) < 1e-3 for i, t, _ in data)
+        return set(states)
+    rare = {c for c in score(20) if c[0] and bytes([c[1] & 255]) in b"qzv"}
+    assert rare and rare <= score(400)
+
+
 # ------------------------------------------------------------------ 8 decontamination
 
 def item_words(t):
