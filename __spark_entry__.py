@@ -939,7 +939,7 @@ ORACLE.update({
 from pyspark.ml.feature import VectorAssembler  # noqa: E402
 from pyspark.ml.functions import vector_to_array  # noqa: E402
 
-from starlens.fixed_values import TFIDF_BLOCKS  # noqa: E402
+from starlens.fixed_values import RANDOM_SEARCH_SPACE, TFIDF_BLOCKS  # noqa: E402
 from starlens.operators.split import split_frames  # noqa: E402
 from starlens.plans import models as ml  # noqa: E402
 from starlens.plans.rating import compare_models, run_rating_pipeline  # noqa: E402
@@ -947,11 +947,8 @@ from starlens.plans.tune import random_search_cv  # noqa: E402
 from starlens.streaming.ingest import ingest_and_read  # noqa: E402
 
 LI_FEATURES = ["l_extendedprice", "l_discount", "l_tax", "p_retailprice", "p_size", "c_acctbal", "order_year"]
-# Small model sizes for the per-round check; the library defaults are the full ones.
-SMALL_GBT = {"n_estimators": 20, "max_depth": 5, "learning_rate": 0.1}
-SMALL_SPACE = {"n_estimators": ("int", 5, 15), "learning_rate": ("uniform", 0.05, 0.3),
-               "max_depth": ("int", 2, 5), "subsample": ("uniform", 0.6, 1.0),
-               "colsample_bytree": ("uniform", 0.5, 1.0)}
+# As many trees and as deep as Spark's defaults, which the library keeps.
+GBT = {"n_estimators": 20, "max_depth": 5, "learning_rate": 0.1}
 
 
 def _li_model_frame(spark, d):
@@ -978,7 +975,7 @@ def _li_model_frame(spark, d):
 
 def q_gbt_fit(spark, d):
     train, _, test = _li_model_frame(spark, d)
-    m = ml.fit_gbt(train, params=SMALL_GBT)
+    m = ml.fit_gbt(train, params=GBT)
     return regression_metrics(ml.score(m, test), "label", "prediction", "gbt")
 
 
@@ -990,34 +987,33 @@ def q_rf_fit(spark, d):
 
 def q_fm_fit(spark, d):
     train, _, test = _li_model_frame(spark, d)
-    m = ml.fit_fm(train, params={"stepSize": 0.01, "maxIter": 50})
+    m = ml.fit_fm(train)
     return regression_metrics(ml.score(m, test), "label", "prediction", "fm")
 
 
 def q_importances(spark, d):
     train, _, _ = _li_model_frame(spark, d)
-    m = ml.fit_gbt(train, params=SMALL_GBT)
+    m = ml.fit_gbt(train, params=GBT)
     return ml.feature_importances(spark, m, LI_FEATURES, 20)
 
 
 def q_random_search(spark, d):
     train, _, _ = _li_model_frame(spark, d)
-    _, trials = random_search_cv(train, ml.fit_gbt, SMALL_SPACE, "review_id", n_iter=3, folds=3, metric="mae",
-                                 parallelism=3)
+    _, trials = random_search_cv(train, ml.fit_gbt, RANDOM_SEARCH_SPACE, "review_id", n_iter=20, folds=3,
+                                 metric="mae", parallelism=3)
     return trials
 
 
 def q_compare_models(spark, d):
     train, _, test = _li_model_frame(spark, d)
-    return compare_models(train, test, params={"gbt": SMALL_GBT, "forest": {"n_estimators": 20, "max_depth": 8},
-                                               "fm": {"stepSize": 0.01, "maxIter": 50}})
+    return compare_models(train, test, params={"gbt": GBT, "forest": {"n_estimators": 20, "max_depth": 8}})
 
 
 def q_rating_pipeline(spark, d):
     frame, feats = _doc_features(spark, d)
     labelled = frame.join(_t(spark, d, "labels").select("doc_id", F.col("toxic").alias("rating")), "doc_id", "inner")
     feats = [f for f in feats if f not in ("quality", "toxic")]
-    res = run_rating_pipeline(labelled, feats, "doc_id", "rating", "text", n_trials=2, space=SMALL_SPACE)
+    res = run_rating_pipeline(labelled, feats, "doc_id", "rating", "text", n_trials=100, parallelism=3)
     return res.metrics
 
 

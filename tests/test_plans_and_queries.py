@@ -66,3 +66,33 @@ def test_relational_plans_scale(spark, sf):
             assert bad not in p, (name, bad)
         for child in _gathers(p):
             assert "HashAggregate(" in child or "SortAggregate(" in child, (name, child.strip()[:200])
+
+
+def test_model_queries_run_at_full_settings(spark, sf, monkeypatch):
+    """The registered searches and learners get the library's and the reference's settings, not smaller ones."""
+    from starlens.fixed_values import RANDOM_SEARCH_SPACE, STUDY_SPACE
+    from starlens.plans import rating
+    seen = {}
+    monkeypatch.setattr(E, "_li_model_frame", lambda spark, d: (None, None, None))
+    monkeypatch.setattr(E, "regression_metrics", lambda *a: None)
+    monkeypatch.setattr(E.ml, "score", lambda *a: None)
+    monkeypatch.setattr(E.ml, "fit_fm", lambda train, *a, **k: seen.update(fm=k.get("params")))
+    monkeypatch.setattr(E, "random_search_cv", lambda train, fit, space, key, **k: seen.update(
+        space=space, draws=k["n_iter"]) or (None, None))
+    monkeypatch.setattr(E, "compare_models", lambda train, test, params: seen.update(compare=params))
+
+    class Stop(Exception):
+        pass
+
+    def study(train, val, fit, space, **k):
+        seen.update(study=space, trials=k["n_trials"])
+        raise Stop
+    monkeypatch.setattr(rating, "assemble_splits", lambda *a: (None, None, None, []))
+    monkeypatch.setattr(rating, "cut_lineage", lambda df: df)
+    monkeypatch.setattr(rating, "study", study)
+    E.q_fm_fit(spark, sf), E.q_random_search(spark, sf), E.q_compare_models(spark, sf)
+    with pytest.raises(Stop):
+        E.q_rating_pipeline(spark, sf)
+    assert seen["fm"] is None and "fm" not in seen["compare"]
+    assert seen["space"] == RANDOM_SEARCH_SPACE and seen["draws"] == 20
+    assert seen["study"] == STUDY_SPACE and seen["trials"] == 100
