@@ -13,12 +13,15 @@ from .bpe import encode_digests
 from .common import crc32_mod, table
 from .decontaminate import decontaminate
 from .lm import score_texts
+from .mixing import mix_sources, taken_words
 from .quality import quality_rules
+from .search import search
 from .secrets import find_secrets
 from .simhash import simhash_groups
 from .token_files import token_output
 from .toxicity import toxicity_scores
 from .urls import PATTERN_RULES, compile_rule, filter_urls
+from .vector_codes import code_report, compress_vectors
 from .warc import warc_round_trip
 
 HOST_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
@@ -77,8 +80,22 @@ def op10_secrets(spark: SparkSession, d: str) -> DataFrame:
         "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
+def op11_mixing(spark: SparkSession, d: str) -> DataFrame:
+    return taken_words(mix_sources(table(spark, d, "documents")))
+
+
+def op12_vector_codes(spark: SparkSession, d: str) -> DataFrame:
+    return code_report(compress_vectors(table(spark, d, "embeddings")))
+
+
+def op13_search(spark: SparkSession, d: str) -> DataFrame:
+    found = search(table(spark, d, "documents"), table(spark, d, "benchmark"))
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
 QUERIES = {f.__name__: f for f in (op1_token_output, op2_warc, op3_bpe, op4_toxicity, op5_quality, op6_simhash,
-                                   op7_lm, op8_decontaminate, op9_urls, op10_secrets)}
+                                   op7_lm, op8_decontaminate, op9_urls, op10_secrets, op11_mixing, op12_vector_codes,
+                                   op13_search)}
 
 # ------------------------------------------------------------------ SQL
 
@@ -159,4 +176,43 @@ SELECT page_id, host, path, rule, coalesce(best.verdict,
 FROM x LEFT JOIN best ON x.r = best.r AND best.k = 1"""
 
 
-ORACLE = {"op2_warc": _OP2, "op5_quality": _OP5, "op8_decontaminate": _OP8, "op9_urls": _op9()}
+def _op12(rounds: int = 4, entries: int = 256) -> str:
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""a{k} AS MATERIALIZED (SELECT p.r, p.pt, any_value(p.v) AS v, arg_min(b.e, b.e + {entries} * (p.vv - 2 * list_dot_product(p.f, b.f) + b.vv)) AS e,
+              min(p.vv - 2 * list_dot_product(p.f, b.f) + b.vv)::BIGINT AS d FROM p JOIN b{k} b USING (pt) GROUP BY p.r, p.pt)""")
+        if k < rounds:
+            steps.append(f"""m{k} AS (SELECT pt, e, list(c ORDER BY i) AS c FROM (SELECT pt, e, i, floor(sum(x)::DOUBLE / count(*))::BIGINT AS c
+              FROM (SELECT pt, e, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM a{k}) GROUP BY pt, e, i) GROUP BY pt, e),
+b{k + 1} AS MATERIALIZED (SELECT *, list_dot_product(f, f) AS vv FROM (SELECT b.pt, b.e, coalesce(m.c, b.c) AS c, coalesce(m.c, b.c)::DOUBLE[] AS f
+              FROM b{k} b LEFT JOIN m{k} m USING (pt, e)))""")
+    return f"""
+WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda c: floor(1024 * c::DOUBLE)::BIGINT) AS x FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+n AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY vec_id NULLS LAST, x) - 1 AS r, len(x) // 4 AS w FROM k),
+p AS MATERIALIZED (SELECT *, list_dot_product(f, f) AS vv FROM (SELECT r, pt, x[pt * w + 1:(pt + 1) * w] AS v, x[pt * w + 1:(pt + 1) * w]::DOUBLE[] AS f
+      FROM n, unnest(range(4)) AS t(pt))),
+b0 AS MATERIALIZED (SELECT pt, r AS e, v AS c, f, vv FROM p WHERE r < {entries}),
+{", ".join(steps)},
+s AS (SELECT r, string_agg(printf('%02x', e), '' ORDER BY pt) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY r)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY pt, e)) FROM b{rounds}) AS codebooks_sha256
+FROM n JOIN s USING (r)"""
+
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_OP13 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_AZ.format("coalesce(text, '')")}, '{_TERM}') AS w FROM documents),
+c AS (SELECT count(*)::BIGINT AS n, sum(len(w))::BIGINT AS l FROM d WHERE len(w) > 0),
+q AS (SELECT item_id, t, count(*) AS m
+      FROM (SELECT item_id, unnest(regexp_extract_all({_AZ.format("coalesce(text, '')")}, '{_TERM}')) AS t FROM benchmark) GROUP BY ALL),
+p AS (SELECT r, t, count(*)::BIGINT AS tf FROM (SELECT r, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+f AS (SELECT t, floor(1000 * ln((2 * c.n + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, c GROUP BY t, c.n),
+m AS (SELECT r, doc_id, 25 + (75 * len(w)::BIGINT * c.n) // c.l AS m FROM d, c),
+s AS (SELECT item_id, r, doc_id, sum(q.m * f.w * ((1000000000 * tf) // (1000 * tf + 8 * m.m)))::BIGINT AS score
+      FROM p JOIN q USING (t) JOIN f USING (t) JOIN m USING (r) GROUP BY ALL HAVING score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM
+  (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s) WHERE rank <= 10"""
+
+
+ORACLE = {"op12_vector_codes": _op12(), "op13_search": _OP13, "op2_warc": _OP2, "op5_quality": _OP5, "op8_decontaminate": _OP8, "op9_urls": _op9()}
