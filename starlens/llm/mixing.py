@@ -236,7 +236,7 @@ def _shard_ranges(sources: DataFrame, shard_blocks: int, seed: int) -> DataFrame
     group_depth = max(0, depth - SUBTREE)
     grouped = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit((1 << group_depth) - 1))))
 
-    def run(key, p: pd.DataFrame) -> pd.DataFrame:
+    def run(key, p):
         p = p.sort_values("idx")
         leaves = leaf_ranges(p["quota"].to_numpy(np.int64), totals, chunks.index(key[0]), depth, group_depth, int(key[1]), seed)
         out = pd.DataFrame({"idx": np.tile(p["idx"].to_numpy(), len(leaves)),
