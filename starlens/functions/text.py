@@ -35,6 +35,27 @@ def tokenize(c) -> Column:
     return F.filter(F.split(as_col(c), WHITESPACE), lambda t: t != F.lit(""))
 
 
+def _let(value: Column, body) -> Column:
+    """Bind ``value`` to a lambda variable, so ``body`` evaluates it once however often it is used."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def counted(tokens, name: str = "word") -> Column:
+    """Array of (``name``, n): the distinct elements of an array in order, with their counts.
+
+    Counted inside the row (sort, then the ends of equal runs), so that a text
+    emits one row per distinct word instead of one per occurrence.  NULL has none.
+    """
+    def runs(s):
+        def sizes(ends):
+            before = F.slice(F.concat(F.array(F.lit(0)), ends), 1, F.size(ends))
+            return F.zip_with(ends, before, lambda e, p: F.struct(F.get(s, e - 1).alias(name), (e - p).cast("long").alias("n")))
+        places = F.sequence(F.lit(1), F.greatest(F.size(s), F.lit(1)))
+        last = F.filter(places, lambda i: (i <= F.size(s)) & ((i == F.size(s)) | (F.get(s, i) != F.get(s, i - 1))))
+        return _let(last, sizes)
+    return _let(F.array_sort(as_col(tokens)), runs)
+
+
 def word_count(c) -> Column:
     """Number of whitespace tokens (``review_length`` / ``word_count``)."""
     return F.size(tokenize(c))

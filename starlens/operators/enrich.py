@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from starlens.functions._util import named
 from starlens.functions.text import elite_count
 from starlens.operators.checkins import top_k
 
@@ -89,6 +92,31 @@ def maybe_broadcast(df: DataFrame, max_rows: int | None,
     return df
 
 
+#: A key with at least this share of the rows is looked up by broadcast, at most its reciprocal of them.
+HOT_SHARE = 0.001
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str, how: str = "inner", max_rows: int | None = BROADCAST_MAX_ROWS,
+           max_bytes: int | None = BROADCAST_MAX_BYTES, hot_share: float = HOT_SHARE) -> DataFrame:
+    """``rows`` joined with ``table``, which holds each key once: inner or left.
+
+    A table within the bounds is broadcast.  A larger one is split: a
+    frequent-items sketch over the rows names every key with at least
+    ``hot_share`` of them (and at most 1 / ``hot_share`` keys in all), the
+    table's rows of these keys are broadcast, and only the other keys are
+    shuffled, none of which is hot.  NULL keys match nothing.
+    """
+    if max_rows and bounded_size(table, max_rows, max_bytes):
+        return rows.join(F.broadcast(table), key, how)
+    hot = [k for k in rows.select(key).stat.freqItems([key], hot_share).first()[0] if k is not None]
+    if not hot:
+        return rows.join(table, key, how)
+    is_hot = named(key).isin(hot)
+    few = rows.filter(is_hot).join(F.broadcast(table.filter(is_hot)), key, how)
+    rest = rows.filter(~is_hot | named(key).isNull()).join(table.filter(~is_hot), key, how)
+    return few.unionByName(rest)
+
+
 def drop_strict(df: DataFrame, cols) -> DataFrame:
     """Drop columns, raising on a missing name (pandas semantics)."""
     missing = [c for c in cols if c not in df.columns]
@@ -109,20 +137,18 @@ def enrich(fact: DataFrame, dim: DataFrame, on, rename: dict | None = None, how:
     """
     on = [on] if isinstance(on, str) else list(on)
     rename = rename or {}
-    dim = dim.select(*[F.col(c).alias(rename.get(c, c)) for c in dim.columns])
+    dim = dim.select(*[named(c).alias(rename.get(c, c)) for c in dim.columns])
     if check_unique:
-        dup = dim.groupBy(*on).count().filter("count > 1").limit(1).count()
+        dup = dim.groupBy(*map(named, on)).count().filter("count > 1").limit(1).count()
         if dup:
             raise ValueError(f"dimension key {on} is not unique")
     dim = maybe_broadcast(dim, broadcast_max_rows)
     if not null_safe:
         return fact.join(dim, on, how)
-    cond = None
-    for k in on:
-        c = fact[k].eqNullSafe(dim[k])
-        cond = c if cond is None else cond & c
-    out = fact.join(dim, cond, how)
-    return out.select(*[fact[c] for c in fact.columns], *[dim[c] for c in dim.columns if c not in on])
+    keys = {k: f"__key{i}" for i, k in enumerate(on)}
+    dim = dim.select(*[named(c).alias(keys.get(c, c)) for c in dim.columns])
+    cond = reduce(lambda a, b: a & b, [named(k).eqNullSafe(F.col(v)) for k, v in keys.items()])
+    return fact.join(dim, cond, how).drop(*keys.values())
 
 
 def build_combined(review: DataFrame, business: DataFrame, user: DataFrame,
@@ -183,8 +209,8 @@ def sum_by(df: DataFrame, key: str, col: str, name: str | None = None, how: str
     ``how='max'`` takes the largest value instead, which is the right total
     when ``col`` is a per-key attribute repeated on every row of the key.
     """
-    agg = F.sum(col) if how == "sum" else F.max(col)
-    return (df.filter(F.col(key).isNotNull()).groupBy(key)
+    agg = F.sum(named(col)) if how == "sum" else F.max(named(col))
+    return (df.filter(named(key).isNotNull()).groupBy(named(key))
             .agg(F.coalesce(agg, F.lit(0)).alias(name or f"{how}_{col}")))
 
 
@@ -208,15 +234,21 @@ def top_keys(df: DataFrame, key: str, k: int, count_col: str | None = None, name
 
 
 def rows_of_keys(df: DataFrame, keys: DataFrame, key: str, max_keys: int | None = None) -> DataFrame:
-    """Left-semi join: rows of ``df`` whose key is in ``keys`` (``isin`` without collecting)."""
+    """Left-semi join: rows of ``df`` whose key is in ``keys`` (``isin`` without collecting).
+
+    ``max_keys`` is a promise of the caller's that spares the size check; a broken promise is a shuffle join,
+    since at most so many keys and one more are looked at.
+    """
     ks = keys.select(key)
-    ks = F.broadcast(ks) if max_keys else maybe_broadcast(ks, BROADCAST_MAX_ROWS)
-    return df.join(ks, key, "left_semi")
+    if max_keys:
+        few = ks.limit(max_keys + 1)
+        return df.join(F.broadcast(few) if few.count() <= max_keys else ks, key, "left_semi")
+    return df.join(maybe_broadcast(ks, BROADCAST_MAX_ROWS), key, "left_semi")
 
 
 def rows_of_top_k(df: DataFrame, key: str, k: int, count_col: str | None = None) -> DataFrame:
-    """Rows of the ``k`` most frequent keys; the key set is k rows, so it is broadcast."""
-    return rows_of_keys(df, top_keys(df, key, k, count_col), key, max_keys=k)
+    """Rows of the ``k`` most frequent keys; the key set is a limit of k rows, so it is broadcast."""
+    return df.join(F.broadcast(top_keys(df, key, k, count_col).select(key)), key, "left_semi")
 
 
 def state_counts(df: DataFrame, state_col: str, category_col: str, needle: str = "Restaurants",

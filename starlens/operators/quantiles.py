@@ -2,14 +2,12 @@
 
 Spark's exact ``percentile`` keeps a value -> count map per group and merges
 it in one task, which does not survive a hot group or a continuous column
-at scale.  Here the rank of each wanted order statistic is located by
-repeated equal-width histograms: each pass is an ordinary partial/final
-aggregation that returns at most ``bins`` rows per open interval, the
-interval containing the rank is narrowed to that bin's own min/max, and once
-a bin holds at most ``leaf_rows`` rows its distinct values are counted and
-the rank is read off.  The running counts that locate a rank are windows
-over one interval's summary rows (at most ``bins`` of them), so only one row
-per wanted rank reaches the driver on each pass.
+at scale.  Here a mergeable sketch, taken in the pass that also counts the
+groups, brackets each wanted order statistic, and one further pass counts the
+rows below the bracket and the values inside it.  Brackets with more than
+``leaf_rows`` rows, and the rare rank outside its bracket, are narrowed by
+repeated equal-width histograms.  Every pass is an ordinary partial / final
+aggregate, and every window runs over one bracket's summary rows.
 
 Interpolation is linear between the two neighbouring order statistics
 (pandas / numpy default; DuckDB ``quantile_cont``).
@@ -17,14 +15,16 @@ Interpolation is linear between the two neighbouring order statistics
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from starlens.functions._util import present
 
+#: Size of the sketch per group: a rank error of about 2.296 / k^0.9021, both sides.
+SKETCH_K = 1000
+#: Groups of up to so many rows are counted whole: their sketch is no smaller.
+SMALL_GROUP = 10_000
+
 
 def _clean(df: DataFrame, col: str, by: list[str]) -> DataFrame:
     base = df.select(*by, present(col).alias("__x")).filter(F.col("__x").isNotNull())
@@ -33,197 +33,101 @@ def _clean(df: DataFrame, col: str, by: list[str]) -> DataFrame:
     return base
 
 
-def _tag_intervals(base: DataFrame, by: list[str], intervals: list[tuple]) -> DataFrame:
-    """Rows of ``base`` tagged with the id of every open interval they fall in.
-
-    ``intervals`` = [(iid, group_key_tuple, lo, hi)].  Without grouping the
-    few intervals become literal predicates; with grouping they form a small
-    table (bounded by groups x wanted ranks) that is broadcast on the keys.
-    """
-    spark = base.sparkSession
-    if not by:
-        tags = [F.when((F.col("__x") >= F.lit(lo)) & (F.col("__x") <= F.lit(hi)),
-                       F.struct(F.lit(iid).alias("iid"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")))
-                for iid, _, lo, hi in intervals]
-        return (base.select("__x", F.explode(F.array(*tags)).alias("__t"))
-                    .filter(F.col("__t").isNotNull())
-                    .select("__x", "__t.iid", "__t.lo", "__t.hi"))
-    key_fields = [base.schema[b] for b in by]
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in key_fields] + [
-        T.StructField("iid", T.IntegerType()), T.StructField("lo", T.DoubleType()),
-        T.StructField("hi", T.DoubleType())])
-    table = spark.createDataFrame([tuple(g) + (iid, lo, hi) for iid, g, lo, hi in intervals], schema)
-    return (base.join(F.broadcast(table), by, "inner")
-                .filter((F.col("__x") >= F.col("lo")) & (F.col("__x") <= F.col("hi"))))
-
+def sketched_stats(base: DataFrame, by: list[str], sketch_k: int = SKETCH_K) -> DataFrame:
+    """(by..., n, mn, mx, sketch) of ``__x``: one partial / final aggregate; the sketches merge."""
+    return base.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("__x").alias("mn"), F.max("__x").alias("mx"),
+                                 F.kll_sketch_agg_double("__x", F.lit(sketch_k)).alias("sketch"))
 
-def _locate_ranks(summary: DataFrame, order_col: str, wants: list[tuple]) -> dict:
-    """{want id: row} -- for each want ``(wid, iid, k)`` the row of ``summary``
-    (``iid``, ``order_col``, count ``c``, ...) holding the k-th element
-    (0-based) of interval ``iid`` in ``order_col`` order, with ``__before``
-    = elements of the interval before that row.
 
-    The running count is a window per interval, and an interval has at most
-    ``bins`` (or ``leaf_rows`` distinct values) summary rows, so no window
-    partition grows with the data; only one row per want reaches the driver.
-    """
-    spark = summary.sparkSession
-    wt = spark.createDataFrame(wants, "wid int, iid int, k long")
-    w = Window.partitionBy("iid").orderBy(order_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = summary.withColumn("__cum", F.sum("c").over(w)).withColumn("__before", F.col("__cum") - F.col("c"))
-    hit = (run.join(F.broadcast(wt), "iid")
-              .filter((F.col("__before") <= F.col("k")) & (F.col("k") < F.col("__cum"))))
-    return {r["wid"]: r for r in hit.collect()}
+def _bracketed(stats: DataFrame, by: list[str], probs: list[float], sketch_k: int, leaf_rows: int) -> DataFrame:
+    """Per group and probability: its two order statistics k0, k1, the weight of the second and their bracket."""
+    eps = 3 * 2.296 / sketch_k ** 0.9021
+    marks = F.array(*[F.struct(F.lit(p).alias("p"),
+                               F.kll_sketch_get_quantile_double("sketch", F.lit(max(0.0, p - eps))).alias("a"),
+                               F.kll_sketch_get_quantile_double("sketch", F.lit(min(1.0, p + eps))).alias("b"))
+                      for p in probs])
+    rows = stats.filter(F.col("n") > 0).select(*by, "n", "mn", "mx", F.inline(marks))
+    h = F.col("p") * (F.col("n") - F.lit(1))
+    small = F.col("n") <= SMALL_GROUP
+    return (rows.withColumn("k0", F.floor(h).cast("long"))
+            .withColumn("k1", F.least(F.col("k0") + F.lit(1), F.col("n") - F.lit(1)))
+            .withColumn("frac", h - F.col("k0"))
+            .withColumn("lo", F.when(small | (F.col("p") <= eps), F.col("mn")).otherwise(F.col("a")))
+            .withColumn("hi", F.when(small | (F.col("p") >= 1 - eps), F.col("mx")).otherwise(F.col("b")))
+            .withColumn("big", F.col("n") * F.lit(2 * eps) > F.lit(leaf_rows)).drop("a", "b"))
 
 
-def quantile_values(df: DataFrame, col: str, probs, by=None, bins: int = 2048,
-                    leaf_rows: int = 20000, stats: dict | None = None) -> dict:
-    """{group_key_tuple: {"n":, "min":, "max":, "q": [value per prob]}}.
+def exact_quantiles_frame(df: DataFrame, col: str, probs, by, bins: int = 2048, leaf_rows: int = 2_000_000,
+                          sketch_k: int = SKETCH_K, stats: DataFrame | None = None) -> DataFrame:
+    """Exact grouped quantiles for any number of groups: (by..., p, value).
 
-    The ranks sought are driver-side state, so the groups must be few by
-    nature (column names); for groups that data decide, see
-    :func:`exact_quantiles_frame`.
-    ``stats`` = {group_key_tuple: (n, min, max)} over the non-NULL, non-NaN
-    values, when the caller already has them, saves the first pass.
+    Pass 1 (saved when the caller has ``stats``, see :func:`sketched_stats`)
+    takes each group's count, minimum, maximum and sketch.  Pass 2 counts, per
+    bracket, the rows below it in one counter and the distinct values inside;
+    a running count over these reads the order statistics off.  The sketch
+    only chooses brackets: results are exact whatever it says, since a rank
+    outside its bracket shows in the counts and is searched over the whole
+    range.  Open ranks are a checkpointed frame; nothing is gathered on the
+    driver but an "any open?" probe.
     """
-    by = [by] if isinstance(by, str) else list(by or [])
+    from starlens.operators.enrich import BROADCAST_MAX_ROWS, maybe_broadcast
+    from starlens.session import cut_lineage
+    by = [by] if isinstance(by, str) else list(by)
     probs = [float(p) for p in probs]
     base = _clean(df, col, by)
-    if stats is not None:
-        stats = [dict(zip(by, g), n=n, mn=mn, mx=mx) for g, (n, mn, mx) in stats.items() if n]
-    else:
-        stats = (base.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("__x").alias("mn"),
-                                       F.max("__x").alias("mx")).collect())
-    out, want, state, value = {}, {}, {}, {}
-    for r in stats:
-        g = tuple(r[b] for b in by)
-        n, mn, mx = r["n"], r["mn"], r["mx"]
-        out[g] = {"n": n, "min": mn, "max": mx, "q": []}
-        if n == 0:
-            continue
-        ranks = set()
-        for p in probs:
-            h = p * (n - 1)
-            k0 = int(math.floor(h))
-            ranks.update({k0, min(k0 + 1, n - 1)})
-        want[g] = ranks
-        for k in ranks:
-            if k == 0:
-                value[(g, k)] = mn
-            elif k == n - 1:
-                value[(g, k)] = mx
-            elif mn == mx:
-                value[(g, k)] = mn
-            else:
-                state[(g, k)] = (mn, mx, 0)
-    for _ in range(200):
-        if not state:
-            break
-        ivals = {}
-        for (g, k), (lo, hi, below) in state.items():
-            ivals.setdefault((g, lo, hi), len(ivals))
-        intervals = [(iid, g, lo, hi) for (g, lo, hi), iid in ivals.items()]
-        tagged = _tag_intervals(base, by, intervals)
-        binned = tagged.select("iid", F.least(
-            F.floor((F.col("__x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.lit(bins)),
-            F.lit(bins - 1)).cast("int").alias("bin"), "__x")
-        hist = (binned.groupBy("iid", "bin")
-                .agg(F.count(F.lit(1)).alias("c"), F.min("__x").alias("a"), F.max("__x").alias("b")))
-        items = list(state.items())
-        found = _locate_ranks(hist, "bin", [(w, ivals[(g, lo, hi)], k - below)
-                                            for w, ((g, k), (lo, hi, below)) in enumerate(items)])
-        leaves, nxt = {}, {}
-        for w, ((g, k), (lo, hi, below)) in enumerate(items):
-            r = found[w]
-            c, a, b = r["c"], r["a"], r["b"]
-            before = below + r["__before"]
-            if a == b:
-                value[(g, k)] = a
-            elif c <= leaf_rows:
-                leaves[(g, k)] = (a, b, before)
-            else:
-                nxt[(g, k)] = (a, b, before)
-        if leaves:
-            livals = {}
-            for (g, k), (lo, hi, below) in leaves.items():
-                livals.setdefault((g, lo, hi), len(livals))
-            lint = [(iid, g, lo, hi) for (g, lo, hi), iid in livals.items()]
-            counts = _tag_intervals(base, by, lint).groupBy("iid", "__x").agg(F.count(F.lit(1)).alias("c"))
-            litems = list(leaves.items())
-            lfound = _locate_ranks(counts, "__x", [(w, livals[(g, lo, hi)], k - below)
-                                                   for w, ((g, k), (lo, hi, below)) in enumerate(litems)])
-            for w, ((g, k), _) in enumerate(litems):
-                value[(g, k)] = lfound[w]["__x"]
-        state = nxt
-    else:
-        raise RuntimeError("quantile search did not converge")
-    for g, info in out.items():
-        n = info["n"]
-        if n == 0:
-            info["q"] = [None] * len(probs)
-            continue
-        qs = []
-        for p in probs:
-            h = p * (n - 1)
-            k0 = int(math.floor(h))
-            k1 = min(k0 + 1, n - 1)
-            v0, v1 = value[(g, k0)], value[(g, k1)]
-            qs.append(v0 + (v1 - v0) * (h - k0))
-        info["q"] = qs
-    return out
-
-
-def exact_quantiles(df: DataFrame, col: str, probs, by=None, **kw) -> DataFrame:
-    """(by..., p, value) with exact linear-interpolated quantiles.
-
-    A grouped search keeps its state in Spark (:func:`exact_quantiles_frame`),
-    whatever the number of groups; the few order statistics of a whole column
-    are found from the driver (:func:`quantile_values`).
-    """
-    by_l = [by] if isinstance(by, str) else list(by or [])
-    if by_l:
-        return exact_quantiles_frame(df, col, probs, by_l, **kw)
-    rows = [(float(p), None if v is None else float(v))
-            for info in quantile_values(df, col, probs, **kw).values() for p, v in zip(probs, info["q"])]
-    return df.sparkSession.createDataFrame(rows, "p double, value double")
+    per_p = cut_lineage(_bracketed(stats if stats is not None else sketched_stats(base, by, sketch_k),
+                                   by, probs, sketch_k, leaf_rows))
+    known = (F.when(F.col("k") == 0, F.col("mn")).when(F.col("k") == F.col("n") - 1, F.col("mx"))
+              .when(F.col("mn") == F.col("mx"), F.col("mn")))
+    ranks = (per_p.withColumn("k", F.explode(F.array_distinct(F.array("k0", "k1"))))
+             .select(*by, "p", "k", "n", "mn", "mx", "lo", "hi", "big", known.alias("known")))
+    ikeys = by + ["lo", "hi"]
+    open_ = ranks.filter(F.col("known").isNull())
+    tagged = (base.join(maybe_broadcast(open_.select(*ikeys, "big").distinct(), BROADCAST_MAX_ROWS), by, "inner")
+              .filter(F.col("__x") <= F.col("hi")))
+    # NULL counts all rows below the bracket; of a large bracket only the number of rows is wanted
+    v = F.when(F.col("__x") >= F.col("lo"), F.when(F.col("big"), F.col("lo")).otherwise(F.col("__x")))
+    inside = tagged.withColumn("v", v).groupBy(*ikeys, "v").agg(F.count(F.lit(1)).alias("c"))
+    w = Window.partitionBy(*ikeys).orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = (inside.withColumn("cum", F.sum("c").over(w)).withColumn("below", F.col("cum") - F.col("c"))
+           .filter(F.col("v").isNotNull()))
+    hit = (open_.join(run, ikeys).filter((F.col("below") <= F.col("k")) & (F.col("k") < F.col("cum")))
+           .select(*by, "p", "k", F.when(~F.col("big"), F.col("v")).alias("value"), "below", "c"))
+    found = cut_lineage(ranks.join(hit, by + ["p", "k"], "left")
+                        .withColumn("value", F.coalesce("known", "value")))
+    values = found.filter(F.col("value").isNotNull()).select(*by, "p", "k", "value")
+    missed = found.filter(F.col("value").isNull())
+    if missed.limit(1).count():
+        inside = F.col("below").isNotNull()
+        low = F.when(inside, F.col("lo")).otherwise(F.col("mn"))
+        high = F.when(inside, F.col("hi")).otherwise(F.col("mx"))
+        state = missed.select(*by, "p", "k", low.alias("lo"), high.alias("hi"), F.coalesce("below", F.lit(0)).cast("long").alias("below"),
+                              F.coalesce("c", "n").alias("cnt"), F.when(low == high, low).alias("value"))
+        values = values.unionByName(_narrowed(base, state, by, bins, min(leaf_rows, 20000)))
+    v0 = values.select(*by, "p", F.col("k").alias("k0"), F.col("value").alias("v0"))
+    v1 = values.select(*by, "p", F.col("k").alias("k1"), F.col("value").alias("v1"))
+    out = per_p.join(v0, by + ["p", "k0"], "inner").join(v1, by + ["p", "k1"], "inner")
+    return out.select(*by, "p", (F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("frac")).alias("value"))
 
 
-def exact_quantiles_frame(df: DataFrame, col: str, probs, by, bins: int = 2048, leaf_rows: int = 20000,
-                          max_passes: int = 200) -> DataFrame:
-    """Exact grouped quantiles for any number of groups: (by..., p, value).
+def _narrowed(base: DataFrame, state: DataFrame, by: list[str], bins: int, leaf_rows: int,
+              max_passes: int = 200) -> DataFrame:
+    """(by..., p, k, value) of open ranks, each with an interval [lo, hi], the rows below it and those inside.
 
-    The open order statistics are a DataFrame (group, rank k, interval
-    [lo, hi], rows below lo, rows inside), checkpointed after every pass.  A
-    pass joins the rows to their group's open intervals, summarises each
+    A pass joins the rows to their group's open intervals, summarises each
     interval -- ``bins`` equal-width bins, or its distinct values once it
     holds at most ``leaf_rows`` rows -- and a running count per interval
     (a window over at most ``bins`` / ``leaf_rows`` summary rows) finds the
-    summary row holding each rank.  A rank is resolved when that row is a
-    single value.  Nothing is gathered on the driver but one "any open?"
-    probe per pass.
+    summary row holding each rank, until that row is a single value.
     """
     from starlens.operators.enrich import BROADCAST_MAX_ROWS, maybe_broadcast
     from starlens.session import cut_lineage
-    by = [by] if isinstance(by, str) else list(by)
-    base = _clean(df, col, by)
-    stats = base.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("__x").alias("mn"), F.max("__x").alias("mx"))
-    per_p = stats.select(*by, "n", "mn", "mx",
-                         F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("pi", "p"))
-    h = F.col("p") * (F.col("n") - F.lit(1))
-    per_p = (per_p.withColumn("k0", F.floor(h).cast("long"))
-                  .withColumn("k1", F.least(F.col("k0") + F.lit(1), F.col("n") - F.lit(1)))
-                  .withColumn("frac", h - F.col("k0")))
-    ranks = per_p.select(*by, "n", "mn", "mx", F.explode(F.array("k0", "k1")).alias("k")).distinct()
-    known = (F.when(F.col("k") == 0, F.col("mn")).when(F.col("k") == F.col("n") - 1, F.col("mx"))
-              .when(F.col("mn") == F.col("mx"), F.col("mn")))
-    state = cut_lineage(ranks.select(*by, "k", F.col("mn").alias("lo"), F.col("mx").alias("hi"),
-                                     F.lit(0).cast("long").alias("below"), F.col("n").alias("cnt"),
-                                     known.alias("value")))
     ikeys = by + ["lo", "hi"]
+    state = cut_lineage(state)
     for _ in range(max_passes):
         open_ = state.filter(F.col("value").isNull())
         if open_.limit(1).count() == 0:
-            break
+            return state.select(*by, "p", "k", "value")
         intervals = open_.select(*ikeys, (F.col("cnt") <= F.lit(leaf_rows)).alias("leaf")).distinct()
         tagged = (base.join(maybe_broadcast(intervals, BROADCAST_MAX_ROWS), by, "inner")
                       .filter((F.col("__x") >= F.col("lo")) & (F.col("__x") <= F.col("hi"))))
@@ -237,17 +141,36 @@ def exact_quantiles_frame(df: DataFrame, col: str, probs, by, bins: int = 2048,
         rel = F.col("k") - F.col("below")
         hit = (open_.join(run, ikeys, "inner")
                     .filter((F.col("before") <= rel) & (rel < F.col("cum")))
-                    .select(*by, "k", F.col("a").alias("lo"), F.col("b").alias("hi"),
+                    .select(*by, "p", "k", F.col("a").alias("lo"), F.col("b").alias("hi"),
                             (F.col("below") + F.col("before")).alias("below"), F.col("c").alias("cnt"),
                             F.when(F.col("a") == F.col("b"), F.col("a")).alias("value")))
         state = cut_lineage(state.filter(F.col("value").isNotNull()).unionByName(hit))
-    else:
-        raise RuntimeError("quantile search did not converge")
-    vals = state.select(*by, "k", "value")
-    v0 = vals.select(*by, F.col("k").alias("k0"), F.col("value").alias("v0"))
-    v1 = vals.select(*by, F.col("k").alias("k1"), F.col("value").alias("v1"))
-    out = per_p.join(v0, by + ["k0"], "inner").join(v1, by + ["k1"], "inner")
-    return out.select(*by, "p", (F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("frac")).alias("value"))
+    raise RuntimeError("quantile search did not converge")
+
+
+def exact_quantiles(df: DataFrame, col: str, probs, by=None, **kw) -> DataFrame:
+    """(by..., p, value) with exact linear-interpolated quantiles; a whole column without values has NULLs."""
+    by_l = [by] if isinstance(by, str) else list(by or [])
+    if by_l:
+        return exact_quantiles_frame(df, col, probs, by_l, **kw)
+    found = exact_quantiles_frame(df.select(F.lit(0).alias("__all"), present(col).alias("__v")), "__v", probs, "__all", **kw)
+    asked = df.sparkSession.createDataFrame([(float(p),) for p in probs], "p double")
+    return asked.join(F.broadcast(found.drop("__all")), "p", "left")
+
+
+def quantile_values(df: DataFrame, col: str, probs, by=None, **kw) -> dict:
+    """{group_key_tuple: {"n":, "min":, "max":, "q": [value per prob]}}, for groups that are few by nature."""
+    by = [by] if isinstance(by, str) else list(by or [])
+    probs = [float(p) for p in probs]
+    stats = _clean(df, col, by).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("__x").alias("mn"), F.max("__x").alias("mx"))
+    out = {tuple(r[b] for b in by): {"n": r["n"], "min": r["mn"], "max": r["mx"], "q": [None] * len(probs)}
+           for r in stats.collect()}
+    for r in exact_quantiles(df, col, probs, by, **kw).collect():
+        q = out[tuple(r[b] for b in by)]["q"]
+        for i, p in enumerate(probs):
+            if p == r["p"]:
+                q[i] = r["value"]
+    return out
 
 
 def approx_quantiles(df: DataFrame, col: str, probs, by=None, accuracy: int = 10000) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from starlens.fixed_values import NEGATIONS
 from starlens.functions.text import WORD_CLASS, elements
-from starlens.operators.enrich import maybe_broadcast
+from starlens.operators.enrich import lookup
 
 TOKEN = WORD_CLASS + "+"
 
@@ -44,16 +44,15 @@ def sentiment(df: DataFrame, id_col: str, text_col: str, lexicon: DataFrame, neg
     lex = lexicon.groupBy(F.lower(F.col("word")).alias("word")).agg(
         F.avg(F.col("polarity").cast("double")).alias("pol"),
         F.avg(F.col("subjectivity").cast("double")).alias("subj"), F.avg(inten.cast("double")).alias("inten"))
-    lex = maybe_broadcast(lex, broadcast_max_rows)
     pairs = word_with_previous(df, id_col, text_col)
-    scored = pairs.join(lex, "word", "left")
+    scored = lookup(pairs, lex, "word", "left", broadcast_max_rows)
     neg = F.array(*[F.lit(w) for w in negations])
     mod = F.when(F.array_contains(neg, F.col("prev")), F.lit(-0.5)).otherwise(F.lit(1.0))
     if "intensity" in lexicon.columns:
-        # previous-word intensifiers need a second lookup of the (broadcast) lexicon
+        # previous-word intensifiers need a second lookup of the lexicon
         prev_lex = lex.filter(F.col("inten").isNotNull()).select(F.col("word").alias("prev"),
                                                                  F.col("inten").alias("prev_inten"))
-        scored = scored.join(prev_lex, "prev", "left")
+        scored = lookup(scored, prev_lex, "prev", "left", broadcast_max_rows)
         mod = F.coalesce(F.col("prev_inten"), F.lit(1.0)) * mod
     hit = F.col("pol").isNotNull()
     return scored.groupBy(id_col).agg(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 import warnings
 from contextlib import contextmanager
 
@@ -9,6 +10,9 @@ from pyspark import StorageLevel
 from pyspark.ml.regression import (FMRegressor, GBTRegressor, LinearRegression,
                                    RandomForestRegressor)
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from starlens.session import scratch_path
 
 # Boosting parameter names of the reference learners -> GBTRegressor params.
 # num_leaves, reg_alpha and reg_lambda have no GBTRegressor counterpart.
@@ -42,13 +46,27 @@ def to_spark_params(params: dict | None, mapping: dict) -> tuple[dict, list]:
     return out, ignored
 
 
+#: Iterative learners run one task per partition on every pass; fewer rows than this are not worth one.
+ROWS_PER_TASK = 50_000
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows evenly over as many tasks as they are worth, the cluster's cores at most; a kept frame as it is."""
+    if df.is_cached:
+        return df
+    most = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(1, min(most, -(-df.count() // ROWS_PER_TASK))))
+
+
 @contextmanager
 def training_input(df: DataFrame):
-    """Iterative learners run one task per input partition on every pass, so
-    the rows are spread evenly over the cluster's cores and kept (memory,
-    spilling to disk) for the passes; released after the fit."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    data = df.repartition(n).persist(StorageLevel.MEMORY_AND_DISK)
+    """The training rows spread over the cluster and kept (memory, spilling to
+    disk) for a learner's passes, released after the fit.  A frame that the
+    caller already keeps is used as it is, so that many fits share it."""
+    if df.is_cached:
+        yield df
+        return
+    data = spread(df).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         yield data
     finally:
@@ -75,14 +93,28 @@ def fit_forest(train: DataFrame, features_col: str = "features", label_col: str
         return RandomForestRegressor(featuresCol=features_col, labelCol=label_col, seed=seed, **sp).fit(data)
 
 
+class Centred:
+    """A regression model fitted on labels less their mean, which its predictions get back."""
+
+    def __init__(self, model, mean: float):
+        self.model, self.mean = model, mean
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.model.transform(df).withColumn("prediction", F.col("prediction") + F.lit(self.mean))
+
+
 def fit_fm(train: DataFrame, features_col: str = "features", label_col: str = "label",
-           params: dict | None = None, seed: int = 42):
-    """Non-tree learner: factorization machine regressor with AdamW."""
-    kw = dict(featuresCol=features_col, labelCol=label_col, seed=seed, solver="adamW",
+           params: dict | None = None, seed: int = 42) -> Centred:
+    """Non-tree learner: factorization machine regressor with AdamW.
+
+    Its steps are small and start from 0, so it is fitted on centred labels.
+    """
+    kw = dict(featuresCol=features_col, labelCol="__centred", seed=seed, solver="adamW",
               stepSize=0.001, regParam=0.001, maxIter=100, factorSize=8)
     kw.update(params or {})
     with training_input(train) as data:
-        return FMRegressor(**kw).fit(data)
+        mean = data.agg(F.avg(label_col)).first()[0] or 0.0
+        return Centred(FMRegressor(**kw).fit(data.withColumn("__centred", F.col(label_col) - F.lit(mean))), mean)
 
 
 def fit_linear(train: DataFrame, features_col: str = "features", label_col: str = "label",
@@ -101,13 +133,48 @@ def score(model, df: DataFrame, pred_col: str = "prediction") -> DataFrame:
     return out if pred_col == "prediction" else out.withColumnRenamed("prediction", pred_col)
 
 
+def _top(spark: SparkSession, values, names: list[str], k: int, schema: str) -> DataFrame:
+    """The ``k`` largest of one value per feature, ties by position."""
+    rows = [(names[i] if i < len(names) else f"f{i}", v, i) for i, v in enumerate(values)]
+    rows.sort(key=lambda r: (-r[1], r[2]))
+    return spark.createDataFrame([(n, v) for n, v, _ in rows[:k]], schema)
+
+
 def feature_importances(spark: SparkSession, model, names: list[str], k: int = 20) -> DataFrame:
     """(feature, importance) of a tree model, largest first, ties by position.
 
     Spark reports normalised importance (sums to 1); the vector is one entry
     per feature, so it is small driver-side data.
     """
-    imp = model.featureImportances.toArray()
-    rows = [(names[i] if i < len(names) else f"f{i}", float(v), i) for i, v in enumerate(imp)]
-    rows.sort(key=lambda r: (-r[1], r[2]))
-    return spark.createDataFrame([(n, v) for n, v, _ in rows[:k]], "feature string, importance double")
+    return _top(spark, [float(v) for v in model.featureImportances.toArray()], names, k, "feature string, importance double")
+
+
+def tree_nodes(model, path: str | None = None) -> DataFrame:
+    """(tree, node, feature, left, right, gain, prediction): a saved model's nodes as a table; ``feature`` is NULL at leaves.
+
+    The model is written to the shared scratch folder (or ``path``) and its
+    nodes are read back where Spark keeps them, one row per node.
+    """
+    spark = SparkSession.getActiveSession()
+    folder = path or f"{scratch_path(spark, 'models')}/{uuid.uuid4().hex}"
+    model.write().overwrite().save(folder)
+    nodes = spark.read.parquet(f"{folder}/data")
+    tree = F.col("treeID") if "treeID" in nodes.columns else F.lit(0)
+    n = F.col("nodeData") if "nodeData" in nodes.columns else F.struct(*nodes.columns)
+    inner = n["leftChild"] >= 0
+    return nodes.select(tree.alias("tree"), n["id"].alias("node"), F.when(inner, n["split"]["featureIndex"]).alias("feature"),
+                        n["leftChild"].alias("left"), n["rightChild"].alias("right"), n["gain"].alias("gain"),
+                        n["prediction"].alias("prediction"))
+
+
+def split_counts(model, names: list[str], k: int = 20, path: str | None = None) -> DataFrame:
+    """(feature, splits): how many inner nodes of all trees split on each feature, largest first, ties by position.
+
+    Counted over the saved nodes by Spark; one row per feature comes back.
+    """
+    spark = SparkSession.getActiveSession()
+    counts = tree_nodes(model, path).filter(F.col("feature").isNotNull()).groupBy("feature").count().collect()
+    values = [0] * max(len(names), 1 + max((r["feature"] for r in counts), default=-1))
+    for r in counts:
+        values[r["feature"]] = r["count"]
+    return _top(spark, values, names, k, "feature string, splits long")

@@ -74,8 +74,7 @@ def test_model_queries_run_at_full_settings(spark, sf, monkeypatch):
     from starlens.plans import rating
     seen = {}
     monkeypatch.setattr(E, "_li_model_frame", lambda spark, d: (None, None, None))
-    monkeypatch.setattr(E, "regression_metrics", lambda *a: None)
-    monkeypatch.setattr(E.ml, "score", lambda *a: None)
+    monkeypatch.setattr(E, "_judged", lambda *a: None)
     monkeypatch.setattr(E.ml, "fit_fm", lambda train, *a, **k: seen.update(fm=k.get("params")))
     monkeypatch.setattr(E, "random_search_cv", lambda train, fit, space, key, **k: seen.update(
         space=space, draws=k["n_iter"]) or (None, None))
@@ -89,7 +88,7 @@ def test_model_queries_run_at_full_settings(spark, sf, monkeypatch):
         raise Stop
     monkeypatch.setattr(rating, "assemble_splits", lambda *a: (None, None, None, []))
     monkeypatch.setattr(rating, "cut_lineage", lambda df: df)
-    monkeypatch.setattr(rating, "study", study)
+    monkeypatch.setattr(rating, "best_of_study", study)
     E.q_fm_fit(spark, sf), E.q_random_search(spark, sf), E.q_compare_models(spark, sf)
     with pytest.raises(Stop):
         E.q_rating_pipeline(spark, sf)
