@@ -27,7 +27,9 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +47,7 @@ HEADER = struct.Struct("<8sIIIQQQQ")  # magic, version, bits, block ids, ids, do
 BLOCK_IDS = 1 << 16
 #: Texts of about this many bytes go into one file (and one task).
 FILE_BYTES = 32 << 20
-#: Pieces of text that a worker keeps ids for; beyond it the memo starts anew.
+#: Pieces of text that a worker keeps ids for; beyond it the older ones go.
 MEMO = 700_000
 
 
@@ -190,6 +192,10 @@ class TextEncoder:
     is a certain boundary of byte-level vocabularies: the splitting pattern
     stops before the space, which belongs to the next piece, and on either side
     of the line feed.  Texts with any other white space go to the library whole.
+
+    A piece of ASCII letters alone goes straight to the library's model, where
+    its splitting step would leave such a piece whole (asked once, of a sample
+    with both cases); all other pieces go through the whole library.
     """
 
     def __init__(self, path: str):
@@ -200,17 +206,24 @@ class TextEncoder:
         self.tok.no_padding()
         self.vocab_size = self.tok.get_vocab_size(with_added_tokens=True)
         self.specials = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        split = self.tok.pre_tokenizer
+        # letters stand for themselves among the byte symbols, and a space for one letter of its own
+        sample = split.pre_tokenize_str(" aBcDEfg") if split is not None and self.tok.normalizer is None else []
+        self.space = sample[0][0][0] if len(sample) == 1 and sample[0][0][1:] == "aBcDEfg" else None
+        self.model = self.tok.model
         self.first = Memo(lambda piece: self.piece(self.first, "", piece))
         self.rest = Memo(lambda piece: self.piece(self.rest, " ", piece))
         self.feed, self.marks = self.whole("\n"), {c: self.whole(c) for c in ",."}
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
     def piece(self, memo: Memo, before: str, piece: str) -> bytes:
         # between a letter and a comma or full stop that ends the piece lies a boundary too
         if piece[-1:] in self.marks and piece[-2:-1].isalpha():
             return memo[piece[:-1]] + self.marks[piece[-1]]
+        if self.space and piece.isascii() and piece.isalpha() and not any(t in piece for t in self.specials):
+            return array("I", [t.id for t in self.model.tokenize(self.space + piece if before else piece)]).tobytes()
         return self.whole(before + piece)
 
     def encode(self, text: str) -> bytes:
@@ -227,9 +240,10 @@ class TextEncoder:
             out += map(self.rest.__getitem__, pieces[1:])
             out.append(self.feed)
         out.pop()
-        if len(self.first) + len(self.rest) > MEMO:
-            self.first.clear()
-            self.rest.clear()
+        for memo in (self.first, self.rest):
+            if len(memo) > MEMO // 2:  # the older half goes
+                for piece in list(islice(memo, len(memo) // 2)):
+                    del memo[piece]
         return b"".join(out)
 
 
