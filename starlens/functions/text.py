@@ -53,7 +53,7 @@ def counted(tokens, name: str = "word") -> Column:
         places = F.sequence(F.lit(1), F.greatest(F.size(s), F.lit(1)))
         last = F.filter(places, lambda i: (i <= F.size(s)) & ((i == F.size(s)) | (F.get(s, i) != F.get(s, i - 1))))
         return _let(last, sizes)
-    return _let(F.array_sort(as_col(tokens)), runs)
+    return _let(F.sort_array(as_col(tokens)), runs)
 
 
 def word_count(c) -> Column:
