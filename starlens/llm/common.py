@@ -55,6 +55,14 @@ def crc32_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` is called so (Spark does not tell case apart)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def with_row_key(df: DataFrame, name: str) -> DataFrame:
     """A key per row, so that repeated rows and NULL ids stay apart.
 

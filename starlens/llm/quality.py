@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, let, staged, with_row_key
+from .common import WORD, free_name, let, staged, with_row_key
 
 SYMBOLS = r"[#*$%&|<>]"
 RESULT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
@@ -133,12 +133,13 @@ def without_lines(docs: DataFrame, judged: DataFrame, row_key: str, text_col: st
     Only rejected documents and those with such lines are looked up: their few
     verdicts travel, not the texts.
     """
+    kept_col, gone_col = free_name(docs, "__kept"), free_name(docs, "__gone")
     verdicts = (judged.filter(~F.col("kept") | (F.size("gone_lines") > 0))
-                .select(row_key, F.col("kept").alias("__kept"), F.col("gone_lines").alias("__gone")))
-    text, gone = F.col(text_col), F.size("__gone") > 0
+                .select(row_key, F.col("kept").alias(kept_col), F.col("gone_lines").alias(gone_col)))
+    text, gone = F.col(text_col), F.size(gone_col) > 0
     left = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~(
-        x.rlike(WORD) & F.array_contains("__gone", F.xxhash64(_normal_line(x))))), "\n")
-    out = (docs.join(verdicts, row_key, "left").filter(F.coalesce("__kept", F.lit(True)))
+        x.rlike(WORD) & F.array_contains(gone_col, F.xxhash64(_normal_line(x))))), "\n")
+    out = (docs.join(verdicts, row_key, "left").filter(F.coalesce(kept_col, F.lit(True)))
            .withColumn(text_col, F.when(gone, left).otherwise(text)))
     if length_col:
         out = out.withColumn(length_col, F.when(gone, F.length(text_col).cast(docs.schema[length_col].dataType))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import let, staged, with_row_key
+from .common import free_name, let, staged, with_row_key
 
 #: Kinds in the order in which they are listed: name, pattern, group to measure, its least length.
 BASE_KINDS = [
@@ -200,7 +200,8 @@ def redact(docs: DataFrame, found: DataFrame, row_key: str, text_col: str = "tex
 
     Documents without spans are left as they are.
     """
-    spans = found.filter(F.size("found") > 0).select(row_key, "found")
+    at = free_name(docs, "found")
+    spans = found.filter(F.size("found") > 0)
     # overlapping spans become one: a span counts from where those before it ended
     merged = F.aggregate(
         "found", F.array().cast("array<struct<start:int,end:int>>"),
@@ -209,15 +210,15 @@ def redact(docs: DataFrame, found: DataFrame, row_key: str, text_col: str = "tex
                                 F.element_at(a, -1)["start"].alias("start"),
                                 F.greatest(F.element_at(a, -1)["end"], x["end"]).alias("end")))))
         .otherwise(F.concat(a, F.array(F.struct(x["start"].alias("start"), x["end"].alias("end"))))))
-    joined = docs.join(spans.withColumn("found", merged), row_key, "left")
+    joined = docs.join(spans.select(row_key, merged.alias(at)), row_key, "left")
     text = F.col(text_col)
-    pieces = F.transform("found", lambda x, i: F.substring(
-        text, F.when(i > 0, F.get(F.col("found"), i - 1)["end"]).otherwise(0) + 1,
-        x["start"] - F.when(i > 0, F.get(F.col("found"), i - 1)["end"]).otherwise(0)))
-    rest = F.substring(text, F.element_at("found", -1)["end"] + 1, F.length(text))
-    marked = joined.withColumn(text_col, F.when(F.col("found").isNull(), text).otherwise(
+    pieces = F.transform(at, lambda x, i: F.substring(
+        text, F.when(i > 0, F.get(F.col(at), i - 1)["end"]).otherwise(0) + 1,
+        x["start"] - F.when(i > 0, F.get(F.col(at), i - 1)["end"]).otherwise(0)))
+    rest = F.substring(text, F.element_at(at, -1)["end"] + 1, F.length(text))
+    marked = joined.withColumn(text_col, F.when(F.col(at).isNull(), text).otherwise(
         F.concat(F.concat_ws(mark, pieces), F.lit(mark), rest)))
     if length_col:
-        marked = marked.withColumn(length_col, F.when(F.col("found").isNull(), F.col(length_col)).otherwise(
+        marked = marked.withColumn(length_col, F.when(F.col(at).isNull(), F.col(length_col)).otherwise(
             F.length(text_col).cast(docs.schema[length_col].dataType)))
-    return marked.drop("found")
+    return marked.drop(at)
