@@ -1,63 +1,66 @@
-"""Language-model scoring with a probabilistic suffix tree over bytes.
-
-A text is read as its lower-cased words with one space between them and an end
-mark.  Contexts are the up to ``DEPTH`` bytes before a symbol.  A context is a
-candidate if it stands at ``min_count`` training places or more, and it is
-kept if its next-symbol distribution diverges from that of its longest proper
-suffix (Kullback-Leibler divergence, and its likelihood-ratio statistic against
-the number of symbols).  Distributions are smoothed towards those of their
-suffixes.  Each symbol is scored in the state of the longest kept suffix.
-
-The count is the same for a corpus of any size, so the tree grows with the corpus
-and is a table, never gathered or broadcast.  Counts cover every training text:
-a first pass counts contexts in hash buckets, the second counts just those whose
-bucket could hold a candidate, which leaves the candidates and their counts exact.
-
-The word counts that the unigram base needs grow with the corpus too: texts are
-staged in blocks of about ``BLOCK_BYTES``, the distinct words and contexts of
-each block are joined with the corpus counts and the tree, and each block meets
-just the counts of its own words and the states of its own contexts.
+"""Language-model scoring with a probabilistic suffix tree over words.
+
+A text is read as its lower-cased words and an end mark, after a start mark.
+Contexts are the up to ``DEPTH`` words (or start mark) before a symbol.  The tree grows
+from the root: a context is a candidate if it stands at ``min_count`` training
+places or more, the context without its last word is a candidate too and its
+longest proper suffix is kept; it is kept itself if its next-symbol
+distribution diverges from that of this suffix (Kullback-Leibler divergence, and its
+likelihood-ratio statistic against the number of symbols).  The root is the unigram
+base with one added to each count; a kept context is smoothed towards its suffix by
+as many virtual counts as it has distinct symbols (Witten-Bell).  Each symbol is
+scored in the state of its longest kept context.
+
+The count is the same for a corpus of any size, so the tree grows with the corpus and is
+a table, never gathered or broadcast, and no filter of a fixed size stands before it.
+Texts are staged in blocks of about ``BLOCK_BYTES``.  Each level of the
+tree is one pass: a block sends its distinct sequences with their counts, a shuffle
+adds them up, and a total returns to a block only where it differs from the block's own
+count, so what a single block holds travels once.  From totals and kept contexts of the
+levels before, a block knows exactly which of its places the next level counts.
+
+Words meet by themselves; sequences by a 64-bit polynomial of the xxHash64 of their words (chance
+of any two of s sequences in one: s * s / 2^65).
 
 Defined results: a NULL text counts as empty and holds the end mark alone; NULL
 ids and repeated rows are scored row by row; a text of any length is read whole
-(one longer than a block is a block); with no training text every symbol is
-equally likely and every count is zero; an empty table gives no rows; columns
-other than id, text and the training mark are not read.
+(one longer than a block is a block); with no training text every count and
+every score is zero; an empty table gives no rows; columns other than id, text and the
+training mark are not read.
 """
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_arrow, ship, staged
 
-DEPTH = 7  # with the byte after it a context just fits into 64 bits
+DEPTH = 3
 BLOCK_BYTES = 8 << 20
 CHUNK_BYTES = 1 << 20
-END = 0x0A  # never inside a word
-PAD = bytes([END]) * DEPTH
-#: Contexts of up to FREE bytes are always counted, longer ones if their hash bucket is frequent enough.
-FREE = 3
 #: Training places of a candidate context, in a corpus of any size.
 MIN_COUNT = 20
-BUCKET_BITS = 21
-BUCKET_FACTOR = np.uint64(0x9E3779B97F4A7C15)  # 2^64 over the golden ratio
-SLICE = 1 << 15
+START, END = b"\n\n", b"\n"  # never words
+FACTOR = np.uint64(0x9E3779B97F4A7C15)  # odd: 2^64 over the golden ratio
+ANSWER = "block long, k int, state boolean, code long, value long"
+LEVEL = "block long, ctx long, code long, n long, q float"
 
 
 def normal(text: str | None) -> bytes:
     return b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split())
 
-
 def stage_blocks(docs: DataFrame, id_col: str, text_col: str, train: Column) -> DataFrame:
     """(block, ids, train, seqs) as written files: packs of normalised texts, and the block of each pack.
 
@@ -125,320 +128,176 @@ def block_words(blocks: DataFrame) -> DataFrame:
     return map_arrow(blocks.select("block", "train", "seqs"), run, "word binary, block long, n long")
 
 
-def trained_seqs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
-    """Training texts of (train, seqs) batches, a few ``CHUNK_BYTES`` at a time."""
-    held, size = [], 0
-    for b in batches:
-        for marks, seqs in zip(*b.columns, strict=True):
-            new = [s for mark, s in zip(marks.as_py(), unpack(seqs.as_py()), strict=True) if mark]
-            held += new
-            size += sum(map(len, new))
-            if size >= 4 * CHUNK_BYTES:
-                yield held
-                held, size = [], 0
-    if held:
-        yield held
-
-
-def context_buckets(codes: np.ndarray, k: int) -> np.ndarray:
-    """Hash bucket of the ``k`` bytes before each place."""
-    return buckets_of(codes >> np.uint64(8) & np.uint64((1 << 8 * k) - 1))
-
-
-def buckets_of(contexts: np.ndarray) -> np.ndarray:
-    return (contexts * BUCKET_FACTOR >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
-
-
-def frequent_buckets(blocks: DataFrame, min_count: int) -> np.ndarray:
-    """For each length from ``FREE + 1`` on: the buckets with ``min_count`` training places or more.
-
-    A bucket holds no less than any of its contexts, so every candidate is in a
-    bucket that passes.  Counts travel and return as arrays of a fixed size.
+class Level(NamedTuple):
+    """The places of a block that one level of the tree counts, and their distinct sequences."""
+    places: np.ndarray
+    ctx: np.ndarray        # code of the context before each place
+    ctx_total: np.ndarray  # training places of that context
+    q: np.ndarray          # log of the symbol's share after the suffix of that context
+    codes: np.ndarray      # distinct sequences of context and symbol, ascending
+    first: np.ndarray      # a place (index into ``places``) of each
+    group: np.ndarray      # the sequence at each place
+    counts: np.ndarray     # its training places in this block
+
+
+class Block:
+    """The symbols of one block's texts, one after another, each text behind a start mark."""
+
+    def __init__(self, texts: pa.Table, words: list[bytes], totals: list[int], ends: int):
+        """``words`` with their ``totals``: the words whose training count differs from the block's own."""
+        index, symbols, sizes = {START: 0, END: 1}, [], []
+        for pack in texts.column("seqs"):
+            for seq in unpack(pack.as_py()):
+                symbols.append(0)
+                before = len(symbols)
+                symbols += [index.setdefault(w, len(index)) for w in seq.split()]
+                symbols.append(1)
+                sizes.append(len(symbols) - before)
+        symbols = np.array(symbols, np.int64)
+        self.sizes = np.array(sizes, np.int64)  # with the end mark
+        self.starts = np.cumsum([0, *(self.sizes[:-1] + 1)])
+        marks = np.array([m for ms in texts.column("train").to_pylist() for m in ms], bool)
+        self.trained = np.repeat(marks, self.sizes + 1)
+        self.at = np.arange(len(symbols)) - np.repeat(self.starts, self.sizes + 1) - 1  # -1: the start mark
+        count = np.bincount(symbols[self.trained], minlength=len(index))
+        count[[index[w] for w in words]] = totals
+        count[:2] = ends
+        self.total = count[symbols]
+        self.code = np.fromiter(map(xxhash.xxh64_intdigest, index), np.uint64, len(index))[symbols]
+
+    def levels(self, depth: int, found: pa.Table, min_count: int, n: int) -> Iterator[tuple[int, Level, np.ndarray]]:
+        """Levels 1 to ``depth``, each with its number and the distinct symbols of the kept context before each place.
+
+        ``found`` (k, state, code, value) holds the totals of sequences that differ from the block's own counts and
+        the kept contexts, both of all levels but the last one asked for, or of all.
+        """
+        code, total, counted = self.code, self.total, np.ones(len(self.code), bool)
+        suffix_kept, suffix_total = counted, np.full(len(self.code), n)
+        for k in range(1, depth + 1):
+            before = lambda x: np.concatenate([x[:1], x[:-1]])
+            ctx, ctx_total = before(code), before(total)
+            places = np.flatnonzero((self.at >= k - 1) & before(counted) & (ctx_total >= min_count) & suffix_kept)
+            with np.errstate(divide="ignore"):
+                q = np.log(total[places] / suffix_total[places])
+            code = self.code + FACTOR * ctx
+            codes, first, group = np.unique(code[places], return_index=True, return_inverse=True)
+            counts = np.bincount(group[self.trained[places]], minlength=len(codes))
+            level = Level(places, ctx[places], ctx_total[places], q, codes, first, group, counts)
+            mine = found.filter(pc.equal(found.column("k"), k))
+            sums, kept = (mine.filter(pc.equal(mine.column("state"), x)) for x in (False, True))
+            totals = counts.copy()
+            totals[np.searchsorted(codes, unsigned(sums.column("code")))] = sums.column("value").to_numpy()
+            kept_codes, symbols = unsigned(kept.column("code")), np.append(kept.column("value").to_numpy(), 0)
+            order = np.argsort(kept_codes)
+            slot = np.append(order, len(order))[np.searchsorted(kept_codes, level.ctx, sorter=order)]
+            distinct = np.where(np.append(kept_codes, np.uint64(0))[slot] == level.ctx, symbols[slot], 0)
+            total, counted, suffix_kept = (np.zeros(len(code), t) for t in (np.int64, bool, bool))
+            total[places], counted[places], suffix_kept[places] = totals[group], True, distinct > 0
+            suffix_total = ctx_total
+            self.total_of_level = total
+            yield k, level, distinct
+
+
+def unsigned(column: pa.ChunkedArray) -> np.ndarray:
+    return column.to_numpy().astype(np.int64).view(np.uint64)
+
+
+def block_of(texts: pa.Table, found: pa.Table, ends: int) -> tuple[Block, pa.Table]:
+    words = found.filter(found.column("word").is_valid())
+    return (Block(texts, words.column("word").to_pylist(), words.column("value").to_pylist(), ends),
+            found.filter(found.column("code").is_valid()))
+
+
+def by_block(blocks: DataFrame, answers: DataFrame, run, schema: str) -> DataFrame:
+    """Each block beside the answers to it."""
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
+
+
+def count_level(blocks: DataFrame, answers: DataFrame, k: int, min_count: int, n: int, ends: int) -> DataFrame:
+    """(block, ctx, code, n, q, total, first): the sequences of level ``k`` that a block or the tree needs.
+
+    ``n`` is a sequence's count in the block, ``total`` that of all blocks; one block of each sequence is ``first``.
+    Rows without ``q`` are the contexts of a block.
     """
-    lengths, width = DEPTH - FREE, 1 << BUCKET_BITS
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((lengths, width), np.int64)
-        for held in trained_seqs(batches):
-            symbols, mask = buffer(held)
-            codes = gram_codes(symbols)[mask[DEPTH:]]
-            for i in range(lengths):
-                counts[i] += np.bincount(context_buckets(codes, FREE + 1 + i), minlength=width)
-        press = zstandard.ZstdCompressor()
-        slices = counts.reshape(-1, SLICE)
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(slices)), pa.int32()), pa.array(
-            [press.compress(x.tobytes()) for x in slices], pa.binary())], ["slice", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        expand = zstandard.ZstdDecompressor()
-        for b in batches:
-            for no, counts in zip(*b.columns, strict=True):
-                part = np.frombuffer(expand.decompress(counts.as_py()), np.int64)
-                sums[no.as_py()] = sums.get(no.as_py(), 0) + part
-        yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array(
-            [x.tobytes() for x in sums.values()], pa.binary())], ["slice", "counts"])
-    schema = "slice int, counts binary"
-    sums = map_arrow(map_arrow(blocks.select("train", "seqs"), count, schema).repartition("slice"), add, schema)
-    total = np.zeros((lengths * width // SLICE, SLICE), np.int64)
-    for r in sums.toLocalIterator():
-        total[r["slice"]] = np.frombuffer(r["counts"], np.int64)
-    return total.reshape(lengths, width) >= min_count
-
-
-def gram_counts(blocks: DataFrame, min_count: int) -> DataFrame:
-    """(len, code, n): counts of contexts and the byte after them, over all training texts.
-
-    Each place counts once, under its longest context with only frequent
-    buckets; shorter contexts follow by summing.  All candidates are complete.
-    """
-    frequent = blocks.sparkSession.sparkContext.broadcast(frequent_buckets(blocks, min_count))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passes = frequent.value
-        # sorted runs, each less than half of the one before: a code is merged a logarithmic number of times
-        runs: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(DEPTH + 1)]
-
-        def merge(mine: list[tuple[np.ndarray, np.ndarray]]) -> None:
-            (a, m), (b, n) = mine.pop(), mine.pop()
-            both = np.concatenate([a, b])
-            order = np.argsort(both, kind="stable")  # two sorted runs: a linear merge
-            both = both[order]
-            first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
-            mine.append((both[first], np.add.reduceat(np.concatenate([m, n])[order], first)))
-        for held in trained_seqs(batches):
-            symbols, mask = buffer(held)
-            codes = gram_codes(symbols)[mask[DEPTH:]]
-            for k in range(FREE, DEPTH + 1):
-                longer = (passes[k - FREE][context_buckets(codes, k + 1)] if k < DEPTH
-                          else np.zeros(len(codes), bool))
-                here = codes[~longer] & np.uint64((1 << 8 * (k + 1)) - 1)
-                codes = codes[longer]
-                if not len(here):
-                    continue
-                runs[k].append(np.unique(here, return_counts=True))
-                while len(runs[k]) > 1 and 2 * len(runs[k][-1][0]) > len(runs[k][-2][0]):
-                    merge(runs[k])
-        for k, mine in enumerate(runs):
-            while len(mine) > 1:
-                merge(mine)
-            for codes, counts in mine:
-                for at in range(0, len(codes), 100_000):
-                    part = codes[at:at + 100_000].view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array([k] * len(part), pa.int32()), pa.array(part),
-                                                      pa.array(counts[at:at + 100_000])], ["len", "code", "n"])
-    parts = map_arrow(blocks.select("train", "seqs"), run, "len int, code long, n long")
-    return parts.groupBy("len", "code").agg(F.sum("n").alias("n"))
-
-
-def buffer(seqs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Texts one after another, each after a padding of end marks; the mask is true at predicted symbols."""
-    end = bytes([END])
-    symbols = np.frombuffer(b"".join([x for s in seqs for x in (PAD, s, end)]), np.uint8)
-    starts = np.cumsum([0, *(len(s) + DEPTH + 1 for s in seqs[:-1])])
-    mask = np.ones(len(symbols), bool)
-    for k in range(DEPTH):
-        mask[starts + k] = False
-    return symbols, mask
-
-
-def gram_codes(symbols: np.ndarray) -> np.ndarray:
-    """Code of the DEPTH bytes before each place and the byte at it, for places from DEPTH on."""
-    n = len(symbols) - DEPTH
-    codes = np.zeros(n, np.uint64)
-    for k in range(DEPTH + 1):
-        codes = codes << np.uint64(8) | symbols[k:k + n]
-    return codes
-
-
-class SuffixTree:
-    """States with their smoothed distributions, and the way from a state to a longer suffix."""
-
-    def __init__(self, contexts: dict[tuple[int, int], dict[int, int]], weight: float):
-        """``contexts``: (length, code of the context) -> counts of the next symbol; the root is (0, 0)."""
-        pairs = [(i, s, n) for i, c in enumerate(contexts.values()) for s, n in c.items()]
-        owner, syms, counts = np.array(pairs, np.int64).reshape(-1, 3).T
-        self._build(np.array([k for k, _ in contexts], np.int64), np.array([c for _, c in contexts], np.int64),
-                    owner, syms, counts, weight)
-
-    @classmethod
-    def of_rows(cls, rows: pa.Table, weight: float) -> SuffixTree:
-        """From rows of ``train_states``."""
-        tree = cls.__new__(cls)
-        flat = lambda c: np.concatenate([*(x.flatten().to_numpy() for x in rows.column(c).chunks), np.zeros(0)])
-        sizes = np.diff([0, *np.cumsum([len(x) for x in rows.column("syms")])])
-        tree._build(rows.column("k").to_numpy().astype(np.int64), rows.column("ctx").to_numpy().astype(np.int64),
-                    np.repeat(np.arange(len(sizes)), sizes), flat("syms").astype(np.int64), flat("counts"), weight)
-        return tree
-
-    def _build(self, lens: np.ndarray, codes: np.ndarray, owner: np.ndarray, syms: np.ndarray,
-               counts: np.ndarray, weight: float) -> None:
-        """State ``owner[i]`` was followed ``counts[i]`` times by ``syms[i]``; states are closed under suffixes."""
-        if not (lens == 0).any():
-            lens, codes = np.append(lens, 0), np.append(codes, 0)
-        order = np.lexsort((codes, lens))
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        lens, codes, owner = lens[order], codes[order], place[owner]
-        total = np.bincount(owner, weights=counts, minlength=len(lens)).astype(np.float32)[:, None]
-        self.child = np.full((len(lens), 256), -1, np.int32)
-        p = np.zeros((len(lens), 256), np.float32)
-        p[owner, syms] = counts
-        p[0] = (p[0] + 1) / (total[0] + 256)
-        level = np.searchsorted(lens, np.arange(DEPTH + 2))
-        for k in range(1, DEPTH + 1):
-            above, at, end = level[k - 1:k + 2]
-            own = codes[at:end]
-            parent = above + np.searchsorted(codes[above:at], own & (1 << 8 * (k - 1)) - 1)
-            self.child[parent, own >> 8 * (k - 1)] = np.arange(at, end)
-            p[at:end] = (p[at:end] + np.float32(weight) * p[parent]) / (total[at:end] + np.float32(weight))
-        self.log = np.log10(p, out=p)
-
-    def scores(self, seqs: list[bytes]) -> np.ndarray:
-        """log10 probability of each text."""
-        symbols, mask = buffer(seqs)
-        n = len(symbols) - DEPTH
-        state = np.zeros(n, np.int32)
-        alive = np.ones(n, bool)
-        child, log = self.child.ravel(), self.log.ravel()
-        for k in range(1, DEPTH + 1):
-            # the tree is closed under suffixes: a state of length k is reached through its suffix
-            longer = child.take(state << 8 | symbols[DEPTH - k:DEPTH - k + n])
-            alive &= longer >= 0
-            np.copyto(state, longer, where=alive)
-        logs = np.where(mask[DEPTH:], log.take(state << 8 | symbols[DEPTH:]), np.float32(0)).astype(np.float64)
-        return np.add.reduceat(logs, np.cumsum([0, *(len(s) + DEPTH + 1 for s in seqs[:-1])]))
-
-
-def train_states(grams: DataFrame, min_count: int, min_divergence: float) -> DataFrame:
-    """(k, ctx, syms, counts): the kept contexts, closed under suffixes, and the symbols after each."""
-    grams = staged(grams, "lm-grams")
-    sym = F.col("code").bitwiseAND(F.lit(255)).cast("int")
-    levels = F.explode(F.filter(F.array(*[F.struct(
-        F.lit(k).alias("k"), F.shiftright("code", 8).bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("ctx"))
-        for k in range(DEPTH + 1)]), lambda c: c["k"] <= F.col("len")))
-    nexts = (grams.select(levels.alias("c"), sym.alias("sym"), "n")
-             .groupBy("c.k", "c.ctx", "sym").agg(F.sum("n").alias("n")))
-    totals = nexts.groupBy("k", "ctx").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("symbols")).filter(
-        F.col("total") >= min_count)
-    kept_counts = staged(nexts.join(totals, ["k", "ctx"]), "lm-contexts")
-    parent = kept_counts.select((F.col("k") + 1).alias("k"), F.col("ctx").alias("p_ctx"), "sym",
-                                (F.col("n") / F.col("total")).alias("q"))
-    masks = F.element_at(F.array(*[F.lit((1 << 8 * max(0, k - 1)) - 1) for k in range(DEPTH + 1)]), F.col("k") + 1)
-    tested = (kept_counts.filter("k > 0").withColumn("p_ctx", F.col("ctx").bitwiseAND(masks))
-              .join(parent, ["k", "p_ctx", "sym"])
-              .groupBy("k", "ctx", "total", "symbols")
-              .agg(F.sum(F.col("n") * F.log(F.col("n") / F.col("total") / F.col("q"))).alias("gain")))
-    kept = tested.filter((F.col("gain") >= F.col("total") * min_divergence)
-                         & (F.col("gain") * 2 >= F.col("symbols") * 3 + 30)).select("k", "ctx")
-    # a kept context keeps all its suffixes
-    closed = kept.select(F.explode(F.transform(F.sequence(F.lit(0), F.col("k")), lambda j: F.struct(
-        j.alias("k"), F.col("ctx").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), j * 8) - 1)
-        .alias("ctx")))).alias("c")).select("c.*").union(
-            kept_counts.filter("k = 0").select("k", "ctx")).distinct()
-    # at most 256 symbols a state
-    packed = kept_counts.join(closed, ["k", "ctx"]).groupBy("k", "ctx").agg(
-        F.collect_list(F.struct("sym", "n")).alias("next"))
-    return staged(packed.select("k", "ctx", F.col("next.sym").alias("syms"), F.col("next.n").alias("counts")),
-                  "lm-states")
-
-
-def state_buckets(states: DataFrame) -> np.ndarray:
-    """For each length: the hash buckets that hold a state, a table of a fixed size."""
-    width = 1 << BUCKET_BITS
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((DEPTH + 1, width), bool)
-        for b in batches:
-            held[b.column(0).to_numpy(), buckets_of(b.column(1).to_numpy().astype(np.uint64))] = True
-        yield pa.RecordBatch.from_arrays([pa.array(
-            [zstandard.ZstdCompressor().compress(np.packbits(held).tobytes())], pa.binary())], ["held"])
-    held = np.zeros((DEPTH + 1) * width // 8, np.uint8)
-    for r in map_arrow(states.select("k", "ctx"), run, "held binary").toLocalIterator():
-        held |= np.frombuffer(zstandard.ZstdDecompressor().decompress(r["held"]), np.uint8)
-    return np.unpackbits(held).astype(bool).reshape(DEPTH + 1, width)
-
-
-def block_contexts(blocks: DataFrame, states: DataFrame) -> DataFrame:
-    """(block, k, ctx): the distinct contexts of each block, without those whose bucket holds no state."""
-    buckets = blocks.sparkSession.sparkContext.broadcast(state_buckets(states))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passes, now, found = buckets.value, None, [[] for _ in range(DEPTH + 1)]
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for k, parts in enumerate(found):
-                ctx = np.unique(np.concatenate(parts)).view(np.int64)
-                parts.clear()
-                for at in range(0, len(ctx), 100_000):
-                    part = ctx[at:at + 100_000]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([now] * len(part), pa.int64()), pa.array([k] * len(part), pa.int32()),
-                         pa.array(part)], ["block", "k", "ctx"])
-        for b in batches:
-            for block, seqs in zip(*b.columns, strict=True):
-                if block.as_py() != now:
-                    if now is not None:
-                        yield from flush()
-                    now = block.as_py()
-                symbols, mask = buffer(unpack(seqs.as_py()))
-                ctx = gram_codes(symbols)[mask[DEPTH:]] >> np.uint64(8)
-                for k in range(DEPTH, -1, -1):
-                    ctx = np.unique(ctx & np.uint64((1 << 8 * k) - 1))
-                    found[k].append(ctx[passes[k][buckets_of(ctx)]])
-        if now is not None:
-            yield from flush()
-    return map_arrow(blocks.select("block", "seqs"), run, "block long, k int, ctx long")
+    def run(texts: pa.Table, found: pa.Table) -> pa.Table:
+        block, found = block_of(texts, found, ends)
+        *_, (_, level, _) = block.levels(k, found, min_count, n)
+        ctx = np.unique(level.ctx)
+        no = [texts.column("block")[0].as_py()] * (len(level.codes) + len(ctx))
+        return pa.table({
+            "block": pa.array(no, pa.int64()),
+            "ctx": np.concatenate([level.ctx[level.first], ctx]).view(np.int64),
+            "code": np.concatenate([level.codes, ctx]).view(np.int64),
+            "n": np.concatenate([level.counts, np.zeros(len(ctx), np.int64)]),
+            "q": pa.array(np.concatenate([level.q[level.first], np.zeros(len(ctx))]).astype(np.float32),
+                          mask=np.arange(len(no)) >= len(level.codes))})
+    return staged(summed(by_block(blocks, answers, run, LEVEL), "code").filter(
+        "q is null or total <> n or (first and total > 0)"), f"lm-level-{k}")
+
+
+def summed(rows: DataFrame, key: str) -> DataFrame:
+    """With the ``total`` of a key over all blocks (a row per block and key), one of its rows marked ``first``."""
+    same = Window.partitionBy(key)
+    return rows.withColumn("total", F.sum("n").over(same)).withColumn(
+        "first", F.col("block") == F.min("block").over(same))
+
+
+def kept_contexts(level: DataFrame, min_divergence: float) -> DataFrame:
+    """(ctx, symbols): the contexts of a level that diverge from their suffixes."""
+    stats = level.filter("q is not null and first and total > 0").groupBy("ctx").agg(
+        F.sum("total").alias("n"), F.count(F.lit(1)).alias("symbols"),
+        F.sum(F.col("total") * (F.log("total") - F.col("q"))).alias("s"))
+    gain = F.col("s") - F.col("n") * F.log("n")
+    return stats.filter((gain >= F.col("n") * min_divergence)
+                        & (gain * 2 >= F.col("symbols") * 3 + 30)).select("ctx", "symbols")
+
+
+def level_answers(level: DataFrame, kept: DataFrame, k: int) -> DataFrame:
+    """What returns to the blocks from one level: differing totals, and the kept ones of their contexts."""
+    sums = level.filter("q is not null and total <> n").select(
+        "block", F.lit(k).alias("k"), F.lit(False).alias("state"), "code", F.col("total").alias("value"))
+    states = level.filter("q is null").join(kept, "ctx").select(
+        "block", F.lit(k).alias("k"), F.lit(True).alias("state"), F.col("ctx").alias("code"),
+        F.col("symbols").alias("value"))
+    return sums.unionByName(states)
 
 
 def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text",
-                min_count: int = MIN_COUNT, min_divergence: float = 0.0002, weight: float = 4.0) -> DataFrame:
+                min_count: int = MIN_COUNT, min_divergence: float = 0.0002, depth: int = DEPTH) -> DataFrame:
     """Per document: n_tokens, n_known, train_tokens, base_score and score (log10).
 
     ``train`` marks the rows that the counts and the tree learn from; all rows are scored.
     """
-    spark = docs.sparkSession
-    ship(spark)
+    ship(docs.sparkSession)
     blocks = stage_blocks(docs, id_col, text_col, train)
-    words = staged(block_words(blocks), "lm-words")
-    counts = words.groupBy("word").agg(F.sum("n").alias("c"))
-    known = staged(counts.filter("c > 0"), "lm-counts")
+    words = staged(summed(block_words(blocks), "word").filter("total <> n or (first and total > 0)"), "lm-words")
     # the end mark is a token too, once for each training text
     ends = blocks.agg(F.coalesce(F.sum(F.size(F.filter("train", lambda x: x))), F.lit(0))).first()[0]
-    v, n = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0))).first()
+    v, n = words.filter("first and total > 0").agg(
+        F.count(F.lit(1)), F.coalesce(F.sum("total"), F.lit(0))).first()
     v, n = v + (ends > 0), n + ends
-    unknown = -math.log10(n + v + 1)
-    end_score = math.log10(ends + 1) + unknown
-    states = train_states(gram_counts(blocks, min_count), min_count, min_divergence)
-    # only words with a count and contexts with a state return to their blocks; the others score as unknown, or shorter
-    answers = words.join(known, "word").select("block", "word", "c").unionByName(
-        block_contexts(blocks, states).join(states, ["k", "ctx"]), allowMissingColumns=True)
+    # a word that a block holds alone, and one that no training text has, need no answer
+    answers = [words.filter("total <> n").select("block", "word", F.col("total").alias("value"))]
+    both = lambda: reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), answers)
+    answers.append(docs.sparkSession.createDataFrame([], ANSWER))
+    for k in range(1, depth + 1):
+        level = count_level(blocks, both(), k, min_count, n, ends)
+        answers.append(level_answers(level, staged(kept_contexts(level, min_divergence), f"lm-states-{k}"), k))
 
     def run(texts: pa.Table, found: pa.Table) -> pa.Table:
-        model = SuffixTree.of_rows(found.filter(found.column("k").is_valid()), weight)
-        found = found.filter(found.column("word").is_valid())
-        count = dict(zip(found.column("word").to_pylist(), found.column("c").to_pylist(), strict=True)).get
-        cols: list[list[np.ndarray]] = [[], [], [], []]
-
-        def flush(seqs: list[bytes]) -> None:
-            words = [s.split() for s in seqs]
-            size = np.array([len(w) for w in words])
-            # an empty text stands for one word that no text has
-            c = np.array([count(x, 0) for w in words for x in (w or [b""])], np.float64)
-            at = np.concatenate([[0], np.cumsum(np.maximum(size, 1))[:-1]])
-            known_words = np.add.reduceat((c > 0).astype(np.int64), at)
-            base = np.add.reduceat(np.log10(c + 1), at) + size * unknown + end_score
-            for col, x in zip(cols, (size + 1, known_words + (ends > 0), base, model.scores(seqs)), strict=True):
-                col.append(x)
-        for seqs in texts.column("seqs"):
-            flush(unpack(seqs.as_py()))
+        block, found = block_of(texts, found, ends)
+        each = lambda x: np.add.reduceat(np.where(block.at < 0, 0, x), block.starts)
+        p = (block.total + 1) / (n + v + 1)
+        base, known = each(np.log10(p)), each((block.total > 0).astype(np.int64))
+        for _, level, distinct in block.levels(depth, found, min_count, n):
+            here = distinct > 0
+            at, t = level.places[here], distinct[here]
+            p[at] = (block.total_of_level[at] + t * p[at]) / (level.ctx_total[here] + t)
         flat = lambda c, t: pa.array([x for xs in texts.column(c).to_pylist() for x in xs], t)
-        done = [np.concatenate([*c, np.zeros(0)]) for c in cols]
-        return pa.table({"id": flat("ids", pa.int64()), "train": flat("train", pa.bool_()),
-                         "n_tokens": pa.array(done[0].astype(np.int64)), "n_known": pa.array(done[1].astype(np.int64)),
-                         "base_score": pa.array(done[2]), "score": pa.array(done[3])})
+        return pa.table({"id": flat("ids", pa.int64()), "train": flat("train", pa.bool_()), "n_tokens": block.sizes,
+                         "n_known": known, "base_score": base, "score": each(np.log10(p))})
 
-    out = (blocks.groupBy("block").cogroup(answers.groupBy("block"))
-           .applyInArrow(run, "id long, train boolean, n_tokens long, n_known long, base_score double, score double"))
+    out = by_block(blocks, both(), run, "id long, train boolean, n_tokens long, n_known long, base_score double, "
+                                        "score double")
     return out.select(F.col("id").alias(id_col), "train", "n_tokens", "n_known",
                       F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

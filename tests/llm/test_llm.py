@@ -328,45 +328,78 @@ def test_lm_base_and_probability(docs, empty):
     assert lm.score_texts(docs, F.lit(False)).filter("n_known > 0 or train_tokens > 0").count() == 0
 
 
-def test_suffix_tree_by_hand():
-    tree = lm.SuffixTree({(0, 0): {97: 6, 98: 4}, (1, 97): {98: 4}, (2, 98 << 8 | 97): {97: 1}}, weight=2.0)
-    p0 = lambda s: ({97: 6, 98: 4}.get(s, 0) + 1) / 266
-    p1 = lambda s: ({98: 4}.get(s, 0) + 2 * p0(s)) / 6
-    p2 = lambda s: ({97: 1}.get(s, 0) + 2 * p1(s)) / 3
-    want = math.log10(p0(98) * p0(97) * p2(98) * p0(10))  # "bab": the states before b, a, b and the end
-    assert abs(tree.scores([b"bab"])[0] - want) < 1e-5
-    assert np.allclose((10.0 ** tree.log).sum(axis=1), 1, atol=1e-4)
-
-
-def test_lm_states_do_not_shrink_with_the_corpus(spark):
-    """A context of a fixed count stays a state in a corpus of any size; states and scores as by brute force."""
-    def score(copies):
-        data = [(i, "qzqz qzv " * 30, True) for i in range(4)] + [
-            (10 + i, " ".join(f"w{(i * j) % 7}" for j in range(40)), True) for i in range(copies)] + [(9999, "qzv w3", False)]
+def brute_tree(seqs, min_count, min_divergence, depth):
+    """Counts, kept contexts and the probability of a symbol, from tuples of words alone."""
+    counts = collections.defaultdict(collections.Counter)
+    for s in seqs:
+        b = ["^", *s, "$"]
+        for i in range(1, len(b)):
+            for k in range(min(i, depth) + 1):
+                counts[tuple(b[i - k:i])][b[i]] += 1
+    root = counts[()]
+    n, v = sum(root.values()), len(root)
+    candidates, kept = {()}, {()}
+    for c in sorted(counts, key=len):
+        x, up = counts[c], counts[c[1:]]
+        total = sum(x.values())
+        if c and total >= min_count and c[:-1] in candidates and c[1:] in kept:
+            candidates.add(c)
+            gain = sum(m * math.log(m / total / (up[y] / sum(up.values()))) for y, m in x.items())
+            if gain >= total * min_divergence and gain * 2 >= len(x) * 3 + 30:
+                kept.add(c)
+
+    def p(context, y):
+        if not context:
+            return (root[y] + 1) / (n + v + 1)
+        x = counts[context]
+        return (x[y] + len(x) * p(context[1:], y)) / (sum(x.values()) + len(x))
+
+    def score(s):
+        b, logs = ["^", *s, "$"], 0.0
+        for i in range(1, len(b)):
+            c = tuple(b[max(0, i - depth):i])
+            while c not in kept:
+                c = c[1:]
+            logs += math.log10(p(c, b[i]))
+        return logs
+    return kept, p, score, root
+
+
+def test_lm_states_and_scores_as_by_brute_force(spark, monkeypatch):
+    """Over several blocks; a context of a fixed count stays a state in a corpus of any size."""
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 3000)
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 1000)
+
+    def run(copies):
+        data = [(i, "Qzqz qzv " * 30, True) for i in range(4)] + [
+            (10 + i, " ".join(f"w{(i * j) % 7} x{i % 3}" for j in range(20)), True) for i in range(copies)] + [
+            (5000 + i, "a m n p b m n q k n r", True) for i in range(40)] + [
+            (9997, None, True), (9998, "", False), (9999, "qzv w3 x1 w2 unseen qzqz", False), (9999, "w1", False)]
         docs = spark.createDataFrame(data, "doc_id long, text string, t boolean").repartition(3)
-        blocks = lm.stage_blocks(docs, "doc_id", "text", F.col("t"))
-        states = {(r["k"], r["ctx"]): dict(zip(r["syms"], r["counts"], strict=True))
-                  for r in lm.train_states(lm.gram_counts(blocks, 50), 50, 0.0002).collect()}
-        seqs = [lm.normal(t) for _, t, train in data if train]
-        counts = collections.defaultdict(collections.Counter)
-        for s in seqs:
-            b = lm.PAD + s + bytes([lm.END])
-            for i in range(lm.DEPTH, len(b)):
-                for k in range(lm.DEPTH + 1):
-                    counts[k, int.from_bytes(b[i - k:i], "big")][b[i]] += 1
-        kept = {(0, 0)}
-        for (k, c), x in counts.items():
-            n, up = sum(x.values()), counts[max(k - 1, 0), c & (1 << 8 * max(k - 1, 0)) - 1]
-            gain = sum(m * math.log(m / n / (up[y] / sum(up.values()))) for y, m in x.items())
-            if k and n >= 50 and gain >= n * 0.0002 and gain * 2 >= len(x) * 3 + 30:
-                kept |= {(j, c & (1 << 8 * j) - 1) for j in range(k + 1)}
-        assert states == {c: dict(counts[c]) for c in kept}
-        tree = lm.SuffixTree({c: dict(counts[c]) for c in kept}, 4.0)
-        got = {r["doc_id"]: r["score"] for r in lm.score_texts(docs, F.col("t"), min_count=50).collect()}
-        assert all(abs(got[i] - tree.scores([lm.normal(t)])[0]) < 1e-3 for i, t, _ in data)
-        return set(states)
-    rare = {c for c in score(20) if c[0] and bytes([c[1] & 255]) in b"qzv"}
-    assert rare and rare <= score(400)
+        split = lambda t: (t or "").lower().split()
+        kept, p, score, root = brute_tree([split(t) for _, t, train in data if train], 20, 0.0002, lm.DEPTH)
+        assert {len(c) for c in kept} == set(range(lm.DEPTH + 1))
+        for c in kept:  # with one unknown symbol, probabilities add up to one
+            assert abs(sum(p(c, y) for y in root) + p(c, "never") - 1) < 1e-9
+        want = sorted((i, round(score(split(t)), 6)) for i, t, _ in data)
+        got = lm.score_texts(docs, F.col("t"), min_count=20).collect()
+        assert sorted((r["doc_id"], round(r["score"], 6)) for r in got) == want
+        return kept
+    rare = {c for c in run(20) if c and c[-1].startswith("qz")}
+    assert rare and rare <= run(200)
+
+
+def test_lm_answers_only_what_a_block_cannot_know(spark, monkeypatch):
+    """A sequence of one block alone travels once; totals of shared ones are those of all blocks."""
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 1)
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 1)
+    docs = spark.createDataFrame([(i, "a b " * 30 + f"only{i}", i != 3) for i in range(4)],
+                                 "doc_id long, text string, t boolean").coalesce(1)
+    blocks = lm.stage_blocks(docs, "doc_id", "text", F.col("t"))
+    assert blocks.select("block").distinct().count() == 4
+    words = lm.summed(lm.block_words(blocks), "word").collect()
+    assert {(bytes(r["word"]), r["total"]) for r in words if r["total"] != r["n"]} == {(b"a", 90), (b"b", 90)}
+    assert sum(r["first"] for r in words) == len({bytes(r["word"]) for r in words})
 
 
 # ------------------------------------------------------------------ 8 decontamination
