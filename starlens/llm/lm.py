@@ -19,8 +19,10 @@ adds them up, and a total returns to a block only where it differs from the bloc
 count, so what a single block holds travels once.  From totals and kept contexts of the
 levels before, a block knows exactly which of its places the next level counts.
 
-Words meet by themselves; sequences by a 64-bit polynomial of the xxHash64 of their words (chance
-of any two of s sequences in one: s * s / 2^65).
+Words and sequences of words are told apart by 64 bits: xxHash64 of a word, a polynomial of
+these for a sequence (chance of any two of s alike: s * s / 2^65).  Counts meet in buckets,
+packed; there are twice as many as blocks, and the symbols of a context of over
+``SPLIT`` training places are dealt over as many buckets as its places need.
 
 Defined results: a NULL text counts as empty and holds the end mark alone; NULL
 ids and repeated rows are scored row by row; a text of any length is read whole
@@ -31,9 +33,9 @@ training mark are not read.
 
 from __future__ import annotations
 
-from collections import Counter
+from array import array
 from collections.abc import Iterator
-from functools import reduce
+from contextlib import contextmanager
 from typing import NamedTuple
 
 import numpy as np
@@ -42,170 +44,161 @@ import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_arrow, ship, staged
 
 DEPTH = 3
 BLOCK_BYTES = 8 << 20
-CHUNK_BYTES = 1 << 20
 #: Training places of a candidate context, in a corpus of any size.
 MIN_COUNT = 20
 START, END = b"\n\n", b"\n"  # never words
 FACTOR = np.uint64(0x9E3779B97F4A7C15)  # odd: 2^64 over the golden ratio
-ANSWER = "block long, k int, state boolean, code long, value long"
-LEVEL = "block long, ctx long, code long, n long, q float"
+#: A context of so many training places at most is summed up in one bucket; a larger one is split by its symbols.
+SPLIT = 100_000
+BLOCK = ("block long, ids array<long>, train array<boolean>, sizes array<long>, symbols binary, codes binary, "
+         "counts binary")
+SENT = "bucket long, block long, pack binary"
+ANSWER = "block long, totals binary, states binary, ctx long, n long, symbols long, s double, suffix long"
 
 
 def normal(text: str | None) -> bytes:
     return b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split())
 
 def stage_blocks(docs: DataFrame, id_col: str, text_col: str, train: Column) -> DataFrame:
-    """(block, ids, train, seqs) as written files: packs of normalised texts, and the block of each pack.
+    """A row per block, as written files: (block, ids, train, sizes, symbols, codes, counts).
 
-    ``seqs`` are the texts of a pack, one to a line, compressed together: a pack
-    is about ``CHUNK_BYTES`` of text, or one longer text.
+    ``sizes`` are the texts' symbols with the end mark; ``symbols`` of all texts, each behind a start mark, stand
+    compressed as 32-bit numbers within the block: 0 the start mark, 1 the end mark, then its words, with
+    their ``codes`` and training ``counts`` (both as bytes).
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, in_block = TaskContext.get().partitionId() << 24, 0
+        block = TaskContext.get().partitionId() << 24
         press = zstandard.ZstdCompressor()
-        ids, marks, seqs, size = [], [], [], 0
-
-        def pack() -> pa.RecordBatch:
-            nonlocal block, in_block, ids, marks, seqs, size
-            if in_block and in_block + size > BLOCK_BYTES:
-                block, in_block = block + 1, 0
-            row = pa.RecordBatch.from_arrays(
-                [pa.array([block], pa.int64()), pa.array([ids], pa.list_(pa.int64())),
-                 pa.array([marks], pa.list_(pa.bool_())), pa.array([press.compress(b"\n".join(seqs))], pa.binary())],
-                ["block", "ids", "train", "seqs"])
-            in_block += size
-            ids, marks, seqs, size = [], [], [], 0
-            return row
+        ids, marks, sizes, symbols, index, held = [], [], [], array("i"), {START: 0, END: 1}, 0
+
+        def flush() -> pa.RecordBatch:
+            sent = np.frombuffer(symbols, np.int32)
+            counts = np.bincount(sent[np.repeat(np.array(marks, bool), np.array(sizes) + 1)], minlength=len(index))
+            codes = np.fromiter(map(xxhash.xxh64_intdigest, index), np.uint64, len(index))
+            return pa.RecordBatch.from_pydict({
+                "block": pa.array([block], pa.int64()), "ids": pa.array([ids], pa.list_(pa.int64())),
+                "train": pa.array([marks], pa.list_(pa.bool_())), "sizes": pa.array([sizes], pa.list_(pa.int64())),
+                "symbols": pa.array([press.compress(sent.tobytes())], pa.binary()),
+                "codes": pa.array([codes.tobytes()], pa.binary()),
+                "counts": pa.array([press.compress(counts.tobytes())], pa.binary())})
         for b in batches:
             for doc, text, mark in zip(*b.columns, strict=True):
+                seq = normal(text.as_py())
+                words = seq.split()
+                if held and held + len(seq) > BLOCK_BYTES:
+                    yield flush()
+                    block += 1
+                    ids, marks, sizes, symbols, index, held = [], [], [], array("i"), {START: 0, END: 1}, 0
+                symbols.append(0)
+                symbols.extend([index.setdefault(w, len(index)) for w in words])
+                symbols.append(1)
                 ids.append(doc.as_py())
                 marks.append(mark.as_py())
-                seqs.append(normal(text.as_py()))
-                size += len(seqs[-1]) + 1
-                if size >= CHUNK_BYTES:
-                    yield pack()
+                sizes.append(len(words) + 1)
+                held += len(seq) + 1
         if ids:
-            yield pack()
+            yield flush()
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"),
                        F.coalesce(train, F.lit(False)).alias("train"))
-    return staged(map_arrow(rows, run, "block long, ids array<long>, train array<boolean>, seqs binary"), "lm-blocks")
-
-
-def unpack(seqs: bytes) -> list[bytes]:
-    return zstandard.ZstdDecompressor().decompress(seqs).split(b"\n")
-
-
-def block_words(blocks: DataFrame) -> DataFrame:
-    """(word, block, n): the distinct words of each block with their training counts."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, trained, others = None, Counter(), set()
-
-        def flush():
-            words = [*trained, *(w for w in others if w not in trained)]
-            n = [*trained.values(), *([0] * (len(words) - len(trained)))]
-            for at in range(0, len(words), 50_000):
-                w = words[at:at + 50_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(w, pa.binary()), pa.array([now] * len(w), pa.int64()),
-                     pa.array(n[at:at + 50_000], pa.int64())], ["word", "block", "n"])
-        for b in batches:
-            for block, marks, seqs in zip(*b.columns, strict=True):
-                if block.as_py() != now:
-                    if now is not None:
-                        yield from flush()
-                    now, trained, others = block.as_py(), Counter(), set()
-                for mark, seq in zip(marks.as_py(), unpack(seqs.as_py()), strict=True):
-                    (trained if mark else others).update(seq.split())
-        if now is not None:
-            yield from flush()
-    return map_arrow(blocks.select("block", "train", "seqs"), run, "word binary, block long, n long")
+    return staged(map_arrow(rows, run, BLOCK), "lm-blocks")
 
 
 class Level(NamedTuple):
     """The places of a block that one level of the tree counts, and their distinct sequences."""
     places: np.ndarray
-    ctx: np.ndarray        # code of the context before each place
-    ctx_total: np.ndarray  # training places of that context
-    q: np.ndarray          # log of the symbol's share after the suffix of that context
-    codes: np.ndarray      # distinct sequences of context and symbol, ascending
-    first: np.ndarray      # a place (index into ``places``) of each
-    group: np.ndarray      # the sequence at each place
-    counts: np.ndarray     # its training places in this block
+    ctx: np.ndarray           # code of the context before each place
+    ctx_total: np.ndarray     # training places of that context
+    suffix_total: np.ndarray  # training places of the suffix of that context
+    up: np.ndarray            # those of them that the symbol follows
+    codes: np.ndarray         # distinct sequences of context and symbol, ascending
+    first: np.ndarray         # a place (index into ``places``) of each
+    counts: np.ndarray        # its training places in this block
+    totals: np.ndarray        # training places in all blocks of the sequence at each place
 
 
 class Block:
     """The symbols of one block's texts, one after another, each text behind a start mark."""
 
-    def __init__(self, texts: pa.Table, words: list[bytes], totals: list[int], ends: int):
-        """``words`` with their ``totals``: the words whose training count differs from the block's own."""
-        index, symbols, sizes = {START: 0, END: 1}, [], []
-        for pack in texts.column("seqs"):
-            for seq in unpack(pack.as_py()):
-                symbols.append(0)
-                before = len(symbols)
-                symbols += [index.setdefault(w, len(index)) for w in seq.split()]
-                symbols.append(1)
-                sizes.append(len(symbols) - before)
-        symbols = np.array(symbols, np.int64)
-        self.sizes = np.array(sizes, np.int64)  # with the end mark
+    def __init__(self, row: pa.Table, found: pa.Table, ends: int):
+        """``found`` holds, for level 0, the totals of words that differ from the block's own counts."""
+        take = lambda c: row.column(c).combine_chunks().flatten()
+        symbols = np.frombuffer(zstandard.ZstdDecompressor().decompress(row.column("symbols")[0].as_py()), np.int32)
+        self.sizes = take("sizes").to_numpy()
         self.starts = np.cumsum([0, *(self.sizes[:-1] + 1)])
-        marks = np.array([m for ms in texts.column("train").to_pylist() for m in ms], bool)
-        self.trained = np.repeat(marks, self.sizes + 1)
+        self.trained = np.repeat(take("train").to_numpy(zero_copy_only=False), self.sizes + 1)
         self.at = np.arange(len(symbols)) - np.repeat(self.starts, self.sizes + 1) - 1  # -1: the start mark
-        count = np.bincount(symbols[self.trained], minlength=len(index))
-        count[[index[w] for w in words]] = totals
+        self.codes = np.frombuffer(row.column("codes")[0].as_py(), np.uint64)
+        self.counts = np.frombuffer(zstandard.ZstdDecompressor().decompress(row.column("counts")[0].as_py()), np.int64)
+        self.found = found
+        order = np.argsort(self.codes)
+        code, total = unpacked(self.answers(0).column("totals"), 2)
+        count = self.counts.copy()
+        count[order[np.searchsorted(self.codes, code.view(np.uint64), sorter=order)]] = total
         count[:2] = ends
-        self.total = count[symbols]
-        self.code = np.fromiter(map(xxhash.xxh64_intdigest, index), np.uint64, len(index))[symbols]
+        self.total, self.code = count[symbols], self.codes[symbols]
 
-    def levels(self, depth: int, found: pa.Table, min_count: int, n: int) -> Iterator[tuple[int, Level, np.ndarray]]:
-        """Levels 1 to ``depth``, each with its number and the distinct symbols of the kept context before each place.
+    def answers(self, k: int) -> pa.Table:
+        return self.found.filter(pc.equal(self.found.column("k"), k))
 
-        ``found`` (k, state, code, value) holds the totals of sequences that differ from the block's own counts and
-        the kept contexts, both of all levels but the last one asked for, or of all.
+    def levels(self, depth: int, min_count: int, n: int) -> Iterator[tuple[Level, np.ndarray]]:
+        """Levels 1 to ``depth``, each with the distinct symbols of the kept context before each place (0: not kept).
+
+        Totals of the last level are those of the block alone where nothing has been found for it yet.
         """
         code, total, counted = self.code, self.total, np.ones(len(self.code), bool)
         suffix_kept, suffix_total = counted, np.full(len(self.code), n)
+        before = lambda x: np.concatenate([x[:1], x[:-1]])
         for k in range(1, depth + 1):
-            before = lambda x: np.concatenate([x[:1], x[:-1]])
             ctx, ctx_total = before(code), before(total)
             places = np.flatnonzero((self.at >= k - 1) & before(counted) & (ctx_total >= min_count) & suffix_kept)
-            with np.errstate(divide="ignore"):
-                q = np.log(total[places] / suffix_total[places])
             code = self.code + FACTOR * ctx
-            codes, first, group = np.unique(code[places], return_index=True, return_inverse=True)
+            codes, first, group = distinct(code[places])
             counts = np.bincount(group[self.trained[places]], minlength=len(codes))
-            level = Level(places, ctx[places], ctx_total[places], q, codes, first, group, counts)
-            mine = found.filter(pc.equal(found.column("k"), k))
-            sums, kept = (mine.filter(pc.equal(mine.column("state"), x)) for x in (False, True))
+            mine = self.answers(k)
+            code_of, total_of = unpacked(mine.column("totals"), 2)
             totals = counts.copy()
-            totals[np.searchsorted(codes, unsigned(sums.column("code")))] = sums.column("value").to_numpy()
-            kept_codes, symbols = unsigned(kept.column("code")), np.append(kept.column("value").to_numpy(), 0)
+            totals[np.searchsorted(codes, code_of.view(np.uint64))] = total_of
+            level = Level(places, ctx[places], ctx_total[places], suffix_total[places], total[places], codes, first,
+                          counts, totals[group])
+            kept_codes, symbols = unpacked(mine.column("states"), 2)
+            large = mine.filter(pc.is_valid(mine.column("ctx")))
+            kept_codes = np.append(kept_codes, large.column("ctx").to_numpy().astype(np.int64)).view(np.uint64)
+            symbols = np.concatenate([symbols, large.column("symbols").to_numpy().astype(np.int64), [0]])
             order = np.argsort(kept_codes)
             slot = np.append(order, len(order))[np.searchsorted(kept_codes, level.ctx, sorter=order)]
-            distinct = np.where(np.append(kept_codes, np.uint64(0))[slot] == level.ctx, symbols[slot], 0)
+            of_kept = np.where(np.append(kept_codes, np.uint64(0))[slot] == level.ctx, symbols[slot], 0)
             total, counted, suffix_kept = (np.zeros(len(code), t) for t in (np.int64, bool, bool))
-            total[places], counted[places], suffix_kept[places] = totals[group], True, distinct > 0
+            total[places], counted[places], suffix_kept[places] = level.totals, True, of_kept > 0
             suffix_total = ctx_total
-            self.total_of_level = total
-            yield k, level, distinct
+            yield level, of_kept
+
+
+def distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct codes in ascending order, a place of each, and the number of the one at each place."""
+    order = np.argsort(codes)
+    inorder = codes[order]
+    new = np.append(True, inorder[1:] != inorder[:-1])[:len(codes)]
+    group = np.empty(len(codes), np.int64)
+    group[order] = np.cumsum(new) - 1
+    return inorder[new], order[new], group
 
 
-def unsigned(column: pa.ChunkedArray) -> np.ndarray:
-    return column.to_numpy().astype(np.int64).view(np.uint64)
+def packed(*columns: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.concatenate([c.view(np.int64) for c in columns]).tobytes())
 
 
-def block_of(texts: pa.Table, found: pa.Table, ends: int) -> tuple[Block, pa.Table]:
-    words = found.filter(found.column("word").is_valid())
-    return (Block(texts, words.column("word").to_pylist(), words.column("value").to_pylist(), ends),
-            found.filter(found.column("code").is_valid()))
+def unpacked(packs: pa.ChunkedArray, width: int) -> np.ndarray:
+    """``width`` columns, the rows of all packs one after another."""
+    expand = zstandard.ZstdDecompressor()
+    parts = [np.frombuffer(expand.decompress(x), np.int64).reshape(width, -1) for x in packs.to_pylist() if x]
+    return np.concatenate([np.zeros((width, 0), np.int64), *parts], axis=1)
 
 
 def by_block(blocks: DataFrame, answers: DataFrame, run, schema: str) -> DataFrame:
@@ -213,53 +206,124 @@ def by_block(blocks: DataFrame, answers: DataFrame, run, schema: str) -> DataFra
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
 
 
-def count_level(blocks: DataFrame, answers: DataFrame, k: int, min_count: int, n: int, ends: int) -> DataFrame:
-    """(block, ctx, code, n, q, total, first): the sequences of level ``k`` that a block or the tree needs.
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of each finished query go: what later ones need has been written as a table by then."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def send(block: int, buckets: int, ctx: np.ndarray, ctx_total: np.ndarray, suffix: np.ndarray, up: np.ndarray,
+         code: np.ndarray, n: np.ndarray) -> pa.Table:
+    """A block's sequences by bucket: (bucket, block, pack).
 
-    ``n`` is a sequence's count in the block, ``total`` that of all blocks; one block of each sequence is ``first``.
-    Rows without ``q`` are the contexts of a block.
+    All sequences of a context meet in one bucket; where it has more than ``SPLIT`` training places they
+    are dealt by their codes to as many buckets as these places need.
     """
+    pieces = (ctx_total // SPLIT + 1).astype(np.uint64)
+    mixed = (ctx ^ (code >> np.uint64(20)) % pieces) * FACTOR
+    bucket = (mixed >> np.uint64(32)) % np.uint64(buckets)
+    order = np.lexsort((ctx, bucket))  # rows of one context stand together and compress well
+    cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+    parts = np.split(order, cuts) if len(order) else []
+    return pa.table({"bucket": pa.array([int(bucket[x[0]]) for x in parts], pa.int64()),
+                     "block": pa.array([block] * len(parts), pa.int64()),
+                     "pack": pa.array([packed(ctx[x], code[x], n[x], up[x], suffix[x], ctx_total[x])
+                                       for x in parts], pa.binary())})
+
+
+def counter(k: int, min_count: int, n: int, ends: int, buckets: int):
+    """For a block and its answers: its sequences of level ``k``, to be sent."""
     def run(texts: pa.Table, found: pa.Table) -> pa.Table:
-        block, found = block_of(texts, found, ends)
-        *_, (_, level, _) = block.levels(k, found, min_count, n)
-        ctx = np.unique(level.ctx)
-        no = [texts.column("block")[0].as_py()] * (len(level.codes) + len(ctx))
-        return pa.table({
-            "block": pa.array(no, pa.int64()),
-            "ctx": np.concatenate([level.ctx[level.first], ctx]).view(np.int64),
-            "code": np.concatenate([level.codes, ctx]).view(np.int64),
-            "n": np.concatenate([level.counts, np.zeros(len(ctx), np.int64)]),
-            "q": pa.array(np.concatenate([level.q[level.first], np.zeros(len(ctx))]).astype(np.float32),
-                          mask=np.arange(len(no)) >= len(level.codes))})
-    return staged(summed(by_block(blocks, answers, run, LEVEL), "code").filter(
-        "q is null or total <> n or (first and total > 0)"), f"lm-level-{k}")
-
-
-def summed(rows: DataFrame, key: str) -> DataFrame:
-    """With the ``total`` of a key over all blocks (a row per block and key), one of its rows marked ``first``."""
-    same = Window.partitionBy(key)
-    return rows.withColumn("total", F.sum("n").over(same)).withColumn(
-        "first", F.col("block") == F.min("block").over(same))
-
-
-def kept_contexts(level: DataFrame, min_divergence: float) -> DataFrame:
-    """(ctx, symbols): the contexts of a level that diverge from their suffixes."""
-    stats = level.filter("q is not null and first and total > 0").groupBy("ctx").agg(
-        F.sum("total").alias("n"), F.count(F.lit(1)).alias("symbols"),
-        F.sum(F.col("total") * (F.log("total") - F.col("q"))).alias("s"))
-    gain = F.col("s") - F.col("n") * F.log("n")
-    return stats.filter((gain >= F.col("n") * min_divergence)
-                        & (gain * 2 >= F.col("symbols") * 3 + 30)).select("ctx", "symbols")
-
-
-def level_answers(level: DataFrame, kept: DataFrame, k: int) -> DataFrame:
-    """What returns to the blocks from one level: differing totals, and the kept ones of their contexts."""
-    sums = level.filter("q is not null and total <> n").select(
-        "block", F.lit(k).alias("k"), F.lit(False).alias("state"), "code", F.col("total").alias("value"))
-    states = level.filter("q is null").join(kept, "ctx").select(
-        "block", F.lit(k).alias("k"), F.lit(True).alias("state"), F.col("ctx").alias("code"),
-        F.col("symbols").alias("value"))
-    return sums.unionByName(states)
+        *_, (level, _) = Block(texts, found, ends).levels(k, min_count, n)
+        at = level.first
+        return send(texts.column("block")[0].as_py(), buckets, level.ctx[at], level.ctx_total[at],
+                    level.suffix_total[at], level.up[at], level.codes, level.counts)
+    return run
+
+
+def add_up(min_divergence: float):
+    """For the packs of one bucket: what returns to each block, and the sums of split contexts (rows without a block).
+
+    ``totals`` are the sequences whose count over all blocks is not the block's own, ``states`` the kept contexts of
+    the block with their distinct symbols.  A split context's blocks are rows with that context.
+    """
+    def run(sent: pa.Table) -> pa.Table:
+        packs = [unpacked(pa.chunked_array([sent.column("pack")[i:i + 1].combine_chunks()]), 6)
+                 for i in range(sent.num_rows)]
+        ctx, code, n, up, suffix, ctx_total = np.concatenate(packs, axis=1)
+        bounds = np.cumsum([0, *(x.shape[1] for x in packs)])
+        _, first, group = distinct(code.view(np.uint64))
+        total = np.bincount(group, weights=n).astype(np.int64)
+        differs = total[group] != n
+        lead, total_of = first[total > 0], total[total > 0]
+        contexts, at, of = distinct(ctx[lead].view(np.uint64))
+        sums = np.bincount(of, weights=total_of).astype(np.int64)
+        symbols = np.bincount(of, minlength=len(contexts))
+        s = np.bincount(of, weights=total_of * (np.log(total_of) - np.log(up[lead])))
+        split = ctx_total[lead[at]] >= SPLIT
+        gain = s - sums * (np.log(sums) - np.log(suffix[lead[at]]))
+        kept = keeps(sums, symbols, gain, min_divergence) & ~split
+        mine, dealt = contexts[kept].view(np.int64), contexts[split].view(np.int64)
+        out = {c: [] for c in ("block", "totals", "states", "ctx", "n", "symbols", "s", "suffix")}
+
+        def row(**values) -> None:
+            for c, x in out.items():
+                x.append(values.get(c))
+        for i, no in enumerate(sent.column("block").to_pylist()):
+            rows = slice(bounds[i], bounds[i + 1])
+            d, here = differs[rows], np.unique(ctx[rows])
+            known = np.isin(mine, here)
+            if d.any() or known.any():
+                row(block=no, totals=packed(code[rows][d], total[group[rows]][d]),
+                    states=packed(mine[known], symbols[kept][known]))
+            for c in dealt[np.isin(dealt, here)].tolist():
+                row(block=no, ctx=c)
+        for j in np.flatnonzero(split).tolist():
+            row(ctx=int(contexts[j].view(np.int64)), n=int(sums[j]), symbols=int(symbols[j]), s=float(s[j]),
+                suffix=int(suffix[lead[at[j]]]))
+        types = pa.schema([("block", pa.int64()), ("totals", pa.binary()), ("states", pa.binary()), ("ctx", pa.int64()),
+                           ("n", pa.int64()), ("symbols", pa.int64()), ("s", pa.float64()), ("suffix", pa.int64())])
+        return pa.table(out, schema=types)
+    return run
+
+
+def keeps(n, symbols, gain, min_divergence: float):
+    """Whether a context of ``n`` places and so many distinct symbols diverges from its suffix."""
+    return (gain >= n * min_divergence) & (gain * 2 >= symbols * 3 + 30)
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of each finished query go: what later ones need has been written as a table by then."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def level_sums(sent: DataFrame, k: int, min_divergence: float) -> DataFrame:
+    """The written results of ``add_up`` for level ``k``."""
+    return staged(sent.groupBy("bucket").applyInArrow(add_up(min_divergence), ANSWER), f"lm-level-{k}")
+
+
+def level_answers(level: DataFrame, k: int, min_divergence: float) -> DataFrame:
+    """(block, k, totals, states, ctx, symbols): what returns to the blocks from one level."""
+    packs = level.filter("totals is not null").select("block", F.lit(k).alias("k"), "totals", "states")
+    sums = level.filter("block is null").groupBy("ctx").agg(
+        F.sum("n").alias("n"), F.sum("symbols").alias("symbols"), F.sum("s").alias("s"), F.max("suffix").alias("up"))
+    gain = F.col("s") - F.col("n") * (F.log("n") - F.log("up"))
+    kept = sums.filter(keeps(F.col("n"), F.col("symbols"), gain, min_divergence)).select("ctx", "symbols")
+    large = level.filter("block is not null and ctx is not null").select("block", "ctx").distinct().join(kept, "ctx")
+    return packs.unionByName(large.withColumn("k", F.lit(k)), allowMissingColumns=True)
 
 
 def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text",
@@ -268,36 +332,48 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
 
     ``train`` marks the rows that the counts and the tree learn from; all rows are scored.
     """
-    ship(docs.sparkSession)
-    blocks = stage_blocks(docs, id_col, text_col, train)
-    words = staged(summed(block_words(blocks), "word").filter("total <> n or (first and total > 0)"), "lm-words")
-    # the end mark is a token too, once for each training text
-    ends = blocks.agg(F.coalesce(F.sum(F.size(F.filter("train", lambda x: x))), F.lit(0))).first()[0]
-    v, n = words.filter("first and total > 0").agg(
-        F.count(F.lit(1)), F.coalesce(F.sum("total"), F.lit(0))).first()
-    v, n = v + (ends > 0), n + ends
-    # a word that a block holds alone, and one that no training text has, need no answer
-    answers = [words.filter("total <> n").select("block", "word", F.col("total").alias("value"))]
-    both = lambda: reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), answers)
-    answers.append(docs.sparkSession.createDataFrame([], ANSWER))
-    for k in range(1, depth + 1):
-        level = count_level(blocks, both(), k, min_count, n, ends)
-        answers.append(level_answers(level, staged(kept_contexts(level, min_divergence), f"lm-states-{k}"), k))
+    spark = docs.sparkSession
+    ship(spark)
+    with shuffles_removed(spark):
+        blocks = stage_blocks(docs, id_col, text_col, train)
+        # the end mark is a token too, once for each training text; buckets are as many as keep each of one size
+        ends, no = blocks.agg(F.coalesce(F.sum(F.size(F.filter("train", lambda x: x))), F.lit(0)),
+                              F.count(F.lit(1))).first()
+        buckets = 2 * no + 1
+
+        def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for one in range(b.num_rows):
+                    code = np.frombuffer(b.column(1)[one].as_py(), np.uint64)[2:]
+                    n = np.frombuffer(zstandard.ZstdDecompressor().decompress(b.column(2)[one].as_py()), np.int64)[2:]
+                    # one context, the empty one, dealt by its symbols
+                    none, all_ = np.zeros(len(code), np.uint64), np.full(len(code), SPLIT * buckets)
+                    yield from send(b.column(0)[one].as_py(), buckets, none, all_, all_, all_, code, n).to_batches()
+        level = level_sums(map_arrow(blocks.select("block", "codes", "counts"), words, SENT), 0, min_divergence)
+        v, n = level.filter("block is null").agg(F.coalesce(F.sum("symbols"), F.lit(0)),
+                                                 F.coalesce(F.sum("n"), F.lit(0))).first()
+        v, n = v + (ends > 0), n + ends
+        answers = level.filter("totals is not null").select(
+            "block", F.lit(0).alias("k"), "totals", F.lit(None).cast("binary").alias("states"),
+            F.lit(None).cast("long").alias("ctx"), F.lit(None).cast("long").alias("symbols"))
+        for k in range(1, depth + 1):
+            level = level_sums(by_block(blocks, answers, counter(k, min_count, n, ends, buckets), SENT), k, min_divergence)
+            answers = answers.unionByName(level_answers(level, k, min_divergence))
 
     def run(texts: pa.Table, found: pa.Table) -> pa.Table:
-        block, found = block_of(texts, found, ends)
+        block = Block(texts, found, ends)
         each = lambda x: np.add.reduceat(np.where(block.at < 0, 0, x), block.starts)
         p = (block.total + 1) / (n + v + 1)
         base, known = each(np.log10(p)), each((block.total > 0).astype(np.int64))
-        for _, level, distinct in block.levels(depth, found, min_count, n):
-            here = distinct > 0
-            at, t = level.places[here], distinct[here]
-            p[at] = (block.total_of_level[at] + t * p[at]) / (level.ctx_total[here] + t)
+        for level, symbols in block.levels(depth, min_count, n):
+            here = symbols > 0
+            at, t = level.places[here], symbols[here]
+            p[at] = (level.totals[here] + t * p[at]) / (level.ctx_total[here] + t)
         flat = lambda c, t: pa.array([x for xs in texts.column(c).to_pylist() for x in xs], t)
         return pa.table({"id": flat("ids", pa.int64()), "train": flat("train", pa.bool_()), "n_tokens": block.sizes,
                          "n_known": known, "base_score": base, "score": each(np.log10(p))})
 
-    out = by_block(blocks, both(), run, "id long, train boolean, n_tokens long, n_known long, base_score double, "
+    out = by_block(blocks, answers, run, "id long, train boolean, n_tokens long, n_known long, base_score double, "
                                         "score double")
     return out.select(F.col("id").alias(id_col), "train", "n_tokens", "n_known",
                       F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -13,6 +13,7 @@ import zipfile
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -365,10 +366,11 @@ def brute_tree(seqs, min_count, min_divergence, depth):
     return kept, p, score, root
 
 
-def test_lm_states_and_scores_as_by_brute_force(spark, monkeypatch):
-    """Over several blocks; a context of a fixed count stays a state in a corpus of any size."""
+@pytest.mark.parametrize("split", [lm.SPLIT, 30])
+def test_lm_states_and_scores_as_by_brute_force(spark, monkeypatch, split):
+    """Over several blocks, with and without split contexts; a context of a fixed count stays a state in a corpus of any size."""
     monkeypatch.setattr(lm, "BLOCK_BYTES", 3000)
-    monkeypatch.setattr(lm, "CHUNK_BYTES", 1000)
+    monkeypatch.setattr(lm, "SPLIT", split)
 
     def run(copies):
         data = [(i, "Qzqz qzv " * 30, True) for i in range(4)] + [
@@ -389,17 +391,16 @@ def test_lm_states_and_scores_as_by_brute_force(spark, monkeypatch):
     assert rare and rare <= run(200)
 
 
-def test_lm_answers_only_what_a_block_cannot_know(spark, monkeypatch):
-    """A sequence of one block alone travels once; totals of shared ones are those of all blocks."""
-    monkeypatch.setattr(lm, "CHUNK_BYTES", 1)
-    monkeypatch.setattr(lm, "BLOCK_BYTES", 1)
-    docs = spark.createDataFrame([(i, "a b " * 30 + f"only{i}", i != 3) for i in range(4)],
-                                 "doc_id long, text string, t boolean").coalesce(1)
-    blocks = lm.stage_blocks(docs, "doc_id", "text", F.col("t"))
-    assert blocks.select("block").distinct().count() == 4
-    words = lm.summed(lm.block_words(blocks), "word").collect()
-    assert {(bytes(r["word"]), r["total"]) for r in words if r["total"] != r["n"]} == {(b"a", 90), (b"b", 90)}
-    assert sum(r["first"] for r in words) == len({bytes(r["word"]) for r in words})
+def test_lm_answers_only_what_a_block_cannot_know():
+    """A sequence of one block alone does not return; totals of shared ones are those of all blocks."""
+    ctx, total, suffix, up = (np.full(3, x) for x in (5, 90, 200, 1))
+    sent = [lm.send(b, 1, ctx.astype(np.uint64), total, suffix, up, np.array([7, 8, 10 + b], np.uint64),
+                    np.array([20, 30 * b, 1])) for b in (0, 1)]
+    out = lm.add_up(0.0002)(pa.concat_tables(sent))
+    assert out.column("block").to_pylist() == [0, 1]
+    got = [lm.unpacked(out.column("totals")[i:i + 1], 2).T.tolist() for i in (0, 1)]
+    assert got == [[[7, 40], [8, 30]], [[7, 40]]]
+    assert lm.unpacked(out.column("states"), 2).tolist() == [[5, 5], [4, 4]]
 
 
 # ------------------------------------------------------------------ 8 decontamination
