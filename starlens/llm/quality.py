@@ -82,7 +82,7 @@ def text_measures(docs: DataFrame, text_col: str = "text", window: int = 5) -> D
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
                   min_words: int = 10, max_repeat_pct: int = 20, min_docs: int = 20,
-                  max_doc_share: float = 0.4, min_left: int = 10, row_key: str | None = None) -> DataFrame:
+                  max_doc_share: float = 0.1, min_left: int = 10, row_key: str | None = None) -> DataFrame:
     """Judge every document: its id, ``row_key`` if given, the columns of ``RESULT`` and ``gone_lines``.
 
     A line is above the limit when more than ``min_docs`` distinct documents of

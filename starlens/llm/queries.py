@@ -128,7 +128,7 @@ dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM wl GROUP BY r),
 per_line AS (SELECT source, norm, count(DISTINCT t) AS docs FROM wl GROUP BY source, norm),
 per_host AS (SELECT source, count(DISTINCT t) AS docs FROM d GROUP BY source),
 freq AS (SELECT a.source, a.norm FROM per_line a JOIN per_host b ON a.source IS NOT DISTINCT FROM b.source
-         WHERE a.docs > 20 AND a.docs > b.docs * 0.4),
+         WHERE a.docs > 20 AND a.docs > b.docs * 0.1),
 gone AS (SELECT r, sum(n) AS n FROM wl JOIN freq f ON wl.norm = f.norm AND wl.source IS NOT DISTINCT FROM f.source GROUP BY r),
 m AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
              len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines,

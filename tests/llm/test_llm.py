@@ -231,6 +231,17 @@ def test_quality_line_frequency(spark):
     assert all(got[200 + i]["kept"] for i in range(5))
 
 
+def test_quality_limit_is_a_tenth_of_the_host(spark):
+    letters = lambda i: chr(97 + i // 26) + chr(97 + i % 26)
+    own = lambda i: " ".join(f"own{letters(i)}word{chr(97 + k)}" for k in range(12))
+    lines = {"subscribe to our letter": range(0, 31), "found in thirty of three hundred": range(40, 70)}
+    data = [(i, "\n".join([own(i), *(x for x, ids in lines.items() if i in ids)]), "a") for i in range(300)]
+    docs = spark.createDataFrame([*data, *data[:40]], "doc_id long, text string, source string")  # copies count once
+    got = quality.quality_rules(docs).collect()
+    assert all(r["kept"] and r["base_failed"] is False for r in got)
+    assert {r["doc_id"] for r in got if r["n_words_left"] < r["n_words"]} == set(range(31))
+
+
 def test_pipeline_passes_texts_without_frequent_lines(spark, tmp_path):
     import corpus_pipeline as cp
     own = [" ".join(f"own{chr(97 + i // 26)}{chr(97 + i % 26)}word{chr(97 + k)}" for k in range(12)) for i in range(30)]
