@@ -185,3 +185,16 @@ def test_blocks_of_one_scan_equal_blocks_fitted_alone(spark):
         assert all(len(t) >= 2 for n in alone.terms for t in n.split()) or i == 0
         for r in alone.transform(df, "id", "text").select("id", vector_to_array(f"tfidf{i}").alias("x")).collect():
             assert both[r["id"]][f"x{i}"] == pytest.approx(r["x"])
+
+
+def test_mean_vectors_shuffle_sums_only(spark):
+    """Neither a joined vector is sorted nor is a word shuffled, in one block or several."""
+    df = spark.createDataFrame([(1, "a a b"), (2, "b zz"), (3, ""), (4, None)], "id long, text string")
+    vecs = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 3.0])] + [(f"w{i}", [9.0, 9.0]) for i in range(40)],
+                                 "word string, vector array<float>")
+    for rows in (500_000, 16):
+        out = eb.mean_vectors(df, "id", "text", vecs, 2, broadcast_max_rows=rows)
+        assert {r["id"]: (r["n_in_vocab"], [round(x, 6) for x in r["vector"]]) for r in out.collect()} == {
+            1: (3, [0.666667, 1.0]), 2: (1, [0.0, 3.0]), 3: (0, [0.0, 0.0]), 4: (0, [0.0, 0.0])}
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "ObjectHashAggregate" not in plan and "hashpartitioning(word" not in plan
