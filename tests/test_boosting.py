@@ -1,10 +1,12 @@
 """Staged errors, the patience stop, searches on one kept frame, split counts."""
 
 import math
+import random
 
 import numpy as np
 import pytest
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from starlens.plans import boosting as bo
@@ -103,3 +105,29 @@ def test_kept_frames_are_not_dealt_again(frames):
     with ml.training_input(train) as data:
         assert data is train
     assert ml.spread(train.select("label")).rdd.getNumPartitions() == 1
+
+
+def test_machine_on_moments_equals_sparks_learner(spark):
+    from pyspark.ml.regression import FMRegressor
+    from starlens.plans.machines import fit_by_moments
+    from starlens.plans.models import fit_fm
+    rnd = random.Random(3)
+    rows = [(Vectors.dense([rnd.gauss(0, 1) for _ in range(4)]), rnd.uniform(0, 9)) for _ in range(400)]
+    df = spark.createDataFrame([(v, float(y + 2 * v[0] * v[1])) for v, y in rows], ["features", "label"]).repartition(3)
+    kw = dict(featuresCol="features", seed=7, solver="adamW", stepSize=0.01, regParam=0.001, maxIter=30, factorSize=3)
+    mean = df.agg(F.avg("label")).first()[0]
+    theirs = FMRegressor(labelCol="c", **kw).fit(df.withColumn("c", F.col("label") - F.lit(mean)))
+    ours, own_mean = fit_by_moments(df, "label", {**kw, "labelCol": "c"})
+    assert own_mean == pytest.approx(mean) and ours.intercept == pytest.approx(theirs.intercept, abs=1e-9)
+    assert ours.linear.toArray() == pytest.approx(theirs.linear.toArray(), abs=1e-9)
+    assert ours.factors.toArray() == pytest.approx(theirs.factors.toArray(), abs=1e-9)
+    fitted = fit_fm(df)
+    assert fitted.transform(df).select("prediction").count() == 400
+    with pytest.raises(Exception):
+        fit_fm(df.unionByName(spark.createDataFrame([(Vectors.dense([1.0, float("nan"), 0.0, 0.0]), 1.0)], ["features", "label"])))
+
+
+def test_a_task_of_a_large_frame_is_bounded():
+    from starlens.plans.models import tasks_for
+    assert tasks_for(0, 0, 12) == 1 and tasks_for(60_000, 0, 12) == 2 and tasks_for(2_000_000, 0, 12) == 12
+    assert tasks_for(150_000_000, 0, 12) == 150 and tasks_for(1_000_000, 4 * 2 ** 30, 12) == 16
