@@ -198,3 +198,5 @@ def test_mean_vectors_shuffle_sums_only(spark):
             1: (3, [0.666667, 1.0]), 2: (1, [0.0, 3.0]), 3: (0, [0.0, 0.0]), 4: (0, [0.0, 0.0])}
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "ObjectHashAggregate" not in plan and "hashpartitioning(word" not in plan
+    with pytest.raises(Exception, match="holds NULL"):
+        eb.mean_vectors(df, "id", "text", spark.createDataFrame([("a", [1.0, None])], "word string, vector array<double>"), 2).collect()
