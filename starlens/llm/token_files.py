@@ -30,6 +30,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from itertools import islice
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,8 @@ BLOCK_IDS = 1 << 16
 FILE_BYTES = 32 << 20
 #: Pieces of text that a worker keeps ids for; beyond it the older ones go.
 MEMO = 700_000
+#: Latin letters, in the order of their code points.
+LETTERS = "".join(c for c in map(chr, range(0x250)) if c.isalpha())
 
 
 def bits_for(vocab_size: int) -> int:
@@ -193,9 +196,11 @@ class TextEncoder:
     stops before the space, which belongs to the next piece, and on either side
     of the line feed.  Texts with any other white space go to the library whole.
 
-    A piece of ASCII letters alone goes straight to the library's model, where
-    its splitting step would leave such a piece whole (asked once, of a sample
-    with both cases); all other pieces go through the whole library.
+    A piece of Latin letters alone goes straight to the library's model, where
+    its splitting step would leave such a piece whole (asked once, of all these
+    letters); ASCII punctuation at the end of a piece, behind a letter, is a
+    piece of its own where that step says so (asked once too).  All other
+    pieces go through the whole library.
     """
 
     def __init__(self, path: str):
@@ -207,23 +212,28 @@ class TextEncoder:
         self.vocab_size = self.tok.get_vocab_size(with_added_tokens=True)
         self.specials = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         split = self.tok.pre_tokenizer
-        # letters stand for themselves among the byte symbols, and a space for one letter of its own
-        sample = split.pre_tokenize_str(" aBcDEfg") if split is not None and self.tok.normalizer is None else []
-        self.space = sample[0][0][0] if len(sample) == 1 and sample[0][0][1:] == "aBcDEfg" else None
+        ask = (lambda text: [x for x, _ in split.pre_tokenize_str(text)]) if split is not None and self.tok.normalizer is None else list
+        # the byte symbols of each letter, and of a space
+        self.symbols = {ord(c): "".join(ask(c)) for c in LETTERS}
+        sample = ask(" " + LETTERS)
+        self.space = sample[0][0] if len(sample) == 1 and sample[0][1:] == LETTERS.translate(self.symbols) else None
+        self.tail = punctuation if len(ask("aZ" + punctuation)) == 2 else ",."
         self.model = self.tok.model
         self.first = Memo(lambda piece: self.piece(self.first, "", piece))
         self.rest = Memo(lambda piece: self.piece(self.rest, " ", piece))
-        self.feed, self.marks = self.whole("\n"), {c: self.whole(c) for c in ",."}
+        self.feed, self.tails = self.whole("\n"), Memo(self.whole)
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
     def piece(self, memo: Memo, before: str, piece: str) -> bytes:
-        # between a letter and a comma or full stop that ends the piece lies a boundary too
-        if piece[-1:] in self.marks and piece[-2:-1].isalpha():
-            return memo[piece[:-1]] + self.marks[piece[-1]]
-        if self.space and piece.isascii() and piece.isalpha() and not any(t in piece for t in self.specials):
-            return array("I", [t.id for t in self.model.tokenize(self.space + piece if before else piece)]).tobytes()
+        # between a letter and the punctuation that ends the piece lies a boundary too
+        core = piece.rstrip(self.tail)
+        if core != piece and core[-1:].isalpha():
+            return memo[core] + self.tails[piece[len(core):]]
+        if self.space and piece.isalpha() and max(piece) <= LETTERS[-1] and not any(t in piece for t in self.specials):
+            symbols = piece if piece.isascii() else piece.translate(self.symbols)
+            return array("I", [t.id for t in self.model.tokenize(self.space + symbols if before else symbols)]).tobytes()
         return self.whole(before + piece)
 
     def encode(self, text: str) -> bytes:

@@ -6,6 +6,7 @@ import hashlib
 import io
 import math
 import os
+import random
 import re
 import struct
 import sys
@@ -87,6 +88,21 @@ def test_token_file_random_access(tmp_path):
         (None if i == 1 else i, sum(map(len, parts[:i])), p.tolist()) for i, p in enumerate(parts)]
 
 
+def test_text_encoder_asks_the_library_for_few_pieces(monkeypatch):
+    """Latin letters go straight to the model and punctuation behind a letter is encoded once; ids stay the library's."""
+    rng = random.Random(7)
+    letters = token_files.LETTERS + "..,,!?$#'\"-_()[]|`^0¹½д中—…"
+    texts = [" ".join("".join(rng.choice(letters) if rng.random() < 0.5 else rng.choice("abcdeé.,'") for _ in range(rng.randrange(1, 9)))
+                      for _ in range(6)) for _ in range(3000)]
+    texts += ["it's café's x$$$ y.%%%\na''s ÿ <|endoftext|>!! z!!", "(ab) a.b. é", "ª º µ ǅ"]
+    enc = token_files.TextEncoder(VOCAB)
+    assert [enc.encode(t) for t in texts] == [enc.whole(t) for t in texts]
+    asked, whole = [], enc.whole
+    monkeypatch.setattr(enc, "whole", lambda t: asked.append(t) or whole(t))
+    enc.encode("niño$$$ ciónes$$$ peñas&&& mañana.\nÓími")
+    assert set(asked) <= {"$$$", "&&&", "."}
+
+
 def test_token_output(spark, docs, empty):
     tok = tokenizers.Tokenizer.from_file(VOCAB)
     order = sorted(rows(), key=lambda r: (r[0] is not None, r[0] or 0))
