@@ -188,13 +188,18 @@ class TokenFile:
         self.f.close()
 
 
+class Uncertain(Exception):
+    """White space that is no certain boundary."""
+
+
 class TextEncoder:
     """Whole texts through the tokenizers library, each distinct piece once.
 
     A single space or line feed between two characters that are no white space
     is a certain boundary of byte-level vocabularies: the splitting pattern
     stops before the space, which belongs to the next piece, and on either side
-    of the line feed.  Texts with any other white space go to the library whole.
+    of the line feed.  Texts with any other white space go to the library whole;
+    a piece is searched for such white space when it is first met.
 
     A piece of Latin letters alone goes straight to the library's model, where
     its splitting step would leave such a piece whole (asked once, of all these
@@ -220,41 +225,41 @@ class TextEncoder:
         self.tail = punctuation if len(ask("aZ" + punctuation)) == 2 else ",."
         self.model = self.tok.model
         self.first = Memo(lambda piece: self.piece(self.first, "", piece))
-        self.rest = Memo(lambda piece: self.piece(self.rest, " ", piece))
+        # behind a space, or with the line feed that starts a line
+        self.rest = Memo(lambda piece: self.feed + self.first[piece[1:]] if piece[:1] == "\n" else self.piece(self.rest, " ", piece))
         self.feed, self.tails = self.whole("\n"), Memo(self.whole)
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
     def piece(self, memo: Memo, before: str, piece: str) -> bytes:
+        """Ids of a piece of a text that holds no special token."""
+        if piece.isalpha():  # neither white space nor punctuation
+            plain = piece.isascii()
+            if self.space and (plain or max(piece) <= LETTERS[-1]):
+                symbols = piece if plain else piece.translate(self.symbols)
+                return array("I", [t.id for t in self.model.tokenize(self.space + symbols if before else symbols)]).tobytes()
+            return self.whole(before + piece)
+        if piece.split() != [piece]:
+            raise Uncertain
         # between a letter and the punctuation that ends the piece lies a boundary too
         core = piece.rstrip(self.tail)
         if core != piece and core[-1:].isalpha():
             return memo[core] + self.tails[piece[len(core):]]
-        if self.space and piece.isalpha() and max(piece) <= LETTERS[-1] and not any(t in piece for t in self.specials):
-            symbols = piece if piece.isascii() else piece.translate(self.symbols)
-            return array("I", [t.id for t in self.model.tokenize(self.space + symbols if before else symbols)]).tobytes()
         return self.whole(before + piece)
 
     def encode(self, text: str) -> bytes:
-        words = text.split()
-        gaps = len(words) - 1
-        # every run of white space is one space or one line feed between two words
-        if (gaps < 0 or len(text) != sum(map(len, words)) + gaps or text.count(" ") + text.count("\n") != gaps
-                or any(t in text for t in self.specials)):
-            return self.whole(text)
-        out: list[bytes] = []
-        for line in text.split("\n"):
-            pieces = line.split(" ")
-            out.append(self.first[pieces[0]])
-            out += map(self.rest.__getitem__, pieces[1:])
-            out.append(self.feed)
-        out.pop()
         for memo in (self.first, self.rest):
             if len(memo) > MEMO // 2:  # the older half goes
                 for piece in list(islice(memo, len(memo) // 2)):
                     del memo[piece]
-        return b"".join(out)
+        if any(t in text for t in self.specials):
+            return self.whole(text)
+        first, *rest = text.replace("\n", " \n").split(" ")
+        try:
+            return b"".join([self.first[first], *map(self.rest.__getitem__, rest)])
+        except Uncertain:
+            return self.whole(text)
 
 
 _ENCODERS: dict[str, TextEncoder] = {}
@@ -289,13 +294,15 @@ def write_token_files(docs: DataFrame, vocab_path: str, folder: str, end_id: int
         out, n_files = [], 0
         writer, name, size = None, "", 0
         for b in batches:
-            ids, texts = b.column(0), b.column(1)
+            ids = b.column(0).to_pylist()
             for i in range(b.num_rows):
+                if i % 256 == 0:
+                    texts = b.column(1).slice(i, 256).to_numpy(zero_copy_only=False)
                 if writer is None:
                     name = f"part-{task.partitionId():05d}-{n_files:04d}-{task.taskAttemptId()}.tok"
                     writer, size = TokenWriter(fs.open_output_stream(f"{base}/{name}"), bits), 0
-                t = texts[i].as_py()
-                writer.add(ids[i].as_py(), np.concatenate([np.frombuffer(enc.encode(t), "<u4"), end]))
+                t = texts[i % 256]
+                writer.add(ids[i], np.concatenate([np.frombuffer(enc.encode(t), "<u4"), end]))
                 size += len(t)
                 if size >= FILE_BYTES:
                     writer.close()

@@ -103,6 +103,22 @@ def test_text_encoder_asks_the_library_for_few_pieces(monkeypatch):
     assert set(asked) <= {"$$$", "&&&", "."}
 
 
+def test_text_encoder_searches_a_piece_for_white_space_once(monkeypatch):
+    """No text is searched whole for white space; any that is no single space or line feed goes to the library."""
+    class Text(str):
+        def split(self, *sep):
+            assert sep, "the text is searched whole"
+            return super().split(*sep)
+    enc, rng = token_files.TextEncoder(VOCAB), random.Random(5)
+    parts = ["a", "é.", "x,y", "\n", " ", "\t", "\x1c", "\u3000", "\u2028", "<|endoftext|>", "don't", "12", "ab"]
+    texts = ["".join(rng.choices(parts[:rng.choice([5, 7, 13])], k=rng.randrange(12))) for _ in range(3000)]
+    assert [enc.encode(Text(t)) for t in texts] == [enc.whole(t) for t in texts]
+    monkeypatch.setattr(token_files, "MEMO", 20)
+    for i in range(100):  # texts that go to the library do not fill the memos either
+        enc.encode(f"a{i} b{i}\nc{i} \t")
+    assert max(len(enc.first), len(enc.rest)) < 20
+
+
 def test_token_output(spark, docs, empty):
     tok = tokenizers.Tokenizer.from_file(VOCAB)
     order = sorted(rows(), key=lambda r: (r[0] is not None, r[0] or 0))
