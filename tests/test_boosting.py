@@ -131,3 +131,24 @@ def test_a_task_of_a_large_frame_is_bounded():
     from starlens.plans.models import tasks_for
     assert tasks_for(0, 0, 12) == 1 and tasks_for(60_000, 0, 12) == 2 and tasks_for(2_000_000, 0, 12) == 12
     assert tasks_for(150_000_000, 0, 12) == 150 and tasks_for(1_000_000, 4 * 2 ** 30, 12) == 16
+
+
+def test_wide_vectors_are_worth_more_tasks(spark):
+    assert ml.tasks_for(36_000, 0, 12, 3000) == 12 and ml.tasks_for(5_000, 0, 12, 3000) == 2
+    assert ml.tasks_for(60_000, 0, 12, 7) == 2 and ml.tasks_for(1_000, 0, 12, 3000) == 1
+    wide = Vectors.sparse(3000, [5], [1.0])
+    df = spark.createDataFrame([(float(i), wide) for i in range(5000)], ["label", "features"])
+    assert ml.spread(df).rdd.getNumPartitions() == 2
+    # the bins of a row of 3,000 entries take 12 KB, however few it holds
+    assert df.select(F.min(ml._training_bytes(df))).first()[0] > 12_000
+
+
+def test_an_early_best_prefix_costs_few_more_trees(frames, monkeypatch):
+    train, val = frames
+    scripted = [5.0, 4.0, 3.0, 2.0] + [2.5] * 56
+    monkeypatch.setattr(bo, "staged_errors", lambda model, *rest: scripted[:model.getNumTrees])
+    fit = bo.fit_boosted(train, val, params={"n_estimators": 60, "max_depth": 1}, patience=10)
+    assert (fit.kept, fit.grown) == (4, 14) and fit.model.getNumTrees == 4
+    scripted[12] = 1.0  # better again behind the first fit
+    fit = bo.fit_boosted(train, val, params={"n_estimators": 60, "max_depth": 1}, patience=10)
+    assert (fit.kept, fit.grown) == (13, 28) and bo.watched(scripted, 10) == (13, True)
