@@ -446,6 +446,40 @@ def test_lm_answers_only_what_a_block_cannot_know():
     assert lm.unpacked(out.column("states"), 2).tolist() == [[5, 5], [4, 4]]
 
 
+def test_lm_sums_of_known_sequences_stand_for_their_lists():
+    """What no other block holds joins the sums of its context and is not listed; states and the other totals stay."""
+    ctx, total, suffix, up = (np.full(4, x) for x in (5, 90, 200, 2))
+    known = np.array([False, False, True, True])
+    results = []
+    for marks in (None, known):
+        sent = [lm.send(b, 1, ctx.astype(np.uint64), total, suffix, up, np.array([7, 8, 10 + 2 * b, 11 + 2 * b], np.uint64),
+                        np.array([20, 30 * b, 3, 0]), marks) for b in (0, 1)]
+        assert lm.unpacked(sent[0].column("pack"), 2).shape == (2, 4 if marks is None else 2)
+        results.append(lm.add_up(0.0002, True)(pa.concat_tables(sent)))
+    states = [lm.unpacked(out.column("states"), 1).tolist() for out in results]
+    assert states == [[[4, 4]]] * 2
+    totals = [[lm.unpacked(out.column("totals")[i:i + 1], 1).tolist() for i in (0, 1)] for out in results]
+    assert totals == [[[[21, 31, 0, 0]], [[21, 1, 0, 0]]], [[[21, 31]], [[21, 1]]]]
+
+
+def test_lm_disk_for_a_token_of_text(spark, monkeypatch):
+    """What is written for words and sequences that most blocks share is a few bytes for each of their places."""
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 100_000)
+    sizes, staged = {}, lm.staged
+
+    def measured(df, name):
+        out = staged(df, name)
+        sizes[name] = sum(os.path.getsize(f.removeprefix("file://")) for f in out.inputFiles())
+        return out
+    monkeypatch.setattr(lm, "staged", measured)
+    rng = np.random.default_rng(1)
+    words = [f"w{x:x}" for x in rng.integers(1 << 40, size=3000)]
+    texts = [" ".join(words[x] for x in (3000 * rng.random(1000) ** 3).astype(int)) for _ in range(160)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert lm.score_texts(docs, F.lit(True)).count() == 160
+    assert sizes["lm-level-0"] + sizes["lm-level-1"] < 2.5 * 160_000
+
+
 # ------------------------------------------------------------------ 8 decontamination
 
 def item_words(t):
