@@ -13,11 +13,11 @@ scored in the state of its longest kept context.
 
 The count is the same for a corpus of any size, so the tree grows with the corpus and is
 a table, never gathered or broadcast, and no filter of a fixed size stands before it.
-Texts are staged in blocks of about ``BLOCK_BYTES``.  Each level of the tree is one pass:
+Texts are staged in blocks of about ``BLOCK_BYTES`` (up to a third more).  Each level of the tree is one pass:
 a block sends its distinct sequences with their counts, a shuffle adds them up, and the
 totals return in the order in which the block sent them, without codes.  From totals and
 kept contexts of the levels before, a block knows exactly which of its places the next level
-counts, and which of its sequences stand in no other block: a sequence whose suffix stands in one
+counts (not those whose context cannot be kept and whose sequence cannot be a candidate), and which of its sequences stand in no other block: a sequence whose suffix stands in one
 block alone does too.  Such ones only join the sums of their context, and a context of one
 block alone is judged there and not sent.
 
@@ -37,6 +37,7 @@ training mark are not read.
 from __future__ import annotations
 
 from array import array
+from collections import deque
 from collections.abc import Iterator
 from contextlib import contextmanager
 from typing import NamedTuple
@@ -60,6 +61,8 @@ START, END = b"\n\n", b"\n"  # never words
 FACTOR = np.uint64(0x9E3779B97F4A7C15)  # odd: 2^64 over the golden ratio
 #: A context of so many training places at most is summed up in one bucket; a larger one is split by its symbols.
 SPLIT = 100_000
+#: A block's part of the sum of a context travels as a whole number of this fraction (error of the sum: blocks / 2^31).
+UNITS = 1 << 30
 BLOCK = ("block long, ids array<long>, train array<boolean>, sizes array<long>, symbols binary, codes binary, "
          "counts binary, often binary")
 SENT = "bucket long, block long, contexts binary, pack binary"
@@ -81,9 +84,24 @@ def stage_blocks(docs: DataFrame, id_col: str, text_col: str, train: Column) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 24
         press = zstandard.ZstdCompressor()
-        ids, marks, sizes, symbols, index, held = [], [], [], array("i"), {START: 0, END: 1}, 0
-
-        def flush() -> pa.RecordBatch:
+        texts, held = deque(), 0
+
+        def flush(size: int) -> pa.RecordBatch:
+            """The block of the first texts of up to ``size`` bytes, one at least."""
+            nonlocal block, held
+            ids, marks, sizes, symbols, index, left = [], [], [], array("i"), {START: 0, END: 1}, size
+            while texts and (not ids or len(texts[0][2]) < left):
+                doc, mark, seq = texts.popleft()
+                words = seq.split()
+                symbols.append(0)
+                symbols.extend([index.setdefault(w, len(index)) for w in words])
+                symbols.append(1)
+                ids.append(doc)
+                marks.append(mark)
+                sizes.append(len(words) + 1)
+                left -= len(seq) + 1
+            held -= size - left
+            block += 1
             sent = np.frombuffer(symbols, np.int32)
             counts = np.bincount(sent[np.repeat(np.array(marks, bool), np.array(sizes) + 1)], minlength=len(index))
             codes = np.fromiter(map(xxhash.xxh64_intdigest, index), np.uint64, len(index))
@@ -92,7 +110,7 @@ def stage_blocks(docs: DataFrame, id_col: str, text_col: str, train: Column) ->
             number = np.arange(len(index), dtype=np.int32)
             number[by_code[by_frequency(often)]] = np.arange(2, len(index))
             return pa.RecordBatch.from_pydict({
-                "block": pa.array([block], pa.int64()), "ids": pa.array([ids], pa.list_(pa.int64())),
+                "block": pa.array([block - 1], pa.int64()), "ids": pa.array([ids], pa.list_(pa.int64())),
                 "train": pa.array([marks], pa.list_(pa.bool_())), "sizes": pa.array([sizes], pa.list_(pa.int64())),
                 "symbols": pa.array([press.compress(planes(number[sent]))], pa.binary()),
                 "codes": pa.array([packed(codes[by_code])], pa.binary()),
@@ -100,21 +118,12 @@ def stage_blocks(docs: DataFrame, id_col: str, text_col: str, train: Column) ->
                 "often": pa.array([press.compress(often.tobytes())], pa.binary())})
         for b in batches:
             for doc, text, mark in zip(*b.columns, strict=True):
-                seq = normal(text.as_py())
-                words = seq.split()
-                if held and held + len(seq) > BLOCK_BYTES:
-                    yield flush()
-                    block += 1
-                    ids, marks, sizes, symbols, index, held = [], [], [], array("i"), {START: 0, END: 1}, 0
-                symbols.append(0)
-                symbols.extend([index.setdefault(w, len(index)) for w in words])
-                symbols.append(1)
-                ids.append(doc.as_py())
-                marks.append(mark.as_py())
-                sizes.append(len(words) + 1)
-                held += len(seq) + 1
-        if ids:
-            yield flush()
+                texts.append((doc.as_py(), mark.as_py(), normal(text.as_py())))
+                held += len(texts[-1][2]) + 1
+                while held > BLOCK_BYTES + BLOCK_BYTES // 3 and len(texts) > 1:
+                    yield flush(BLOCK_BYTES)
+        if texts:  # a short rest joins the last block, as each block sends its sequences
+            yield flush(held)
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"),
                        F.coalesce(train, F.lit(False)).alias("train"))
     return staged(map_arrow(rows, run, BLOCK), "lm-blocks")
@@ -166,16 +175,18 @@ class Block:
         return self.found.filter(pc.equal(self.found.column("k"), k))
 
     def levels(self, depth: int, min_count: int, n: int, min_divergence: float,
-               counting: bool = False) -> Iterator[tuple[Level, np.ndarray, np.ndarray]]:
+               counting: int = 0) -> Iterator[tuple[Level, np.ndarray, np.ndarray]]:
         """Levels 1 to ``depth``; each with the total of the sequence, and the distinct symbols of the kept context (0: not
-        kept), at each place.  If ``counting``, the last one has not been answered and comes without these.
+        kept), at each place.  Level ``counting`` has not been answered; it comes without these, as the last.
         """
         code, total, shared, no, counted = self.code, self.total, self.shared, self.symbol, np.ones(len(self.code), bool)
         suffix_kept, suffix_total = counted, np.full(len(self.code), n)
         before = lambda x: np.concatenate([x[:1], x[:-1]])
         for k in range(1, depth + 1):
             ctx_total, ctx_code = before(total), before(code)
-            places = np.flatnonzero((self.at >= k - 1) & before(counted) & (ctx_total >= min_count) & suffix_kept)
+            may = may_keep(ctx_total, suffix_total, min_divergence)
+            places = np.flatnonzero((self.at >= k - 1) & before(counted) & (ctx_total >= min_count) & suffix_kept
+                                    & (may | ((k < depth) & (total >= min_count))))
             keys, first, group = distinct(before(no)[places] << 32 | self.symbol[places])
             counts = np.bincount(group[self.trained[places]], minlength=len(keys))
             at = places[first]
@@ -186,14 +197,14 @@ class Block:
             level = Level(places, group, np.cumsum(new) - 1, np.flatnonzero(new), sent, known, tuple(x[sent] for x in (
                 ctx_code[at], ctx_total[at], suffix_total[at], up, symbol.astype(np.uint64), counts, known)),
                 counts, ctx_total[at])
-            if counting and k == depth:
+            if k == counting:
                 yield level, None, None
                 return
             totals, elsewhere, states = self.answered(level, k)
             own = ~sent[level.first]
             n_of, symbols_of, s = judged(level.ctx, counts, counts, up, suffix_total[at], len(level.first))
             of_own = np.where(keeps(n_of, symbols_of, s - xlogx(n_of), min_divergence), symbols_of, 0)
-            of_kept = np.where(own, of_own, states)[level.ctx[group]]
+            of_kept = np.where(own, of_own, states)[level.ctx[group]] * may[places]
             level_total = totals[group]
             suffix_total = ctx_total
             code = self.code + FACTOR * ctx_code
@@ -295,8 +306,12 @@ def dealt(buckets: int, ctx: np.ndarray, ctx_total: np.ndarray, code: np.ndarray
     """
     pieces = (ctx_total // split + 1).astype(np.uint64)
     piece = np.where(known, np.uint64(0), (code * FACTOR >> np.uint64(20)) % pieces)
-    bucket = (((ctx ^ piece) * FACTOR >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket.astype(np.min_scalar_type(buckets)), kind="stable")
+    place = ctx + piece * FACTOR  # buckets are ranges of these
+    bucket = ((place >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    heads = np.flatnonzero(np.append(True, (ctx[1:] != ctx[:-1]) | (piece[1:] != piece[:-1]))[:len(ctx)])
+    runs = np.argsort(place[heads], kind="stable")
+    size = np.diff(np.append(heads, len(ctx)))[runs]
+    order = np.arange(len(ctx)) + np.repeat(heads[runs] - (np.cumsum(size) - size), size)
     b, c = bucket[order], ctx[order]
     return bucket, order, np.flatnonzero(np.append(True, (b[1:] != b[:-1]) | (c[1:] != c[:-1]))[:len(order)])
 
@@ -305,10 +320,10 @@ def send(block: int, buckets: int, ctx: np.ndarray, ctx_total: np.ndarray, suffi
          code: np.ndarray, n: np.ndarray, known: np.ndarray | None = None, split: int = SPLIT) -> pa.Table:
     """A block's sequences by bucket: (bucket, block, contexts, pack).
 
-    Sequences come ordered by context and code.  ``contexts`` are the code of a context, its training places, how many
-    of its sequences are in ``pack``, and of those that are not, as no other block holds them (``known``), the symbols
-    and training places; last its sum of n * log(n) of these less that of n * log(up / suffix) of all.
-    ``pack`` has the steps from code to code and the counts.
+    Sequences come ordered by context and code.  ``contexts`` are the step to the code of a context, whether it is split,
+    how many of its sequences are in ``pack``, and of those that are not, as no other block holds them (``known``), the
+    symbols and training places; last its sum of n * log(n) of these less that of n * log(up / suffix) of all, in units
+    of 1 / ``UNITS``.  ``pack`` has the steps from code to code and the counts.
     """
     known = np.zeros(len(ctx), bool) if known is None else known
     bucket, order, unit = dealt(buckets, ctx, ctx_total, code, known, split)
@@ -317,7 +332,9 @@ def send(block: int, buckets: int, ctx: np.ndarray, ctx_total: np.ndarray, suffi
     of = np.repeat(np.arange(len(unit)), np.diff(np.append(unit, len(order))))
     listed = np.bincount(of[~known], minlength=len(unit))
     known_n, known_symbols, s = judged(of, n, n * known, up, suffix, len(unit))
-    contexts = [ctx[unit].view(np.int64), ctx_total[unit], listed, known_symbols, known_n, s]
+    ctx = ctx[unit].view(np.int64)
+    contexts = [(ctx_total[unit] >= split).astype(np.int64), listed, known_symbols, known_n,
+                np.rint(s * UNITS).astype(np.int64)]
     code, n, first = code[~known], n[~known], (np.cumsum(listed) - listed)[listed > 0]
     step = np.diff(code, prepend=0)
     step[first] = code[first]
@@ -326,7 +343,7 @@ def send(block: int, buckets: int, ctx: np.ndarray, ctx_total: np.ndarray, suffi
     upto = np.append(0, np.cumsum(listed))
     return pa.table({"bucket": pa.array(bucket[unit][begins], pa.int64()),
                      "block": pa.array([block] * len(ends), pa.int64()),
-                     "contexts": pa.array([packed(*(x[i:j] for x in contexts))
+                     "contexts": pa.array([packed(np.diff(ctx[i:j], prepend=0), *(x[i:j] for x in contexts))
                                            for i, j in zip(begins, ends, strict=True)], pa.binary()),
                      "pack": pa.array([packed(step[upto[i]:upto[j]], n[upto[i]:upto[j]])
                                        for i, j in zip(begins, ends, strict=True)], pa.binary())})
@@ -345,16 +362,16 @@ def judged(of: np.ndarray, n: np.ndarray, closed: np.ndarray, up: np.ndarray, su
     return add(closed).astype(np.int64), add(closed > 0).astype(np.int64), add(s)
 
 
-def counter(k: int, min_count: int, n: int, ends: int, buckets: int, min_divergence: float, split: int):
+def counter(k: int, depth: int, min_count: int, n: int, ends: int, buckets: int, min_divergence: float, split: int):
     """For a block and its answers: its sequences of level ``k``, to be sent."""
     def run(texts: pa.Table, found: pa.Table) -> pa.Table:
         block = Block(texts, found, ends, buckets, split)
-        *_, (level, _, _) = block.levels(k, min_count, n, min_divergence, counting=True)
+        *_, (level, _, _) = block.levels(depth, min_count, n, min_divergence, counting=k)
         return send(texts.column("block")[0].as_py(), buckets, *level.args, split)
     return run
 
 
-def add_up(min_divergence: float, in_order: bool = False, split_from: int = SPLIT):
+def add_up(min_divergence: float, in_order: bool = False):
     """For the packs of one bucket: what returns to each block, and the sums of split contexts (rows without a block).
 
     ``totals`` are the sequences whose count over all blocks is not the block's own, ``states`` the kept contexts of
@@ -366,7 +383,8 @@ def add_up(min_divergence: float, in_order: bool = False, split_from: int = SPLI
         one = lambda c, i: sent.column(c)[i:i + 1]
         units = [unpacked(one("contexts", i), 6) for i in range(sent.num_rows)]
         packs = [unpacked(one("pack", i), 2) for i in range(sent.num_rows)]
-        ctx, ctx_total, listed, symbols, n_known, s = np.concatenate(units, axis=1)
+        ctx = np.concatenate([np.cumsum(x[0]) for x in units])
+        _, is_split, listed, symbols, n_known, s = np.concatenate(units, axis=1)
         code, n = np.concatenate(packs, axis=1)
         contexts, lead, unit_of = distinct(ctx.view(np.uint64))
         first = (np.cumsum(listed) - listed)[listed > 0]
@@ -382,8 +400,8 @@ def add_up(min_divergence: float, in_order: bool = False, split_from: int = SPLI
         add = lambda of, x: np.bincount(of, weights=x, minlength=len(contexts))
         sums = (add(at, total) + add(unit_of, n_known)).astype(np.int64)
         symbols = (add(at, total > 0) + add(unit_of, symbols)).astype(np.int64)
-        s = add(at, xlogx(total)) + add(unit_of, s.view(np.float64))
-        split = ctx_total[lead] >= split_from
+        s = add(at, xlogx(total)) + add(unit_of, s / UNITS)
+        split = is_split[lead] > 0
         kept = keeps(sums, symbols, s - xlogx(sums), min_divergence) & ~split
         more = total[group] - n
         back = np.where(np.bincount(group)[group] > 1, more + 1, 0)
@@ -459,6 +477,15 @@ def keeps(n, symbols, gain, min_divergence: float):
     return (gain >= n * min_divergence) & (gain * 2 >= symbols * 3 + 30)
 
 
+def may_keep(n: np.ndarray, suffix: np.ndarray, min_divergence: float) -> np.ndarray:
+    """Whether ``keeps`` can hold for a context, from its places and those of its suffix alone.
+
+    No symbol stands more often behind the context than behind its suffix, so the gain is n * log(suffix / n) at most.
+    """
+    most = n * np.log(np.maximum(suffix, 1) / np.maximum(n, 1))
+    return keeps(n, 1, most + 1e-6 * (1 + n), min_divergence)
+
+
 @contextmanager
 def shuffles_removed(spark: SparkSession) -> Iterator[None]:
     """Shuffle files of each finished query go: what later ones need has been written as a table by then."""
@@ -471,9 +498,9 @@ def shuffles_removed(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def level_sums(sent: DataFrame, k: int, min_divergence: float, split: int) -> DataFrame:
+def level_sums(sent: DataFrame, k: int, min_divergence: float) -> DataFrame:
     """The written results of ``add_up`` for level ``k``."""
-    return staged(sent.groupBy("bucket").applyInArrow(add_up(min_divergence, True, split), ANSWER), f"lm-level-{k}")
+    return staged(sent.groupBy("bucket").applyInArrow(add_up(min_divergence, in_order=True), ANSWER), f"lm-level-{k}")
 
 
 def level_answers(level: DataFrame, k: int, min_divergence: float) -> DataFrame:
@@ -512,8 +539,8 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
             F.lit(None).cast("long").alias("ctx"), F.lit(None).cast("long").alias("symbols"))
         blocks = blocks.drop("codes", "counts")
         for k in range(1, depth + 1):
-            count = counter(k, min_count, n, ends, buckets, min_divergence, split)
-            level = level_sums(by_block(blocks, answers, count, SENT), k, min_divergence, split)
+            count = counter(k, depth, min_count, n, ends, buckets, min_divergence, split)
+            level = level_sums(by_block(blocks, answers, count, SENT), k, min_divergence)
             answers = answers.unionByName(level_answers(level, k, min_divergence))
 
     def run(texts: pa.Table, found: pa.Table) -> pa.Table:
