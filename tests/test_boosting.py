@@ -127,6 +127,17 @@ def test_machine_on_moments_equals_sparks_learner(spark):
         fit_fm(df.unionByName(spark.createDataFrame([(Vectors.dense([1.0, float("nan"), 0.0, 0.0]), 1.0)], ["features", "label"])))
 
 
+def test_machine_is_fitted_to_the_end(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 4))
+    y = 40 + 9 * x[:, 0] - 4 * x[:, 1] * x[:, 2] + rng.normal(scale=0.5, size=3000)
+    df = spark.createDataFrame([(Vectors.dense(r), float(t)) for r, t in zip(x, y)], ["features", "label"])
+    model = ml.fit_fm(df)
+    # 100 steps of 0.001 explain next to nothing of the labels
+    assert rmse(model, df) < 0.6 and rmse(ml.fit_fm(df, params={"maxIter": 100}), df) > 8
+    assert model.model.linear.toArray() == pytest.approx([9, 0, 0, 0], abs=0.1)
+
+
 def test_a_task_of_a_large_frame_is_bounded():
     from starlens.plans.models import tasks_for
     assert tasks_for(0, 0, 12) == 1 and tasks_for(60_000, 0, 12) == 2 and tasks_for(2_000_000, 0, 12) == 12
